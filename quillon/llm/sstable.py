@@ -21,6 +21,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,23 +131,28 @@ class Shard:
         return found
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, as little-endian bytes of two or four each."""
+def width_of(vocabulary: int) -> int:
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+    """(doc_id, ids): each whole text's ids and the end id, as little-endian integers as wide as the vocabulary needs."""
+    width = width_of(vocabulary)
 
     def run(batches):
         encoder = WordEncoder.of(tokenizer)
         for piece in pieces(batches):
             ids, offsets = encoder.encode(replace_column(piece, "text"))
-            ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+            ids = np.insert(ids, offsets[1:], end_id).astype(f"<u{width}")
             offsets = offsets + np.arange(len(offsets))
-            yield pa.record_batch([replace_column(piece, "doc_id"), pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids)]).cast(pa.binary())], names=["doc_id", "ids"])
+            yield pa.record_batch([replace_column(piece, "doc_id"), pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * width), pa.py_buffer(ids)]).cast(pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def write_shards(rows: DataFrame, folder: str, shards: int, vocabulary: int, block_size: int = 64 << 10) -> DataFrame:
     """Write (doc_id, ids) as shards of ascending id ranges; returns the manifest (shard, path, docs, ids, first_id)."""
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = width_of(vocabulary)
 
     def run(batches):
         batches = (b for b in batches if b.num_rows)
@@ -156,10 +162,8 @@ def write_shards(rows: DataFrame, folder: str, shards: int, vocabulary: int, blo
         name = f"{folder}/shard-{key_of(start).hex()}.sst"
 
         def documents():
-            for b in [first]:
-                yield from zip(b.column(0).to_pylist(), (np.frombuffer(x.as_buffer(), "<u4") for x in b.column(1)))
-            for b in batches:
-                yield from zip(b.column(0).to_pylist(), (np.frombuffer(x.as_buffer(), "<u4") for x in b.column(1)))
+            for b in chain([first], batches):
+                yield from zip(b.column(0).to_pylist(), (np.frombuffer(x.as_buffer(), f"<u{width}") for x in b.column(1)))
 
         write_file(name, shard_bytes(documents(), width, block_size))
         made = Shard(name)
@@ -195,6 +199,6 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
 def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408) -> DataFrame:
     """Encode, write the shards into a new shared folder, and read them back."""
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = cut(encoded(docs, tokenizer, end_id), "ids")  # encoded once: the range sampling below reads files
+    ids = cut(encoded(docs, tokenizer, end_id, vocabulary), "ids")  # encoded once: the range sampling below reads files
     manifest = cut(write_shards(ids, new_path(spark, "sst"), shards, vocabulary), "manifest")
     return read_shards(manifest, shards)
