@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing, rollup, sstable
+from quillon.llm import exact_dedup, packing, rollup, simhash, sstable
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -18,6 +18,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained_totals(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_id_output(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -26,5 +34,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_token_id_output, op9_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op7_simhash_near_dedup, op8_token_id_output, op9_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+        g AS (SELECT doc_id, sha256(t) AS text_sha256, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+}
