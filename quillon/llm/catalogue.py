@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, decontaminate, exact_dedup, kneser_ney, packing, quality_gam, rollup, simhash, sstable
+from quillon.llm import chat, decontaminate, exact_dedup, kneser_ney, packing, pii, quality_gam, rollup, simhash, sstable
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -53,7 +53,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_token_counts, op3_exact_dedup, op4_kneser_ney, op5_benchmark_decontamination, op6_chat_formatting, op7_simhash_near_dedup, op8_token_id_output, op9_best_fit_packing)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_token_counts, op3_exact_dedup, op4_kneser_ney, op5_benchmark_decontamination, op6_chat_formatting, op7_simhash_near_dedup, op8_token_id_output, op9_best_fit_packing, op10_pii_surrogates)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),

@@ -27,7 +27,7 @@ UNESCAPE = r"(?<=<)\\(?=\\*(?:/?s>|</?SYS>>))|(?<=\[)\\(?=\\*/?INST\])"
 
 
 def escaped(text):
-    return F.regexp_replace(text, ESCAPE, r"\\\\")
+    return F.regexp_replace(text, ESCAPE, r"\\")
 
 
 def unescaped(text):
@@ -65,7 +65,7 @@ def formatted(messages: DataFrame, top: int = 1) -> DataFrame:
     steps = branches(messages).select("conv_id", "leaf_id", F.posexplode("path").alias("at", "m"))
     own = messages.select(F.col("conv_id").alias("c"), "msg_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     joined = steps.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("m") == F.col("msg_id")))
-    role = F.regexp_replace(F.regexp_replace(F.coalesce("role", F.lit("")), r"\\", r"\\\\\\\\"), "\n", r"\\\\n")
+    role = F.regexp_replace(F.regexp_replace(F.coalesce("role", F.lit("")), r"\\", r"\\\\"), "\n", r"\\n")
     turn = F.struct("at", escaped(role).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"), (F.col("role") == "assistant").alias("loss"))
     whole = joined.groupBy("conv_id", "leaf_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"))
     ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf_id"))).where(F.col("rank") <= top)
