@@ -1,6 +1,569 @@
-"""The named queries of the library and the SQL each one must equal."""
+"""The named queries of the library and the SQL that each must equal, on the shared test tables.
+
+The audit log is made of ``events``: one entry per event, the user as record, the event id as entry id; sign-up creates, view and
+click update ``value`` and ``k``, error deletes, purchase restores.
+"""
 
 from __future__ import annotations
 
+from datetime import datetime
+
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import hashing
+from quillon.operators import audit, sync
+from quillon.operators.collection import Collection, Request
+from quillon.sources.changes import seeded, snapshot_changes
+from quillon.streaming.live import debounced, hash_of, removed
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def collection(spark: SparkSession, sf_dir: str, name: str) -> Collection:
+    ids = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "documents": "doc_id"}
+    return Collection(name, table(spark, sf_dir, name), ids[name])
+
+
+def filtered(name: str, source: str, filters: dict, columns: list[str], where: str) -> None:
+    """A filter query over a whole collection, and its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return collection(spark, sf_dir, source).matching(filters).select(*columns)
+
+    QUERIES[name], ORACLES[name] = run, f"SELECT {', '.join(columns)} FROM {source} WHERE {where}"
+
+
+CUSTOMER = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+filtered("f_eq", "customer", {"c_mktsegment": "BUILDING", "c_nationkey": {"$eq": 5}}, CUSTOMER, "c_mktsegment = 'BUILDING' AND c_nationkey = 5")
+filtered("f_ne", "customer", {"c_mktsegment": {"$ne": "BUILDING"}}, CUSTOMER, "c_mktsegment <> 'BUILDING'")
+filtered("f_range", "orders", {"o_totalprice": {"$gt": 1000, "$lte": 200000}, "o_custkey": {"$gte": 10, "$lt": 900}}, ["o_orderkey", "o_totalprice"], "o_totalprice > 1000 AND o_totalprice <= 200000 AND o_custkey >= 10 AND o_custkey < 900")
+filtered("f_in", "customer", {"c_nationkey": [1, 2, 3], "c_mktsegment": {"$in": ["BUILDING", "MACHINERY"]}}, CUSTOMER, "c_nationkey IN (1, 2, 3) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+filtered("f_nin", "customer", {"c_nationkey": {"$nin": [1, 2, 3]}, "c_mktsegment": {"$ni": []}}, CUSTOMER, "c_nationkey NOT IN (1, 2, 3)")
+filtered("f_and", "customer", {"$and": [{"c_acctbal": {"$gt": 0}}, {"c_nationkey": {"$lt": 20}}], "c_mktsegment": "BUILDING"}, CUSTOMER, "c_acctbal > 0 AND c_nationkey < 20 AND c_mktsegment = 'BUILDING'")
+filtered("f_or", "customer", {"$or": [{"c_acctbal": {"$lt": 0}}, {"c_nationkey": 7, "c_mktsegment": "BUILDING"}]}, CUSTOMER, "c_acctbal < 0 OR (c_nationkey = 7 AND c_mktsegment = 'BUILDING')")
+filtered("f_date", "orders", {"o_orderdate": {"$gte": datetime(1995, 1, 1), "$lt": datetime(1997, 1, 1)}}, ["o_orderkey", "o_orderdate"], "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
+filtered("f_like", "part", {"p_name": {"$like": "%A%e%"}}, ["p_partkey", "p_name"], "p_name ILIKE '%A%e%'")
+filtered("f_begins", "part", {"p_type": {"$beginsWith": "s"}}, ["p_partkey", "p_type"], "p_type ILIKE 's%'")
+filtered("f_ends", "part", {"p_brand": {"$endsWith": "3"}}, ["p_partkey", "p_brand"], "p_brand ILIKE '%3'")
+filtered("f_regex", "customer", {"c_name": {"$regex": "0[13579]+$"}}, CUSTOMER, "regexp_matches(c_name, '0[13579]+$')")
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with nulls: the test tables have none of their own."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+
+
+SPARSE = "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer"
+
+
+@query(f"SELECT * FROM ({SPARSE}) WHERE segment IS NULL")
+def f_null(spark, sf_dir):
+    return Collection("sparse", sparse(spark, sf_dir), "c_custkey").matching({"segment": None})
+
+
+@query(f"SELECT * FROM ({SPARSE}) WHERE segment IS NOT NULL")
+def f_exists(spark, sf_dir):
+    return Collection("sparse", sparse(spark, sf_dir), "c_custkey").matching({"segment": {"$exists": True}})
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 3 AND event_type = 'click'")
+def f_nested(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("props", F.from_json("props", "k bigint"))
+    return Collection("events", events, "event_id").matching({"props": {"k": {"$gt": 3}}, "event_type": "click"}).select("event_id", F.col("props.k").alias("k"))
+
+
+def flagged(spark, sf_dir) -> Collection:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_returnflag")).alias("flags"), F.collect_list(F.struct("l_quantity", "l_linestatus")).alias("lines"))
+    return Collection("flagged", lines, "l_orderkey")
+
+
+@query("SELECT l_orderkey, len(list(l_returnflag)) AS n FROM lineitem GROUP BY l_orderkey HAVING list_has_all(list(l_returnflag), ['A', 'R'])")
+def f_all(spark, sf_dir):
+    return flagged(spark, sf_dir).matching({"flags": {"$all": ["A", "R"]}}).select("l_orderkey", F.size("flags").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, list_sort(list(l_returnflag))::VARCHAR[] AS flags FROM lineitem GROUP BY l_orderkey HAVING count(*) = 3")
+def f_size(spark, sf_dir):
+    return flagged(spark, sf_dir).matching({"flags": {"$size": 3}}).select("l_orderkey", "flags")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_linestatus = 'F'")
+def f_elem(spark, sf_dir):
+    return flagged(spark, sf_dir).matching({"lines": {"$elemMatch": {"l_quantity": {"$gt": 45}, "l_linestatus": "F"}}}).select("l_orderkey")
+
+
+# Queries
+
+PAGE = Request({"o_orderstatus": "O", "o_totalprice": {"$gt": 5000}}, [("o_totalprice", "desc")], limit=50, offset=20)
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 5000 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 20")
+def query_page(spark, sf_dir):
+    return collection(spark, sf_dir, "orders").query(PAGE)[0]
+
+
+@query("SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 5000")
+def q_total(spark, sf_dir):
+    return collection(spark, sf_dir, "orders").query(PAGE)[1]
+
+
+@query("SELECT *, row_number() OVER (ORDER BY segment ASC NULLS FIRST, c_custkey DESC) AS pos FROM (SELECT * FROM (" + SPARSE + ") ORDER BY segment ASC NULLS FIRST, c_custkey DESC LIMIT 40)")
+def sort_multi(spark, sf_dir):
+    page, _ = Collection("sparse", sparse(spark, sf_dir), "c_custkey").query(Request(sorts=["segment", ("c_custkey", "desc")], limit=40))
+    return page.withColumn("pos", F.row_number().over(Window.orderBy(F.col("segment").asc_nulls_first(), F.col("c_custkey").desc())).cast("long"))
+
+
+@query("SELECT * FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
+def page(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").query(Request(sorts="c_custkey", limit=25, offset=50))[0]
+
+
+@query("SELECT * FROM customer ORDER BY c_custkey")
+def table_request(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").table_request()[0]
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 1")
+def find_first(spark, sf_dir):
+    return collection(spark, sf_dir, "orders").find({"o_orderstatus": "F"})
+
+
+@query("SELECT * FROM customer")
+def get_all(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").get_all()
+
+
+@query("SELECT count(*) AS total FROM customer")
+def count_all(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").count()
+
+
+@query("SELECT CAST(pos AS INT) AS pos, c_custkey, c_name FROM (VALUES (0, 9), (1, 3), (2, 7)) w(pos, want) JOIN customer ON c_custkey = want")
+def get_ordered(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").get([9, 3, 7, -1], ordered=True).select("pos", "c_custkey", "c_name")
+
+
+@query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def q_by_ids(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").by_ids(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_custkey"))
+
+
+@query("SELECT * FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_custkey LIMIT 20")
+def q_rls(spark, sf_dir):
+    def own_nation(request: Request) -> Request:
+        return Request({"$and": [request.filters or {}, {"c_nationkey": 3}]}, request.sorts, request.limit, request.offset)
+
+    own = Collection("customer", table(spark, sf_dir, "customer"), "c_custkey", own_nation)
+    return own.query(Request({"c_acctbal": {"$gt": 0}}, "c_custkey", limit=20))[0]
+
+
+@query(f"SELECT DISTINCT segment AS value FROM ({SPARSE})")
+def distinct_values(spark, sf_dir):
+    return Collection("sparse", sparse(spark, sf_dir), "c_custkey").distinct_values("segment", sorts=[("c_custkey", "desc")])
+
+
+@query("SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1")
+def distinct_records(spark, sf_dir):
+    return collection(spark, sf_dir, "customer").distinct_records("c_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_check(spark, sf_dir):
+    return Collection("lineitem", table(spark, sf_dir, "lineitem"), "l_orderkey").duplicates("l_orderkey", "l_linenumber")
+
+
+# Sources and sinks
+
+
+def changed_customers(df: DataFrame) -> DataFrame:
+    return df.where("c_nationkey <> 4").withColumn("c_acctbal", F.when(F.col("c_nationkey") == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).where("c_mktsegment <> 'MACHINERY'")
+
+
+CHANGED = "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey <> 4 AND c_mktsegment <> 'MACHINERY'"
+
+
+@query(f"""WITH o AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS ({CHANGED}) SELECT coalesce(o.c_custkey, n.c_custkey) AS id, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS op
+    FROM o FULL JOIN n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal <> n.c_acctbal""")
+def cdc_snapshot(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return snapshot_changes(df.where("c_mktsegment <> 'BUILDING'"), changed_customers(df), "c_custkey")
+
+
+@query(f"WITH n AS ({CHANGED}) SELECT * FROM n UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
+def upsert_merge(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return found.upsert(changed_customers(found.df))
+
+
+@query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 4)")
+def remove_ids(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return found.remove(found.df.where("c_nationkey = 4").select("c_custkey"))
+
+
+@query("SELECT * FROM customer WHERE c_custkey % 3 <> 0 OR c_nationkey < 10")
+def read_through(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    local = Collection("customer", df.where("c_custkey % 3 <> 0"), "c_custkey")
+    return local.get_through(df.where("c_custkey % 3 <> 0 OR c_nationkey < 10").select("c_custkey"), df)
+
+
+@query("WITH f AS (SELECT s_suppkey, 'fixed' AS s_name FROM supplier WHERE s_suppkey <= 3), o AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 3 ORDER BY s_suppkey LIMIT 5) SELECT * FROM f UNION ALL SELECT * FROM o")
+def seed_with(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    fixed = suppliers.where("s_suppkey <= 3").withColumn("s_name", F.lit("fixed"))
+    return seeded(suppliers.where("s_suppkey <= 5"), fixed, suppliers.where("s_suppkey > 5"), 5 + fixed.count(), "s_suppkey")
+
+
+# The audit log
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 3 END")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("record_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("entry_id"), kind.alias("type"), "event_type",
+        F.when(F.col("event_type").isin("signup", "view"), F.col("value")).alias("value"), F.when(F.col("event_type").isin("signup", "click"), k).alias("k"), "event_id",
+    )
+
+
+LOG = """log AS (SELECT CAST(user_id AS VARCHAR) AS record_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS entry_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS type, event_type,
+    CASE WHEN event_type IN ('signup', 'view') THEN value END AS value, CASE WHEN event_type IN ('signup', 'click') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id FROM events)"""
+
+
+def state_of(entries: DataFrame) -> DataFrame:
+    return audit.replay_scalar(entries, {"value": F.col("event_type") == "view", "k": F.col("event_type") == "click"})
+
+
+def state_sql(source: str) -> str:
+    return f"""SELECT record_id, max_by(type, entry_id) FILTER (type IN (0, 2) OR (type = 3 AND entry_id >= f)) <> 2 AS live,
+        max_by(value, entry_id) FILTER (entry_id >= l AND event_type IN ('signup', 'view')) AS value, max_by(k, entry_id) FILTER (entry_id >= l AND event_type IN ('signup', 'click')) AS k
+        FROM {source} JOIN (SELECT record_id, max(entry_id) AS l, min(entry_id) AS f FROM {source} WHERE type = 0 GROUP BY record_id) USING (record_id) GROUP BY record_id"""
+
+
+@query(f"WITH {LOG} {state_sql('log')}")
+def audit_replay_scalar(spark, sf_dir):
+    return state_of(log(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, past AS (SELECT * FROM log WHERE entry_id < '000000000500') {state_sql('past')}")
+def audit_asof(spark, sf_dir):
+    return state_of(audit.as_of(log(spark, sf_dir), "000000000500"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS record_id, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS entry_id, 0 AS type FROM customer")
+def audit_create(spark, sf_dir):
+    return audit.created(table(spark, sf_dir, "customer"), "c_custkey", F.lpad(F.col("c_custkey").cast("string"), 12, "0")).select("record_id", "entry_id", "type")
+
+
+@query(f"WITH {LOG} SELECT record_id, count(*) AS n, string_agg(CAST(type AS VARCHAR), ',' ORDER BY entry_id) AS types FROM log GROUP BY record_id")
+def audit_group(spark, sf_dir):
+    return audit.grouped(log(spark, sf_dir)).select("record_id", F.size("entries").cast("long").alias("n"), F.expr("array_join(transform(entries, e -> cast(e.type as string)), ',')").alias("types"))
+
+
+def branched(entries: DataFrame) -> DataFrame:
+    """The log with every 7th event as a branch."""
+    return entries.withColumn("type", F.when(F.col("event_id") % 7 == 0, 4).otherwise(F.col("type")))
+
+
+BRANCHED = f"{LOG}, b AS (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN 4 ELSE type END AS type) FROM log)"
+
+
+@query(f"WITH {BRANCHED} SELECT record_id, count(*) AS n_entries, max(entry_id) AS last_id, min(entry_id) FILTER (type = 4) AS branch_id FROM b GROUP BY record_id")
+def audit_last(spark, sf_dir):
+    return audit.last_entries(branched(log(spark, sf_dir)))
+
+
+@query(f"WITH {LOG} SELECT record_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS is_deleted FROM log GROUP BY record_id")
+def audit_deleted(spark, sf_dir):
+    return audit.deleted_state(log(spark, sf_dir))
+
+
+@query(f"""WITH {BRANCHED}, s AS (SELECT record_id, min(entry_id) FILTER (type = 4) AS br, max(entry_id) FILTER (type NOT IN (0, 4)) AS c FROM b GROUP BY record_id)
+    SELECT record_id, br IS NULL OR coalesce(c > br, false) AS has_pending, c IS NOT NULL AS has_history, c IS NULL AS is_branch_only FROM s""")
+def audit_pending(spark, sf_dir):
+    return audit.pending_state(branched(log(spark, sf_dir)))
+
+
+@query(f"WITH {LOG} SELECT record_id, CASE WHEN min_by(type, entry_id) NOT IN (0, 4) THEN 'does not start with an anchor' WHEN count(*) = 2 AND max_by(type, entry_id) = 1 THEN 'anchor with an empty update' END AS reason FROM log GROUP BY record_id")
+def audit_validate(spark, sf_dir):
+    return audit.validated(log(spark, sf_dir).withColumn("ops", F.lit(None).cast("array<int>")))
+
+
+@query(f"""WITH {LOG}, a AS (SELECT record_id, quantile_disc(entry_id, 0.5) AS anchor FROM log GROUP BY record_id)
+    SELECT record_id, entry_id, type FROM log JOIN a USING (record_id) WHERE entry_id > anchor UNION ALL SELECT record_id, anchor, 4 FROM a""")
+def audit_collapse(spark, sf_dir):
+    entries = log(spark, sf_dir).select("record_id", "entry_id", "type")
+    middle = entries.groupBy("record_id").agg(F.expr("array_sort(collect_list(entry_id))").alias("all")).select("record_id", F.expr("element_at(all, cast(ceil(size(all) * 0.5) as int))").alias("anchor"))
+    return audit.collapsed(entries, middle)
+
+
+def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two replicas: even events, odd events, and every tenth on both."""
+    entries = log(spark, sf_dir)
+    return entries.where("event_id % 2 = 0 AND record_id NOT LIKE '%7'"), entries.where("event_id % 2 = 1 OR event_id % 10 = 0")
+
+
+SIDES = f"{LOG}, s AS (SELECT * FROM log WHERE event_id % 2 = 0 AND record_id NOT LIKE '%7'), c AS (SELECT * FROM log WHERE event_id % 2 = 1 OR event_id % 10 = 0)"
+MERGED = """SELECT record_id, entry_id, type FROM s UNION SELECT record_id, entry_id, type FROM c WHERE type NOT IN (0, 4) AND record_id IN (SELECT record_id FROM s)
+    UNION SELECT record_id, entry_id, type FROM c WHERE record_id NOT IN (SELECT record_id FROM s) AND record_id IN (SELECT record_id FROM c GROUP BY record_id HAVING min_by(type, entry_id) IN (0, 4))"""
+
+
+@query(f"WITH {SIDES} {MERGED}")
+def audit_merge(spark, sf_dir):
+    return audit.merged(*sides(spark, sf_dir)).select("record_id", "entry_id", "type")
+
+
+@query(f"WITH {LOG} SELECT record_id, entry_id, type, 'user-' || record_id AS user_id, CASE WHEN type = 2 THEN last_value(value IGNORE NULLS) OVER w END AS snapshot_value, CASE WHEN type = 2 THEN last_value(k IGNORE NULLS) OVER w END AS snapshot_k FROM log WINDOW w AS (PARTITION BY record_id ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def audit_server(spark, sf_dir):
+    return audit.server_audit(log(spark, sf_dir), ["value", "k"], F.concat(F.lit("user-"), "record_id"))
+
+
+def document_log(spark, sf_dir) -> DataFrame:
+    """The same log with whole records and operations, for the fold."""
+    entries = log(spark, sf_dir)
+    op = lambda name: F.array(F.struct(F.lit("replace").alias("op"), F.lit(name).alias("path"), F.col(name).cast("string").alias("value"), F.lit(None).cast("string").alias("position"), F.lit(None).cast("string").alias("hash")))
+    ops = F.when(F.col("event_type") == "view", op("value")).when(F.col("event_type") == "click", op("k"))
+    return entries.withColumn("record", F.when(F.col("type") == 0, F.to_json(F.struct("value", "k")))).withColumn("ops", ops)
+
+
+@query(f"WITH {LOG}, t AS ({state_sql('log')}) SELECT l.record_id, coalesce(t.live, false) AS live, t.value, t.k FROM (SELECT DISTINCT record_id FROM log) l LEFT JOIN t USING (record_id)")
+def audit_replay_full(spark, sf_dir):
+    folded = audit.replay_full(document_log(spark, sf_dir))
+    shadow = F.from_json("shadow", "value double, k long")
+    return folded.select("record_id", F.col("live").isNotNull().alias("live"), shadow["value"].alias("value"), shadow["k"].alias("k"))
+
+
+@query(f"WITH n AS ({CHANGED}), m AS (SELECT * REPLACE (c_mktsegment || '!' AS c_mktsegment) FROM n WHERE c_nationkey < 12) SELECT CAST(o.c_custkey AS VARCHAR) AS record_id, 'c_acctbal' AS path FROM customer o JOIN m USING (c_custkey) WHERE o.c_acctbal <> m.c_acctbal UNION ALL SELECT CAST(o.c_custkey AS VARCHAR), 'c_mktsegment' FROM customer o JOIN m USING (c_custkey)")
+def audit_diff(spark, sf_dir):
+    old = table(spark, sf_dir, "customer")
+    new = changed_customers(old).where("c_nationkey < 12").withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit("!")))
+    return audit.flat_differences(old, new, "c_custkey", ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]).select("record_id", "path")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'replace' AS op, 'tags.1' AS path FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'add', 'tags.2' FROM customer WHERE c_nationkey % 2 = 1")
+def audit_diff_nested(spark, sf_dir):
+    even = F.col("c_nationkey") % 2 == 0
+    tags = lambda *xs: F.to_json(F.struct(F.array(*xs).alias("tags")))
+    name, other = F.col("c_name"), F.lit("new")
+    pairs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), tags(name, name).alias("old"), F.when(even, tags(name, other)).otherwise(tags(name, name, other)).alias("new"))
+    return audit.differences(pairs, "old", "new").select("record_id", F.inline("ops")).select("record_id", "op", "path")
+
+
+@query(f"WITH {LOG} SELECT record_id, '999999999999' AS entry_id, 2 AS type FROM (SELECT record_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS d FROM log GROUP BY record_id) WHERE NOT d AND record_id LIKE '%5'")
+def audit_delete(spark, sf_dir):
+    entries = log(spark, sf_dir)
+    return audit.with_deletes(entries, entries.where("record_id LIKE '%5'").select("record_id").distinct(), F.lit("999999999999"))
+
+
+WANTED = "w AS (SELECT CAST(c_custkey AS VARCHAR) AS record_id, CASE WHEN c_custkey % 3 = 0 THEN t.value ELSE c_acctbal END AS value, t.k FROM customer LEFT JOIN t ON t.record_id = CAST(c_custkey AS VARCHAR))"
+
+
+def wanted(spark, sf_dir, state: DataFrame) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), "c_custkey", "c_acctbal")
+    joined = customers.join(state, "record_id", "left")
+    return joined.select("record_id", F.when(F.col("c_custkey") % 3 == 0, F.col("value")).otherwise(F.col("c_acctbal")).alias("value"), "k")
+
+
+@query(f"""WITH {LOG}, t AS ({state_sql('log')}), {WANTED} SELECT w.record_id, '999999999999' AS entry_id, CASE WHEN t.record_id IS NULL THEN 0 ELSE 3 END AS type,
+    t.record_id IS NULL OR w.value IS DISTINCT FROM t.value OR w.k IS DISTINCT FROM t.k AS has_payload FROM w LEFT JOIN t USING (record_id)""")
+def audit_restore(spark, sf_dir):
+    state = state_of(log(spark, sf_dir))
+    return audit.with_restores(state, wanted(spark, sf_dir, state), F.lit("999999999999"), ["value", "k"])
+
+
+@query(f"WITH {LOG}, t AS ({state_sql('log')}), {WANTED} SELECT w.record_id, '999999999999' AS entry_id, 1 AS type, 'value' AS paths FROM w JOIN t USING (record_id) WHERE t.live AND w.value IS DISTINCT FROM t.value")
+def audit_update(spark, sf_dir):
+    state = state_of(log(spark, sf_dir))
+    return audit.updates_for(state, wanted(spark, sf_dir, state), F.lit("999999999999"), ["value", "k"])
+
+
+@query(f"WITH {LOG}, t AS ({state_sql('log')}), {WANTED} SELECT record_id, entry_id, type FROM log UNION ALL SELECT w.record_id, '999999999999', 1 FROM w JOIN t USING (record_id) WHERE t.live AND w.value IS DISTINCT FROM t.value")
+def audit_reconcile(spark, sf_dir):
+    entries = log(spark, sf_dir)
+    state = state_of(entries)
+    fix = audit.updates_for(state, wanted(spark, sf_dir, state), F.lit("999999999999"), ["value", "k"])
+    return entries.select("record_id", "entry_id", "type").unionByName(fix.select("record_id", "entry_id", "type"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'mine' ELSE upper(c_name) END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal + 2 END AS c_acctbal FROM customer")
+def rebase(spark, sf_dir):
+    mine = F.when(F.col("c_custkey") % 3 == 0, "mine").otherwise(F.col("c_name"))
+    paid = F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    versions = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("c_name_old"), mine.alias("c_name_mine"), F.upper("c_name").alias("c_name_theirs"), F.col("c_acctbal").alias("c_acctbal_old"), paid.alias("c_acctbal_mine"), (F.col("c_acctbal") + 2).alias("c_acctbal_theirs"))
+    return audit.rebased(versions, ["c_name", "c_acctbal"])
+
+
+@query()
+def hash_content(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_name", "c_acctbal")).alias("j")).select("c_custkey", hashing.content_hashes("j").alias("content_hash"))
+
+
+@query("""SELECT c_custkey, substr(sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}'), 1, 16) AS record_hash FROM customer""")
+def hash_record(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", hashing.record_hash(["c_name", "c_custkey"]).alias("record_hash"))
+
+
+@query("SELECT 1469922850259 AS millis, count(*) AS n FROM customer")
+def ulid_time(spark, sf_dir):
+    ulids = table(spark, sf_dir, "customer").select(F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV").alias("u"))
+    return ulids.groupBy(hashing.ulid_millis(F.col("u")).alias("millis")).agg(F.count("*").alias("n"))
+
+
+# Synchronisation
+
+
+def events_as_cursors(spark, sf_dir) -> DataFrame:
+    return log(spark, sf_dir).select((F.lit("users")).alias("collection"), F.col("record_id").alias("id"), (F.col("type") == 2).alias("is_delete"), F.col("entry_id").alias("last_entry_id"), F.col("k").cast("string").alias("hash"), F.col("event_id").alias("seq"), (F.col("event_id") % 50 == 0).alias("authoritative"))
+
+
+CURSORS = f"{LOG}, cur AS (SELECT 'users' AS collection, record_id AS id, type = 2 AS is_delete, entry_id AS last_entry_id, CAST(k AS VARCHAR) AS hash, event_id AS seq, event_id % 50 = 0 AS authoritative FROM log)"
+SQUASH = f"{CURSORS}, a AS (SELECT id, bool_or(authoritative) AS authoritative FROM cur GROUP BY id), sq AS (SELECT cur.* EXCLUDE (authoritative), a.authoritative FROM cur JOIN a USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY is_delete DESC, CASE WHEN is_delete THEN '' ELSE last_entry_id END DESC, seq DESC) = 1)"
+
+
+@query(f"WITH {SQUASH} SELECT * FROM sq")
+def squash(spark, sf_dir):
+    return sync.squashed(events_as_cursors(spark, sf_dir))
+
+
+@query(f"WITH {CURSORS}, l AS (SELECT * FROM cur WHERE NOT is_delete), a AS (SELECT id, bool_or(authoritative) AS authoritative FROM l GROUP BY id) SELECT l.* EXCLUDE (authoritative), a.authoritative FROM l JOIN a USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_entry_id DESC, seq DESC) = 1")
+def squash_active(spark, sf_dir):
+    return sync.squashed(events_as_cursors(spark, sf_dir).where("not is_delete"))
+
+
+def active_cursors(spark, sf_dir) -> DataFrame:
+    return sync.squashed(events_as_cursors(spark, sf_dir).where("not is_delete or id like '%3'"))
+
+
+def known_state(spark, sf_dir) -> DataFrame:
+    """The filter state of users, without those that end in 1."""
+    last = log(spark, sf_dir).where("event_id % 3 = 0 and type = 1 and record_id not like '%1'").groupBy(F.col("record_id").alias("id")).agg(F.max("entry_id").alias("known_last"))
+    return last.select(F.lit("users").alias("collection"), "id", F.when(~F.col("id").like("%5"), F.col("known_last")).alias("known_hash"), "known_last", F.col("id").like("%9").alias("confirmed_deleted"))
+
+
+KNOWN = "st AS (SELECT 'users' AS collection, record_id AS id, max(entry_id) AS known_last, CASE WHEN record_id NOT LIKE '%5' THEN max(entry_id) END AS known_hash, record_id LIKE '%9' AS confirmed_deleted FROM log WHERE event_id % 3 = 0 AND type = 1 AND record_id NOT LIKE '%1' GROUP BY record_id)"
+ACTIVE = f"{CURSORS}, c0 AS (SELECT * FROM cur WHERE NOT is_delete OR id LIKE '%3'), a AS (SELECT id, bool_or(authoritative) AS authoritative FROM c0 GROUP BY id), sq AS (SELECT c0.* EXCLUDE (authoritative, hash), last_entry_id AS hash, a.authoritative FROM c0 JOIN a USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY is_delete DESC, CASE WHEN is_delete THEN '' ELSE last_entry_id END DESC, seq DESC) = 1)"
+
+
+@query(f"""WITH {ACTIVE}, {KNOWN} SELECT sq.collection, sq.id, CASE WHEN coalesce(st.confirmed_deleted, false) THEN 'drop:deleted' WHEN st.id IS NULL AND NOT authoritative AND is_delete THEN 'tombstone' WHEN st.id IS NULL AND NOT authoritative THEN 'drop:unknown'
+    WHEN st.id IS NULL THEN 'send' WHEN known_hash IS NULL THEN 'send:delete' WHEN is_delete THEN 'send:delete' WHEN known_hash = hash AND known_last = last_entry_id THEN 'drop:same' WHEN last_entry_id < known_last THEN 'drop:older' ELSE 'send' END AS decision
+    FROM sq LEFT JOIN st ON sq.id = st.id""")
+def sd_filter(spark, sf_dir):
+    return sync.dispatched(active_cursors(spark, sf_dir).withColumn("hash", F.col("last_entry_id")), known_state(spark, sf_dir))
+
+
+@query(f"""WITH {ACTIVE}, {KNOWN}, k AS (SELECT *, seq % 4 <> 0 AS ok FROM sq), j AS (SELECT coalesce(st.id, k.id) AS id, st.id IS NOT NULL AS known, st.known_hash, st.known_last, coalesce(st.confirmed_deleted, false) AS cd, k.ok, k.is_delete, k.hash, k.last_entry_id, k.authoritative,
+    coalesce(k.ok AND k.is_delete, false) AS gone, coalesce(NOT k.ok AND k.is_delete, false) AS failed, coalesce(k.ok AND NOT k.is_delete, false) AS written FROM st FULL JOIN k ON st.id = k.id)
+    SELECT 'users' AS collection, id, CASE WHEN gone OR failed THEN NULL WHEN written THEN hash ELSE known_hash END AS known_hash, CASE WHEN written THEN last_entry_id ELSE known_last END AS known_last, gone OR cd AS confirmed_deleted FROM j WHERE known OR (written AND authoritative) OR gone""")
+def sd_ack(spark, sf_dir):
+    acks = active_cursors(spark, sf_dir).select("collection", "id", (F.col("seq") % 4 != 0).alias("ok"), "is_delete", F.col("last_entry_id").alias("hash"), "last_entry_id", "authoritative")
+    return sync.acknowledged(known_state(spark, sf_dir), acks)
+
+
+@query(f"""WITH {ACTIVE}, l AS (SELECT record_id AS id, record_id NOT LIKE '%8' AS has_record, record_id NOT LIKE '%6' AS branch_only, max(entry_id) AS branch_id FROM log WHERE event_id % 4 = 0 AND record_id NOT LIKE '%2' GROUP BY record_id)
+    SELECT sq.id, CASE WHEN l.id IS NULL AND NOT is_delete THEN 'apply' WHEN l.id IS NULL THEN 'done' WHEN NOT has_record AND NOT is_delete THEN 'refuse' WHEN NOT has_record THEN 'done' WHEN is_delete THEN 'apply delete' WHEN NOT branch_only THEN 'skip pending' WHEN last_entry_id < branch_id THEN 'skip stale' ELSE 'apply' END AS outcome FROM sq LEFT JOIN l USING (id)""")
+def cr_apply(spark, sf_dir):
+    local = log(spark, sf_dir).where("event_id % 4 = 0 and record_id not like '%2'").groupBy(F.col("record_id").alias("id")).agg(F.max("entry_id").alias("branch_id"))
+    local = local.select("id", ~F.col("id").like("%8"), ~F.col("id").like("%6"), "branch_id").toDF("id", "has_record", "branch_only", "branch_id")
+    return sync.client_applied(local, active_cursors(spark, sf_dir))
+
+
+@query(f"""WITH {SIDES}, f AS (SELECT record_id, min_by(type, entry_id) FILTER (type <> 4) AS first, bool_or(type = 2) AS d, record_id IN (SELECT record_id FROM s) AS known FROM c GROUP BY record_id)
+    SELECT record_id, CASE WHEN known OR coalesce(first = 0, false) THEN 'merged' WHEN d THEN 'orphan deleted' ELSE 'orphan' END AS status FROM f""")
+def sr_merge(spark, sf_dir):
+    return sync.received(*sides(spark, sf_dir))[1]
+
+
+@query(f"WITH {SIDES} {MERGED}")
+def sr_merged_log(spark, sf_dir):
+    return sync.received(*sides(spark, sf_dir))[0].select("record_id", "entry_id", "type")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey = 4 THEN 'delete' ELSE 'active' END AS cursor FROM customer WHERE c_nationkey IN (2, 4)")
+def sr_disparity(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    server = customers.withColumn("c_acctbal", F.when(F.col("c_nationkey") == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    hashed = lambda df: hashing.record_hash(["c_custkey", "c_name", "c_acctbal"])
+    key = F.col("c_custkey").cast("string").alias("id")
+    return sync.disparities(server.select(key, F.when(F.col("c_nationkey") != 4, hashed(server)).alias("server_hash")), customers.select(key, hashed(customers).alias("client_hash")))
+
+
+@query(f"WITH {LOG} SELECT record_id, count(*) AS n_entries, max(entry_id) AS last_id FROM log WHERE type <> 4 GROUP BY record_id")
+def sr_request(spark, sf_dir):
+    return audit.grouped(log(spark, sf_dir).select("record_id", "entry_id", "type")).select("record_id", F.size("entries").cast("long").alias("n_entries"), F.expr("element_at(entries, -1).entry_id").alias("last_id"))
+
+
+@query(f"""WITH {LOG}, t AS ({state_sql('log')}) SELECT l.record_id, l.last_entry_id, CAST(t.k AS VARCHAR) AS hash, true AS authoritative FROM (SELECT record_id, max(entry_id) AS last_entry_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS d FROM log GROUP BY record_id) l JOIN t USING (record_id) WHERE NOT d AND t.live""")
+def cursors(spark, sf_dir):
+    entries = log(spark, sf_dir)
+    live = state_of(entries).where("live").select("record_id", F.col("k").cast("string").alias("h"))
+    return sync.cursors(entries, live, "h", authoritative=True)
+
+
+@query(f"WITH {LOG}, t AS ({state_sql('log')}) SELECT record_id, max(entry_id) AS last_id, record_id IN (SELECT record_id FROM t WHERE live) AS active FROM log GROUP BY record_id")
+def j_state(spark, sf_dir):
+    entries = log(spark, sf_dir)
+    return sync.states(entries, state_of(entries).where("live"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def j_reconcile(spark, sf_dir):
+    return sync.reconciled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")).distinct())
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT (c_acctbal > 1000 AND c_nationkey < 15)")
+def sub_removed(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return removed(found.matching({"c_acctbal": {"$gt": 0}}), found.matching({"c_acctbal": {"$gt": 1000}, "c_nationkey": {"$lt": 15}}), "c_custkey")
+
+
+@query(f"WITH n AS ({CHANGED}), e AS (SELECT * FROM customer WHERE c_nationkey <> 9) SELECT coalesce(e.c_custkey, n.c_custkey) AS id, CASE WHEN n.c_custkey IS NULL THEN 'missing' WHEN e.c_custkey IS NULL THEN 'extra' ELSE 'mismatch' END AS issue FROM e FULL JOIN n ON e.c_custkey = n.c_custkey WHERE e.c_custkey IS NULL OR n.c_custkey IS NULL OR e.c_acctbal <> n.c_acctbal")
+def integrity(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    hashed = lambda df: df.select(F.col("c_custkey").alias("id"), hashing.record_hash(["c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment"]).alias("hash"))
+    return sync.integrity(hashed(customers.where("c_nationkey <> 9")), hashed(changed_customers(customers)))
+
+
+@query(f"WITH {LOG}, v AS (SELECT record_id AS id, event_id % 3 AS client, max(entry_id) AS l, max_by(value, entry_id) FILTER (value IS NOT NULL) AS value FROM log WHERE value IS NOT NULL GROUP BY ALL) SELECT id, client, value FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY l DESC, client) = 1")
+def lww_clients(spark, sf_dir):
+    versions = log(spark, sf_dir).where("value is not null").groupBy(F.col("record_id").alias("id"), (F.col("event_id") % 3).alias("client")).agg(F.max("entry_id").alias("last_entry_id"), F.max_by("value", "entry_id").alias("value"))
+    return sync.latest_of_clients(versions)
+
+
+# Change batches and live queries
+
+
+@query("""WITH g AS (SELECT event_type, ts, event_id, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM g)
+    SELECT 'events' AS collection, event_type AS op, min(ts) AS begin, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n_changes, max(event_id) AS last_seq FROM n GROUP BY event_type, i""")
+def debounce(spark, sf_dir):
+    changes = table(spark, sf_dir, "events").select(F.lit("events").alias("collection"), F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return debounced(changes, "10 minutes").withColumn("begin", F.col("begin").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+def sub_query(spark, sf_dir):
+    return collection(spark, sf_dir, "orders").query(Request({"o_orderpriority": {"$like": "1%"}, "o_totalprice": {"$gt": 100000}}, [("o_totalprice", "desc")], limit=30))[0]
+
+
+@query("SELECT sha256(string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey)) AS result_hash FROM (SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey)")
+def result_hash(spark, sf_dir):
+    records = collection(spark, sf_dir, "customer").distinct_records("c_nationkey")
+    return hash_of(records.withColumn("pos", F.col("c_custkey")), "c_custkey")
