@@ -28,7 +28,7 @@ from quillon.llm.common import LOWER, crc_of, cut, map_file, new_path, pieces, r
 
 SPLITS = 8
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-PIECE = 16 << 20
+PIECE = 8 << 20
 STATS = ("count", "continuations", "followed", "once", "twice", "oftener")
 
 
@@ -197,7 +197,7 @@ def discounts(of_counts: list[int]) -> list[float]:
 def train(docs: DataFrame) -> Model:
     """Count all texts of ``docs`` (text) and write the model's files into a new shared folder."""
     spark = docs.sparkSession
-    folder, buckets = new_path(spark, "kneser-ney"), max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, buckets = new_path(spark, "kneser-ney"), max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches):
         for piece in pieces(batches, most=PIECE):
@@ -220,16 +220,20 @@ def train(docs: DataFrame) -> Model:
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, context, word, times = keys[head], context[head], word[head], np.add.reduceat(times.astype(np.int64), head)
         HashArrays.write(f"{folder}/pairs-{here}.bin", keys, times)
-        one, none = np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        as_context = (none, none, times, times == 1, times == 2, times > 2)
-        as_word = (times, one, none, none, none, none)
-        found = _by(np.concatenate([context, word]), *(np.concatenate(x) for x in zip(as_context, as_word)))
+        counts_of_counts = _of_counts(times)
+        del keys, order
+        # each side is summed by itself first, to hold little at once
+        contexts, followed, once, twice, oftener = _by(context, times, times == 1, times == 2, times > 2)
+        words, count, continuations = _by(word, times, np.ones(len(times), bool))
+        del context, word, times
+        none, nought = np.zeros(len(contexts), np.int64), np.zeros(len(words), np.int64)
+        found = _by(np.concatenate([contexts, words]), *(np.concatenate(x) for x in ((none, count), (none, continuations), (followed, nought), (once, nought), (twice, nought), (oftener, nought))))
         target = (found[0] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(target, kind="stable")
         edges = np.searchsorted(target[order], np.arange(buckets + 1))
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
         blobs = [b"".join(x[order[edges[b] : edges[b + 1]]].astype(np.uint64).tobytes() for x in found) for b in full]
-        counts = [_of_counts(times)] + [None] * (len(full) - 1)
+        counts = [counts_of_counts] + [None] * (len(full) - 1)
         return pa.table({"bucket": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary()), "source": pa.array([here] * len(full), pa.int32()), "counts": pa.array(counts, pa.list_(pa.int64()))})
 
     def write_words(rows: pa.Table) -> pa.Table:
