@@ -108,7 +108,7 @@ def written(kind: str, e: str, s: str) -> str:
     fill = f"""aggregate(split({e}, ''), named_struct('t', '', 'd', regexp_extract({s}, '[0-9]+$', 0)), (a, c) -> CASE WHEN c rlike '[0-9]'
         THEN named_struct('t', concat(a.t, substr(a.d, 1, 1)), 'd', substr(a.d, 2)) ELSE named_struct('t', concat(a.t, c), 'd', a.d) END, a -> a.t)"""
     case = f"array_join(zip_with(split({e}, ''), split({s}, ''), (c, d) -> CASE WHEN c <> lower(c) THEN upper(d) ELSE d END), '')"
-    return f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {fill} WHEN {kind} = 'name' THEN concat(regexp_extract({e}, {_q(r'^\p{L}+\.? ')}, 0), substr({s}, 3)) WHEN {kind} = 'ip' THEN {s} ELSE {case} END"
+    return f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {fill} WHEN {kind} = 'name' THEN concat(regexp_extract({e}, {_q(r'^\p{L}+\.? ')}, 0), substr({s}, 3)) WHEN {kind} = 'ip' THEN {s} WHEN {kind} = 'secret' THEN IF({e} = upper({e}), upper({s}), {s}) ELSE {case} END"
 
 
 def entities(docs: DataFrame) -> DataFrame:
