@@ -125,11 +125,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None
 
 
 def take_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The words as an Arrow string array (bytes of whole UTF-8 characters)."""
-    size = end - begin
-    to = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(to[-1]) + np.repeat(begin - to[:-1], size)
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data[at])])
+    """The words as an Arrow binary array; the spans ascend and don't overlap."""
+    to = np.concatenate([[0], np.cumsum(end - begin)])
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin] = 1
+    edge[end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data[inside])])
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -234,6 +234,7 @@ def train(docs: DataFrame) -> Model:
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
         blobs = [b"".join(x[order[edges[b] : edges[b + 1]]].astype(np.uint64).tobytes() for x in found) for b in full]
         counts = [counts_of_counts] + [None] * (len(full) - 1)
+        pa.default_memory_pool().release_unused()
         return pa.table({"bucket": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary()), "source": pa.array([here] * len(full), pa.int32()), "counts": pa.array(counts, pa.list_(pa.int64()))})
 
     def write_words(rows: pa.Table) -> pa.Table:
@@ -241,6 +242,8 @@ def train(docs: DataFrame) -> Model:
         parts = [np.frombuffer(b.as_buffer(), np.uint64).reshape(1 + len(STATS), -1) for b in rows["blob"]]
         found = _by(*np.concatenate(parts, axis=1))
         HashArrays.write(f"{folder}/words-{here}.bin", *found)
+        del parts
+        pa.default_memory_pool().release_unused()
         known = found[1] > 0
         continuations = found[2][found[2] > 0]
         kinds = [int((continuations == 1).sum()), int((continuations == 2).sum()), int((continuations > 2).sum())]
