@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from quillon.llm.common import LOWER, spread, take_words, text_bytes, word_spans
 #: Letters of which each is one character in normal form, with one lower-case letter.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 CLOSING = b".,!?;:"
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 _kept: dict[str, "WordEncoder"] = {}
 
 
@@ -37,7 +38,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}  # a word's ids, four bytes each
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -57,11 +58,11 @@ class WordEncoder:
             text = word.decode("utf-8", "replace").lower()
             if PLAIN.fullmatch(text):
                 plain = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-                self.known[word] = [t.id for t in self.model.tokenize(plain)]
+                self.known[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
             else:
                 slow.append(word)
         for word, ids in zip(slow, self._encode([w.decode("utf-8", "replace") for w in slow])):
-            self.known[word] = ids
+            self.known[word] = array("I", ids).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts end to end (uint32), and the offsets of the texts."""
@@ -93,13 +94,13 @@ class WordEncoder:
         if fresh := [w for w in distinct if w not in self.known]:
             self._learn(fresh)
         lists = [self.known[w] if w in self.known else self._again(w) for w in distinct]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         starts = np.cumsum(sizes) - sizes
         ids = flat[spread(starts[codes], sizes[codes])]
         return ids, np.concatenate([[0], np.cumsum(sizes[codes])])[parts_before]
 
-    def _again(self, word: bytes) -> list[int]:
+    def _again(self, word: bytes) -> bytes:
         self._learn([word])
         return self.known[word]
 
