@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files: lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

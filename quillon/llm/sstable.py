@@ -2,7 +2,7 @@
 
 A shard holds the documents of one range of identifiers, in ascending order::
 
-    block*   entries, each: u16 shared key bytes | u16 further key bytes | u32 value bytes | key bytes | value
+    block*   a zstd frame of entries, each: u16 shared key bytes | u16 further key bytes | u32 value bytes | key bytes | value
     index    u32 entries, then per block: u64 place | u32 bytes | u16 key bytes | last key of the block
     bloom    u64 bits, then the bits; 7 probes per key
     footer   64 bytes: magic, version, places of index and bloom, documents, ids
@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ def shard_bytes(rows: Iterator[tuple[int | None, np.ndarray]], width: int, block
     """The file of rows that come in ascending order of id; one block is in memory at a time, besides the index and the keys."""
     index, keys, at, n_ids = [], [], 0, 0
     block, last = bytearray(), b""
+    compress = zstandard.ZstdCompressor(3).compress
     for doc_id, ids in rows:
         key, value = key_of(doc_id), ids.astype(f"<u{width}").tobytes()
         shared = 0
@@ -65,13 +67,13 @@ def shard_bytes(rows: Iterator[tuple[int | None, np.ndarray]], width: int, block
         last, n_ids = key, n_ids + len(ids)
         keys.append(key)
         if len(block) >= block_size:
-            yield bytes(block)
-            index.append((at, len(block), last))
-            at, block = at + len(block), bytearray()
+            yield (frame := compress(bytes(block)))
+            index.append((at, len(frame), last))
+            at, block = at + len(frame), bytearray()
     if block:
-        yield bytes(block)
-        index.append((at, len(block), last))
-        at += len(block)
+        yield (frame := compress(bytes(block)))
+        index.append((at, len(frame), last))
+        at += len(frame)
     index_bytes = struct.pack("<I", len(index)) + b"".join(BLOCK.pack(a, n, len(k)) + k for a, n, k in index)
     bits = max(64, 10 * len(keys))
     bloom = bytearray((bits + 7) // 8)
@@ -100,8 +102,8 @@ class Shard:
 
     def _block(self, number: int) -> Iterator[tuple[bytes, np.ndarray]]:
         place, size = self.blocks[number]
-        raw, p, key = bytes(self.data[place : place + size]), 0, b""
-        while p < size:
+        raw, p, key = zstandard.ZstdDecompressor().decompress(bytes(self.data[place : place + size])), 0, b""
+        while p < len(raw):
             shared, more, n = ENTRY.unpack_from(raw, p)
             p += ENTRY.size
             key = key[:shared] + raw[p : p + more]
