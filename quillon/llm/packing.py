@@ -23,6 +23,8 @@ from quillon.llm.tokens import count_tokens
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 8_000_000
+#: Items of a packing group, on average, at most: very short documents fill a group by their number.
+GROUP_ITEMS = 200_000
 
 
 def cost(length: int) -> float:
@@ -71,18 +73,21 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def best_fit_pack(lengths: DataFrame, permitted: tuple[int, ...] = LENGTHS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def best_fit_pack(lengths: DataFrame, permitted: tuple[int, ...] = LENGTHS, group_tokens: int = GROUP_TOKENS, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(doc_id, piece, doc_offset, n_tokens, bin_id, bin_offset, bin_length) for (doc_id, n_tokens) rows.
 
-    The number of groups follows the total, so a group stays near ``group_tokens`` tokens at any size of input; pieces are
-    dealt by their own hash, so neither a hot id nor a very long document fills one group."""
+    The number of groups follows the totals, so a group stays near ``group_tokens`` tokens and ``group_items`` items at any
+    size of input; pieces are dealt by their row and number, so neither a repeated id nor a very long document fills one group."""
     most = max(permitted)
-    total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
-    groups = max(1, round(total / group_tokens))
-    items = lengths.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / most).cast("int"))).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece").cast("long") * most).alias("doc_offset"), F.least(F.lit(most), F.col("n_tokens") - F.col("piece") * most).cast("int").alias("size")
+    # rows are numbered once and stored, so a repeated task deals them alike
+    lengths = cut(lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row")), "lengths")
+    n_pieces = F.floor((F.col("n_tokens") - 1) / most) + 1
+    tokens, n_items = lengths.agg(F.sum("n_tokens"), F.sum(n_pieces)).first()
+    groups = max(1, round((tokens or 0) / group_tokens), round((n_items or 0) / group_items))
+    items = lengths.select("doc_id", "row", "n_tokens", F.explode(F.sequence(F.lit(0), (n_pieces - 1).cast("int"))).alias("piece")).select(
+        "doc_id", "row", "piece", (F.col("piece").cast("long") * most).alias("doc_offset"), F.least(F.lit(most), F.col("n_tokens") - F.col("piece") * most).cast("int").alias("size")
     )
-    grouped = items.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.lit(9)), F.lit(groups)).cast("int"))
+    grouped = items.withColumn("pack", F.pmod(F.xxhash64("row", "piece", F.lit(9)), F.lit(groups)).cast("int")).drop("row")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending")], null_placement="at_start"))
@@ -95,4 +100,4 @@ def best_fit_pack(lengths: DataFrame, permitted: tuple[int, ...] = LENGTHS, grou
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, permitted: tuple[int, ...] = LENGTHS) -> DataFrame:
-    return best_fit_pack(cut(token_lengths(docs, tokenizer), "lengths"), permitted)
+    return best_fit_pack(token_lengths(docs, tokenizer), permitted)

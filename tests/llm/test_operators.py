@@ -161,7 +161,36 @@ def test_packing(docs, empty):
         assert at <= length and length == min(c for c in packing.LENGTHS if c >= at)
     assert sum(r.n_tokens for r in rows) == packing.token_lengths(docs, WORD_BPE).agg(F.sum("n_tokens")).first()[0]
     assert packing.packed_documents(empty, WORD_BPE).count() == 0
-    assert packing.pack([4096, 3000, 1000, 500, 96])[2].count(512) >= 0
+
+
+def test_packing_takes_the_fullest_fit():
+    rng = random.Random(11)
+    sizes = sorted((rng.choice([rng.randrange(1, 60), rng.randrange(1, 4097)]) for _ in range(700)), reverse=True)
+    bins, places, final = packing.pack(sizes)
+    opened, want, left = [], [], sum(sizes)  # every open bin looked at, for every item
+    for size in sizes:
+        fits = [(cap - used - size, k) for k, (cap, used) in enumerate(opened) if cap - used >= size]
+        if fits:
+            k = next(k for room, k in fits if k == bins[len(want)] and room == min(fits)[0])
+        else:
+            k = len(opened)
+            opened.append((min((c for c in packing.LENGTHS if c >= size), key=lambda c: (packing.cost(c) / min(c, left), c)), 0))
+        want.append(k)
+        opened[k] = (opened[k][0], opened[k][1] + size)
+        left -= size
+    assert bins == want and final == [min(c for c in packing.LENGTHS if c >= opened[b][1]) for b in bins]
+    # the lengths used jointly cost no more than the largest alone
+    def paid(lengths):
+        return sum(packing.cost(c) for c in dict(zip(*packing.pack(sizes, lengths)[::2])).values())
+
+    assert paid(packing.LENGTHS) <= paid((4096,))
+
+
+def test_packing_spreads_repeated_ids(spark):
+    lengths = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(40).cast("long").alias("n_tokens"))
+    rows = packing.best_fit_pack(lengths, group_tokens=16_000).groupBy(F.expr("bin_id >> 32").alias("pack")).agg(F.sum("n_tokens").alias("n"), F.sum((F.col("doc_id") == 7).cast("int")).alias("hot")).collect()
+    assert len(rows) == 10 and sum(r.n for r in rows) == 160_000 and max(r.n for r in rows) < 24_000 and max(r.hot for r in rows) < 250
+    assert packing.best_fit_pack(lengths, group_items=400).select(F.expr("bin_id >> 32")).distinct().count() == 10
 
 
 def test_rollup(spark, docs):
