@@ -103,6 +103,38 @@ def test_links_lose_none(spark, entries):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def five_word_sets(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+
+@pytest.mark.parametrize("rows", [512, 4])
+def test_similar_texts_are_joined(spark, monkeypatch, rows):
+    """Every pair of similarity 0.8 and no other, also where a group is too large for one task (rows)."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+    rng = random.Random(3)
+    texts = ["a b c", "A  b c", "a b d", ""]
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 300))]
+        for edits in (0, 1, 2, 3, 5, 8, 1, 2):
+            own = list(words)
+            for k in rng.sample(range(len(own)), min(edits, len(own))):
+                own[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets, root = [five_word_sets(t) for t in texts], list(range(len(texts)))
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * 5 >= (len(sets[i] | sets[j])) * 4:
+                close += both * 10 < len(sets[i] | sets[j]) * 9
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert close > 20 and len(set(root)) > 14
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
 def test_decontamination(docs, spark, empty):
     item = "brown fox jumps over the lazy dog again and again"
     bench = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, "a b", 0), (4, None, 0), (5, "", 0), (None, "gamma", 0), (1, item, 1)], "item_id long, text string, doc_id int")
