@@ -210,6 +210,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a benchmark window, with all their columns. Rows of one id go together."""
-    gone = cut(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """The rows of ``docs`` without a benchmark window, with all their columns. Each row goes by its own text: others of its id, or without one, stay."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    named = docs.select(row.alias("doc_id"), "text")
+    gone = cut(contamination(named, benchmark).where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)

@@ -149,6 +149,22 @@ def test_decontamination(docs, spark, empty):
     assert decontaminate.keep_clean(docs, bench).columns == docs.columns
 
 
+def test_stages_decide_by_row(spark):
+    """Null ids and two texts of one id: each row stays or goes by itself."""
+    near = " ".join(f"n{i}" for i in range(200))
+    texts = [near, near + " end", *(" ".join(f"t{k}x{i}" for i in range(60)) for k in range(6)), "", None]
+    leak = texts[2]
+    rows = [(1, texts[0]), (None, texts[1]), (None, leak), (None, texts[3]), (7, texts[1] + " more"), (7, texts[4]), (7, texts[5]), (9, texts[6]), (9, texts[6]), (None, texts[7]), (None, texts[7]), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, other int")
+    stay = simhash.keep_one(docs)
+    assert stay.columns == docs.columns
+    ids = lambda df: sorted(((r.doc_id, r.text or "") for r in df.collect()), key=str)
+    assert ids(stay) == sorted([(1, texts[0]), (None, leak), (None, texts[3]), (7, texts[4]), (7, texts[5]), (9, texts[6]), (None, texts[7]), (5, "")], key=str)
+    bench = spark.createDataFrame([(1, leak), (2, texts[4])], "item_id long, text string")
+    clean = decontaminate.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and ids(clean) == sorted([(i, t or "") for i, t in rows if t not in (leak, texts[4])], key=str)
+
+
 def test_language_model(docs, empty):
     model = kneser_ney.train(docs)
     rows = {r.doc_id: r for r in kneser_ney.score(docs, model).collect()}
