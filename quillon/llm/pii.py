@@ -1,7 +1,8 @@
 """Surrogates for personal data (operator 10); DataFrame functions only.
 
-Entities are e-mail addresses, phone, payment card (Luhn-valid) and US social security numbers, IPv4 addresses, quoted
-hexadecimal secrets, and names after a title. Each is replaced by a surrogate of its type that is a keyed hash of its
+Entities are e-mail addresses, phone, payment card (Luhn-valid) and US social security numbers, IPv4 addresses, hexadecimal
+secrets after a quote, colon or equals sign, and names after a title; in a text that has these, the same names and their
+parts without a title too. Each is replaced by a surrogate of its type that is a keyed hash of its
 canonical form: an address keeps its shape and top domain, a card its length, issuer digit and a right check digit, a
 phone its country code and punctuation, a name its title, gender and script. The same entity gets the same surrogate
 everywhere, however it is written (case, spacing).
@@ -25,12 +26,26 @@ from quillon.llm.common import cut
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+PHONE = "|".join((
+    r"(?<![\d+])\+\d{1,3}[ -]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\d+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\d+])\+\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",  # E.164: 7 to 15 digits, however grouped
+    r"(?<![\d(-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\(?\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+    r"(?<![\p{L}\d.,+(/-])(?!\d{2}[/-]\d{2}[/-]\d{4}|\d{3}-\d{2}-\d{4})\(?0[1-9]\d{0,3}\)?[ /-]\d(?:[ /-]?\d){5,8}(?![\d-])",  # trunk prefix 0
+))
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
-SECRET = r'(?<=")(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?=")'
-MALE, FEMALE = "Mr|Herr|Señor|Sr|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа"
-NAME = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+SECRET = r"""(?<=["'=:]|[=:] )(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"""
+MALE, FEMALE = "Mr|Mister|Sir|Lord|Herrn?|Señor|Sr|Don|Monsieur|Господин", "Mrs|Ms|Miss|Lady|Madam|Frau|Fräulein|Señora|Señorita|Sra|Srta|Doña|Madame|Mademoiselle|Mme|Mlle|Госпожа"
+TITLE = f"{MALE}|{FEMALE}|Mx|Dr|Doctor|Doktor|Dra|Docteur|Prof|Professor|Professeur|Rev|Reverend|Judge|Capt|Captain|Доктор|Профессор"
+#: Capitalised words that begin a sentence rather than go on with a name.
+NOT_PART = "The|He|She|It|They|We|This|That|And|But|In|On|At|Der|Die|Das|Er|Sie|Es|Und|Aber|Im|Am|El|Los|Las|Ella|Pero|En|Il|Elle|Les|Mais|Он|Она|Они|Это|Но|В|На"
+PART = rf"(?!(?:{NOT_PART}|{TITLE})(?![\p{{L}}'’-]))(?:\p{{Lu}}\.(?= ?\p{{Lu}})|\p{{Lu}}(?:['’]\p{{Lu}})?[\p{{L}}\p{{M}}]+(?:['’][\p{{L}}\p{{M}}]{{2,}}|-[\p{{L}}\p{{M}}]+)*+)"
+LINK = "van|von|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|ten|ter|bin|ibn|al|af|av|y"
+TITLES = rf"(?:(?:{TITLE})\.? )+"
+NAME = rf"(?<!\p{{L}}){TITLES}(?:(?:{LINK}) ){{0,3}}{PART}(?: ?(?<=[. ])(?:(?:{LINK}) ){{0,3}}{PART})*(?!\p{{L}})"
+#: A phone's country code: what stands apart, else by the numbering plan.
+CODE = r"^\+(?:\d{1,3}(?=[ .(/-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ENTITY = "|".join((EMAIL, IPV4, PHONE, SSN, CARD, SECRET, NAME))
 GIVEN = {
     ("m", "latin"): "Adam Anton Bruno Carl Daniel David Emil Felix Gabriel Henry Hugo Jacob Jonas Leo Lucas Marc Martin Noah Oscar Paul Robert Simon Thomas Victor",
@@ -38,6 +53,7 @@ GIVEN = {
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Максим Никита Олег Павел Роман Семён",
     ("f", "cyrillic"): "Алла Анна Вера Галина Дарья Елена Зоя Инна Ирина Лариса Мария Нина Ольга Полина Раиса Софья",
 }
+GIVEN |= {("n", script): f"{GIVEN['m', script]} {GIVEN['f', script]}" for script in ("latin", "cyrillic")}
 SURNAME = {
     "latin": ("Al Bar Bel Ber Bor Bran Cal Car Cor Dal Dor El Fal Far Gar Hal Har Kel Lan Mar Mel Nor Or Pal Per Ros Sal Sel Tal Tor Val Win", "a be da di do e fe ga la le li lo ma mi na ne ni o ra re ri ro sa se si so ta te ti to va ve", "berg bury dale feld field ford ham hart holm land ley lin low man mann mont more ner rick sen son stein ton vale ville ward way well wick win wood worth"),
     "cyrillic": ("Бар Бел Бор Вар Вол Гал Гор Дан Дол Дор Зар Кал Кар Кол Кор Лар Лот Мал Мар Мил Нал Нор Пал Пер Рад Сал Сор Тал Тар Тол Яр Ял", "а бе ва ви га го да до е за и ка ки ко ла ле ли ло ма ми мо на не ни но о ра ре ри са се та", "вин дов дин ев зин кин ков лев лин лов мин мов нев нин нов пин пов рев рин ров сев син сов тев тин тов хин хов цев чин чев шин"),
@@ -63,9 +79,9 @@ def kind_of(e: str) -> str:
 
 def canonical(kind: str, e: str) -> str:
     """SQL for what all spellings of one entity share."""
-    given = f"CASE WHEN {e} rlike {_q('^(?:' + MALE + r')\b')} THEN 'm' ELSE 'f' END"
-    return f"""CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN concat(regexp_extract({e}, {_q(r'^\+\d{1,3}')}, 0), ' ', regexp_replace({e}, '[^0-9]', ''))
-        WHEN {kind} = 'name' THEN concat({given}, ' ', regexp_replace({e}, {_q(r'^\p{L}+\.? ')}, '')) ELSE lower({e}) END"""
+    given = f"CASE WHEN {e} rlike {_q(f'^(?:{MALE})[. ]')} THEN 'm' WHEN {e} rlike {_q(f'^(?:{FEMALE})[. ]')} THEN 'f' ELSE 'n' END"
+    return f"""CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN concat(regexp_extract({e}, {_q(CODE)}, 0), ' ', regexp_replace({e}, '[^0-9]', ''))
+        WHEN {kind} = 'name' THEN concat({given}, ' ', regexp_replace({e}, {_q('^' + TITLES)}, '')) ELSE lower({e}) END"""
 
 
 def surrogate(kind: str, canon: str, attempt: str, key: str, chars: int = 64) -> str:
@@ -103,22 +119,37 @@ def surrogate(kind: str, canon: str, attempt: str, key: str, chars: int = 64) ->
         ELSE {name} END), 1)"""
 
 
-def written(kind: str, e: str, s: str) -> str:
+def written(kind: str, e: str, s: str, canon: str) -> str:
     """SQL for the surrogate ``s`` in the spelling of the mention ``e``."""
     fill = f"""aggregate(split({e}, ''), named_struct('t', '', 'd', regexp_extract({s}, '[0-9]+$', 0)), (a, c) -> CASE WHEN c rlike '[0-9]'
         THEN named_struct('t', concat(a.t, substr(a.d, 1, 1)), 'd', substr(a.d, 2)) ELSE named_struct('t', concat(a.t, c), 'd', a.d) END, a -> a.t)"""
     case = f"array_join(zip_with(split({e}, ''), split({s}, ''), (c, d) -> CASE WHEN c <> lower(c) THEN upper(d) ELSE d END), '')"
-    return f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {fill} WHEN {kind} = 'name' THEN concat(regexp_extract({e}, {_q(r'^\p{L}+\.? ')}, 0), substr({s}, 3)) WHEN {kind} = 'ip' THEN {s} WHEN {kind} = 'secret' THEN IF({e} = upper({e}), upper({s}), {s}) ELSE {case} END"
+    bare = f"regexp_replace({e}, {_q('^' + TITLES)}, '')"
+    name = f"""concat(regexp_extract({e}, {_q('^' + TITLES)}, 0), CASE WHEN {bare} = substr({canon}, 3) THEN substr({s}, 3)
+        WHEN {bare} = substring_index({canon}, ' ', -1) THEN substring_index({s}, ' ', -1) ELSE substring_index(substr({s}, 3), ' ', 1) END)"""
+    return f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {fill} WHEN {kind} = 'name' THEN {name} WHEN {kind} = 'ip' THEN {s} WHEN {kind} = 'secret' THEN IF({e} = upper({e}), upper({s}), {s}) ELSE {case} END"
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``docs`` with _ents: array of (e, kind, canon), null where the text has none."""
-    likely = F.col("text").rlike(rf"[0-9@]|(?:{MALE}|{FEMALE})\.? ")
+    """``docs`` with _ents: array of (e, kind, canon), null where the text has none, and _pattern: what its text is split by.
+
+    The pattern of a text with titled names also finds these names, and their parts, where no title stands before them."""
+    likely = F.col("text").rlike(rf"[0-9@]|(?:{TITLE})\.? ")
     raw = F.when(likely, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
+    titled = f"""transform(array_distinct(filter(_raw, e -> e rlike {_q('^' + TITLES)} AND NOT contains(e, '@'))), e -> {canonical("'name'", 'e')})"""
+    part = f"""filter(split(substr(n, 3), ' '), (w, i) -> w rlike {_q(r'^\p{Lu}[^.]')})"""
+    words = f"array_distinct(flatten(transform(_names, n -> concat(array(substr(n, 3)), {part}))))"
+    longest = f"array_sort({words}, (a, b) -> length(b) - length(a))"
+    bare = f"""concat({_q('(?<![' + chr(92) + 'p{L}' + chr(92) + 'p{M}])(?:')}, array_join(transform({longest}, w -> concat({_q(chr(92) + 'Q')}, w, {_q(chr(92) + 'E')})), '|'), {_q(')(?![' + chr(92) + 'p{L}' + chr(92) + 'p{M}])')})"""
+    found = docs.withColumn("_raw", raw).withColumn("_raw", F.when(F.size("_raw") > 0, F.col("_raw"))).withColumn("_names", F.expr(titled))
+    found = found.withColumn("_pattern", F.when(F.size("_names") > 0, F.concat(F.lit(ENTITY + "|"), F.expr(bare))).otherwise(F.lit(ENTITY)))
+    found = found.withColumn("_raw", F.when(F.size("_names") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_raw")))
     typed = F.expr(f"transform(_raw, e -> named_struct('e', e, 'kind', {kind_of('e')}))")
-    full = F.expr(f"transform(_typed, x -> named_struct('e', x.e, 'kind', x.kind, 'canon', {canonical('x.kind', 'x.e')}))")
-    found = docs.withColumn("_raw", raw).withColumn("_raw", F.when(F.size("_raw") > 0, F.col("_raw")))
-    return found.withColumn("_typed", typed).withColumn("_ents", full).drop("_raw", "_typed")
+    # an untitled mention is the first of the text's names that it is, else of which it is a part
+    own = "coalesce(get(filter(_names, n -> substr(n, 3) = x.e), 0), get(filter(_names, n -> array_contains(split(substr(n, 3), ' '), x.e)), 0))"
+    named = f"CASE WHEN x.kind = 'name' AND NOT x.e rlike {_q('^' + TITLES)} THEN {own} ELSE {canonical('x.kind', 'x.e')} END"
+    full = F.expr(f"transform(_typed, x -> named_struct('e', x.e, 'kind', x.kind, 'canon', {named}))")
+    return found.withColumn("_typed", typed).withColumn("_ents", full).drop("_raw", "_typed", "_names")
 
 
 def attempts(docs: DataFrame, key: str, chars: int = 64) -> DataFrame:
@@ -153,8 +184,8 @@ def pseudonymise(docs: DataFrame, key: str, chars: int = 64) -> DataFrame:
         found = owned.join(numbers, "_own", "left").drop("_own")
         number = "coalesce(_tries[concat_ws('\\n', x.kind, x.canon)], 0)"
     replaced = f"""transform(_ents, x -> CASE WHEN x.kind IS NULL THEN x.e ELSE
-        element_at(transform(array({surrogate('x.kind', 'x.canon', number, key, chars)}), s -> {written('x.kind', 'x.e', 's')}), 1) END)"""
-    rebuilt = f"array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), {replaced}, (p, r) -> array(p, coalesce(r, '')))), '')"
+        element_at(transform(array({surrogate('x.kind', 'x.canon', number, key, chars)}), s -> {written('x.kind', 'x.e', 's', 'x.canon')}), 1) END)"""
+    rebuilt = f"array_join(flatten(zip_with(split(text, _pattern, -1), {replaced}, (p, r) -> array(p, coalesce(r, '')))), '')"
     columns = [F.when(F.col("_ents").isNull(), F.col("text")).otherwise(F.expr(rebuilt)).alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return found.select(*columns, kinds.alias("pii"))
 

@@ -298,6 +298,27 @@ def test_surrogates(spark, empty):
     assert found[3].text == rows[2][1] and found[4].text is None and found[5].text == "" and pii.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("phone", ["+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+49 30 12345678", "+49 (30) 12345678", "+7 495 123-45-67", "(555) 123 4567", "(555)123-4567", "1-800-555-1234", "020 7946 0958", "01 23 45 67 89"])
+def test_phones_of_all_groupings(spark, phone):
+    texts = [f"call {phone}, or {phone}.", "on 01-02-2024 or 2024-01-02 10:20, 012-34-5678"]
+    found = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    shape = re.escape(re.sub(r"\d", "9", phone)).replace("9", r"\d")
+    a, b = re.fullmatch(rf"call ({shape}), or ({shape})\.", found[0].text).groups()
+    assert found[0].pii == "phone,phone" and a == b != phone and found[1].pii == "ssn"
+
+
+def test_names_in_full_and_without_a_title(spark):
+    texts = ["Mr John Paul Smith came. Smith left; John Paul Smith stayed.", "Mrs Mary-Jane Watson, Mr McDonald, Mrs O'Neil and Dr Jane Doe.", "Herr Braun schrieb. Dann ging Braun, und Brauner blieb.", "Prof. Dr. J. R. Hartley's book. The Hartley book.", "Mr Smith The end. The end.", "Braun alone."]
+    out = [r.text for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    first, last, after, whole = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) left; (\w+ \w+) stayed\.", out[0]).groups()
+    assert after == last and whole == f"{first} {last}" and not {"John", "Paul", "Smith"} & set(re.findall(r"\w+", out[0]))
+    assert re.fullmatch(r"Mrs \w+ \w+, Mr \w+, Mrs \w+ and Dr \w+ \w+\.", out[1]) and not re.search("Mary|Jane|Watson|McDonald|Neil|Doe", out[1])
+    a, b = re.fullmatch(r"Herr (\w+) schrieb\. Dann ging (\w+), und Brauner blieb\.", out[2]).groups()
+    assert a == b != "Braun"
+    a, b = re.fullmatch(r"Prof\. Dr\. \w+ (\w+)'s book\. The (\w+) book\.", out[3]).groups()
+    assert a == b != "Hartley" and re.fullmatch(r"Mr (?!Smith)\w+ The end\. The end\.", out[4]) and out[5] == texts[5]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"from 10.0.{i}.7 to 10.0.{i}.7") for i in range(60)]
     out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", chars=2).collect()
