@@ -2,7 +2,7 @@
 
 Words are 64-bit hashes. A task counts the word pairs of its training texts and sends each bucket one packed blob of
 them; a bucket's reducer adds them up and writes them as a sorted array of pair hashes with counts. A bucket holds a
-context's pairs, and a frequent context is spread over ``SPLITS`` buckets by the following word, so none meets whole in
+context's pairs, and a frequent context is spread over ``SPLITS`` buckets or more by the following word, so none meets whole in
 one task. From the pairs come, by a second exchange of sums per word, each word's count, continuation count, and its
 numbers of followers seen once, twice and oftener; these are sorted hash arrays too. Workers map the files into memory
 and score a text by binary search: nothing of the model passes through the driver but a few totals.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, crc_of, cut, map_file, new_path, pieces, replace_column, take_words, text_bytes, word_spans, write_file
 
 SPLITS = 8
+#: Bytes of text whose pairs a bucket holds on average, at most.
+BUCKET_BYTES = 8 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 8 << 20
 STATS = ("count", "continuations", "followed", "once", "twice", "oftener")
@@ -43,8 +45,13 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(3) + mix(word))
 
 
+def splits_for(buckets: int) -> int:
+    """Over how many buckets a context is spread: one with a sixteenth of all words adds an average bucket to each at most."""
+    return max(SPLITS, -(-buckets // 16))
+
+
 def pair_buckets(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(context + (word % np.uint64(SPLITS)) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(buckets)).astype(np.int64)
+    return (mix(context + (word % np.uint64(splits_for(buckets))) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(buckets)).astype(np.int64)
 
 
 def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +204,8 @@ def discounts(of_counts: list[int]) -> list[float]:
 def train(docs: DataFrame) -> Model:
     """Count all texts of ``docs`` (text) and write the model's files into a new shared folder."""
     spark = docs.sparkSession
-    folder, buckets = new_path(spark, "kneser-ney"), max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    folder, buckets = new_path(spark, "kneser-ney"), max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def count(batches):
         for piece in pieces(batches, most=PIECE):

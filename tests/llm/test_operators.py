@@ -176,6 +176,20 @@ def test_language_model(docs, empty):
     assert kneser_ney.score(docs, kneser_ney.train(empty)).count() == docs.count()
 
 
+def test_language_model_buckets_follow_the_input(docs, monkeypatch):
+    before = {r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.train(docs)).collect() if r.doc_id != 4}
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 1000)
+    model = kneser_ney.train(docs)
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert model.buckets >= size / 1000 > 100
+    after = {r.doc_id: r.score for r in kneser_ney.score(docs, model).collect() if r.doc_id != 4}
+    assert before.keys() == after.keys() and all(after[i] == pytest.approx(before[i]) for i in before)
+    # a frequent context's pairs are spread over more buckets where there are more
+    words = np.random.default_rng(1).integers(0, 1 << 63, 100_000, np.uint64)
+    most = np.bincount(kneser_ney.pair_buckets(np.full(len(words), 7, np.uint64), words, 6000)).max()
+    assert most < len(words) / 50
+
+
 def test_tokens_equal_the_tokenizer():
     encoder = WordEncoder.of(WORD_BPE)
     texts = [t or "" for t in TEXTS] + ["It's ,,, ..'s x.'s", "A.B.C. a.,b;'ll ×. ñ.,", "ΣΑΣ İ ﬁ Ǆ x"]
