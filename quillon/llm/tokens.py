@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer drops white space and never joins across it, and always ends a run of letters before
 punctuation. So a text's ids are those of its words end to end, and a word's ids those of its letters and of the
-punctuation that closes it. Words repeat, so a worker keeps the ids of those that it has met.
+punctuation that closes it. Words repeat, so a worker keeps the ids of those that it has met. A-Z are lowered first, as the
+tokenizer would, but not in words with ``<|``: these may hold special tokens, which it looks for in the raw text.
 """
 
 from __future__ import annotations
@@ -66,15 +67,19 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts end to end (uint32), and the offsets of the texts."""
-        data, offsets = text_bytes(column)
-        data = LOWER[data]
+        raw, offsets = text_bytes(column)
+        data = LOWER[raw]
         begin, end, words_before = word_spans(data, offsets)
+        if len(marks := np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))):  # "<|"
+            special = np.unique(np.searchsorted(begin, marks, side="right") - 1)
+            own = spread(begin[special], end[special] - begin[special])
+            data[own] = raw[own]
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         closing = np.zeros(256, bool)
         closing[list(CLOSING)] = True
         letter = np.zeros(256, bool)
-        letter[97:123] = True
+        letter[97:123] = letter[65:91] = True
         # split off what closes a word, where a letter stands before it
         body = end.copy()
         while True:
