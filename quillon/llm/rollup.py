@@ -1,10 +1,14 @@
 """Token-count rollups kept up to date by signed deltas (operator 2).
 
-A store is a folder with one subfolder per committed batch. A batch is summed to (source, lang, version, n_docs,
-n_tokens) before anything is written: an insert counts +1 and its tokens, a delete -1 and minus its tokens, a revised
-count the difference. Totals are the sums over all batches, so batches may come in any order. A batch's folder is named
-by its identifier and appears by one rename-safe Spark commit (``_SUCCESS``); committing an identifier again does
-nothing. ``compact`` folds many batches into one that remembers their names.
+A batch is summed to (source, lang, version, n_docs, n_tokens) before anything is written: an insert counts +1 and its
+tokens, a delete -1 and minus its tokens, a revised count the difference. Totals are the sums over all batches, so batches
+may come in any order.
+
+A store is a folder of data folders, each written under a new name, and of numbered manifests. A manifest lists the data
+folders that count and the identifiers of all batches in them. A commit or a compaction writes its data first, then the
+next manifest, by one rename that fails where that number exists; who loses the race reads the newest manifest and tries
+again. Readers take the newest manifest only, so they see a batch wholly or not at all, once, before, during and after
+a compaction; stopped anywhere, both can be repeated. ``vacuum`` deletes folders that no manifest has named for long enough.
 
 Nulls: a null source or language is a group of its own; a null count is 0. Rows of one id each count. Totals of zero
 documents and tokens stay as rows, so that a reader sees the group emptied. An empty batch commits, and changes nothing.
@@ -12,6 +16,11 @@ documents and tokens stay as rows, so that a reader sees the group emptied. An e
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,49 +47,96 @@ def revised(rows: DataFrame) -> DataFrame:
 
 
 class RollupStore:
+    """The Hadoop file system that Spark itself uses holds the manifests, so any store that Spark can write will do."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.store = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, name: str) -> bool:
-        path, store = self._path(name)
-        return store.exists(path)
+        return self.hadoop.Path(name)
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(str(x.getPath().getName()) for x in self.store.listStatus(path)) if self.store.exists(path) else []
+
+    def _newest(self) -> tuple[int, dict]:
+        """The number and content of the newest manifest."""
+        numbers = [int(n) for n in self._names(f"{self.folder}/manifests") if n.isdigit()]
+        if not numbers:
+            return 0, {"batches": [], "folders": []}
+        text = self.spark.read.text(f"{self.folder}/manifests/{max(numbers):012d}", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _publish(self, number: int, manifest: dict) -> bool:
+        """Make ``manifest`` the one of this number; False if there is one already."""
+        here, there = f"{self.folder}/manifests/{uuid.uuid4().hex}.part", f"{self.folder}/manifests/{number:012d}"
+        out = self.store.create(self._path(here))
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        local = self._path(here).toUri().getPath()
+        try:
+            if self.store.getUri().getScheme() == "file":
+                os.link(local, self._path(there).toUri().getPath())  # a local rename would replace
+                os.unlink(local)
+                return True
+            # refused where the name exists
+            if not self.store.exists(self._path(there)) and self.store.rename(self._path(here), self._path(there)):
+                return True
+        except FileExistsError:
+            pass
+        self.store.delete(self._path(here), False)
+        return False
 
     def committed(self, batch_id: str) -> bool:
-        return self._exists(f"{self.folder}/batch={batch_id}/_SUCCESS") or self._exists(f"{self.folder}/folded/{batch_id}")
+        return batch_id in self._newest()[1]["batches"]
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Add a batch once; False if it was there. A half-written batch of a lost driver is overwritten."""
+        """Add a batch once; False if it was there, also where another driver adds it at the same time."""
         if self.committed(batch_id):
             return False
+        name = f"data/{uuid.uuid4().hex}"
         summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-        return True
-
-    def batches(self) -> list[str]:
-        path, store = self._path(self.folder)
-        names = [str(x.getPath().getName()) for x in store.listStatus(path)] if store.exists(path) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
-
-    def totals(self) -> DataFrame:
-        paths = [f"{self.folder}/batch={b}" for b in self.batches()]
+        summed.write.parquet(f"{self.folder}/{name}")
+        while True:
+            number, now = self._newest()
+            if batch_id in now["batches"]:
+                return False
+            if self._publish(number + 1, {"batches": [*now["batches"], batch_id], "folders": [*now["folders"], name]}):
+                return True
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/{f}" for f in folders]
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
-    def compact(self, batch_id: str) -> None:
-        """Fold all batches into one. Their names stay as empty marks, so that a late repeat is still refused."""
-        old = self.batches()
-        cut_totals = cut(self.totals(), "totals")
-        for b in old:
-            path, store = self._path(f"{self.folder}/folded/{b}")
-            store.mkdirs(path)
-        cut_totals.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-        for b in old:
-            path, store = self._path(f"{self.folder}/batch={b}")
-            store.delete(path, True)
+    def totals(self) -> DataFrame:
+        return self._read(self._newest()[1]["folders"])
+
+    def compact(self, label: str = "folded") -> None:
+        """Fold the data folders into one (``label`` only begins its name); batches keep their identifiers, so that a late repeat is still refused."""
+        old = self._newest()[1]["folders"]
+        if len(old) < 2:
+            return
+        name = f"data/{label}-{uuid.uuid4().hex}"
+        self._read(old).write.parquet(f"{self.folder}/{name}")
+        while True:
+            number, now = self._newest()
+            if not set(old) <= set(now["folders"]):
+                return  # another compaction was first
+            if self._publish(number + 1, {"batches": now["batches"], "folders": [name, *(f for f in now["folders"] if f not in old)]}):
+                return
+
+    def vacuum(self, older_than_s: float = 7 * 86_400) -> None:
+        """Delete data folders and unfinished manifests that the newest manifest doesn't name and that are old enough for no reader or writer to need them."""
+        number, now = self._newest()
+        kept = {*now["folders"], f"manifests/{number:012d}"}
+        for folder in ("data", "manifests"):
+            for name in self._names(f"{self.folder}/{folder}"):
+                path = self._path(f"{self.folder}/{folder}/{name}")
+                if f"{folder}/{name}" not in kept and self.store.getFileStatus(path).getModificationTime() / 1000 <= time.time() - older_than_s:
+                    self.store.delete(path, True)
 
 
 def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
