@@ -3,10 +3,11 @@
 ``build_index`` stores the postings of every word of the training texts: one row per segment (a run of documents of
 bounded size), holding its sorted terms and, per term, the ascending positions of its occurrences; documents stand one
 position apart, so that no phrase runs over a border. ``search`` takes benchmark windows (each run of ``window`` words of
-an item) in blocks of bounded size, and in each segment takes the positions of a window's rarest term, moves them by the
+an item, distinct ones once) in blocks of bounded size, and in each segment takes the positions of a window's rarest term, moves them by the
 term's offset, and keeps those that the lists of the other terms, rarest first, hold at their own offsets. With
 ``slack`` over 0 a term may stand that many words off its place (proximity match). Segments are independent: nothing of
-the corpus is shuffled, and a passage that many documents share is found in each by its own task.
+the corpus is shuffled, and a passage that many documents share is found in each by its own task. A hit names its windows;
+which items have them is a join of the hits alone, so neither the driver nor a task holds all items of a common window.
 
 Nulls, ties: null has no words; an item without words has no window; one of fewer words than ``window`` is one window.
 Null item ids are dropped from the items of a hit, not from the hit. Repeated documents get a row each; items of one id
@@ -21,17 +22,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, cut, pieces, replace_column, spread, take_words, text_bytes, word_spans
+from quillon.llm.common import LOWER, cut, free_names, pieces, replace_column, spread, take_words, text_bytes, word_spans
 
 WINDOW = 10
-#: (window, item) rows of the benchmark that are searched for at once; more rows are further blocks.
+#: Distinct windows of the benchmark that are searched for at once; more are further blocks.
 BLOCK_WINDOWS = 50_000
 CANDIDATES = 1 << 20
 INSIDE = np.zeros(256, bool)
 INSIDE[48:58] = INSIDE[97:123] = INSIDE[128:] = True
 
 INDEX = "doc_ids array<long>, sizes array<int>, terms array<binary>, counts array<int>, postings array<int>"
-HITS = "segment long, at int, doc_id long, n_words long, runs array<struct<begin: int, end: int>>, items array<long>"
+HITS = "segment long, at int, doc_id long, n_words long, runs array<struct<begin: int, end: int>>, windows array<long>"
 
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -83,22 +84,16 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class Block:
-    """The windows of one block as arrays: a vocabulary, a padded matrix of term numbers, and the items of each window."""
+    """The windows of one block as arrays: their numbers, a vocabulary, and a padded matrix of term numbers."""
 
-    def __init__(self, rows: list[tuple[tuple[bytes, ...], int | None]], window: int):
-        by_window: dict[tuple[bytes, ...], list[int]] = {}
-        for words, item in rows:
-            by_window.setdefault(tuple(map(bytes, words)), []).extend([] if item is None else [item])
+    def __init__(self, rows: list[tuple[tuple[bytes, ...], int]], window: int):
         number: dict[bytes, int] = {}
-        self.terms = np.full((len(by_window), window), -1, np.int32)
-        for row, words in zip(self.terms, by_window):
-            row[: len(words)] = [number.setdefault(w, len(number)) for w in words]
+        self.names = np.array([name for _, name in rows], np.int64)
+        self.terms = np.full((len(rows), window), -1, np.int32)
+        for row, (words, _) in zip(self.terms, rows):
+            row[: len(words)] = [number.setdefault(bytes(w), len(number)) for w in words]
         self.sizes = (self.terms >= 0).sum(1)
         self.vocabulary = pa.array(list(number), pa.binary())
-        lists = [sorted(set(x)) for x in by_window.values()]
-        self.item_counts = np.array([len(x) for x in lists], np.int64)
-        self.items = np.array([i for x in lists for i in x], np.int64)
-        self.item_starts = np.cumsum(self.item_counts) - self.item_counts
 
 
 def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -159,27 +154,30 @@ def _segment_hits(block: Block, row: dict, slack: int) -> pa.RecordBatch:
     stop = np.minimum(stop, base[doc_of_run] + sizes[doc_of_run]) if len(begin) else stop
     n_runs = np.bincount(doc_of_run, minlength=len(sizes))
     doc = np.searchsorted(base, place, side="right") - 1
-    pairs = np.unique(np.stack([np.repeat(doc, block.item_counts[window]), block.items[spread(block.item_starts[window], block.item_counts[window])]], 1), axis=0) if len(window) else np.zeros((0, 2), np.int64)
-    n_items = np.bincount(pairs[:, 0], minlength=len(sizes))
+    pairs = np.unique(np.stack([doc, block.names[window]], 1), axis=0) if len(window) else np.zeros((0, 2), np.int64)
+    n_windows = np.bincount(pairs[:, 0], minlength=len(sizes))
     offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
     runs = pa.StructArray.from_arrays([pa.array(begin - base[doc_of_run], pa.int32()), pa.array(stop - base[doc_of_run], pa.int32())], ["begin", "end"])
     return pa.record_batch(
-        [pa.array(np.full(len(sizes), row["segment"])), pa.array(np.arange(len(sizes)), pa.int32()), row["doc_ids"], pa.array(sizes), pa.ListArray.from_arrays(offsets(n_runs), runs), pa.ListArray.from_arrays(offsets(n_items), pa.array(pairs[:, 1]))],
-        names=["segment", "at", "doc_id", "n_words", "runs", "items"],
+        [pa.array(np.full(len(sizes), row["segment"])), pa.array(np.arange(len(sizes)), pa.int32()), row["doc_ids"], pa.array(sizes), pa.ListArray.from_arrays(offsets(n_runs), runs), pa.ListArray.from_arrays(offsets(n_windows), pa.array(pairs[:, 1]))],
+        names=["segment", "at", "doc_id", "n_words", "runs", "windows"],
     )
 
 
-def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: int = 0, block_rows: int = BLOCK_WINDOWS) -> DataFrame:
+def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, runs, items) of every indexed document: its hit word runs, disjoint and in order, and the item ids.
 
-    The benchmark goes to the tasks in blocks of about ``block_rows`` rows; each block is one pass over the index."""
+    The distinct windows go to the tasks in blocks of about ``block_windows``; each block is one pass over the index, and its
+    hits are written before the next block is sent."""
+    spark = index.sparkSession
     windows = cut(windows, "windows")
-    blocks = max(1, -(-windows.count() // block_rows))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    parts = []
-    for number in range(blocks):
-        rows = [(r.words, r.item_id) for r in numbered.where(F.col("block") == number).toLocalIterator()]
-        block = index.sparkSession.sparkContext.broadcast(Block(rows, window))
+    distinct = cut(windows.select("words").distinct().withColumn("name", F.monotonically_increasing_id()), "distinct")
+    of_items = cut(windows.where("item_id is not null").join(distinct, "words").select("name", "item_id"), "items")
+    blocks = max(1, -(-distinct.count() // block_windows))
+    every = None
+    for k in range(blocks):
+        rows = [(r.words, r.name) for r in distinct.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).toLocalIterator()]
+        block = spark.sparkContext.broadcast(Block(rows, window))
 
         def run(batches, block=block):
             for batch in batches:
@@ -187,23 +185,26 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: in
                     row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
                     yield _segment_hits(block.value, {n: v.as_py() if n == "segment" else v.values if n in ("doc_ids", "terms") else v.values.to_numpy() for n, v in row.items()}, slack)
 
-        parts.append(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS))
-    if blocks == 1:
-        return parts[0].select("doc_id", "n_words", "runs", "items")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("segment", "at", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    join = """aggregate(all, cast(array() as array<struct<begin: int, end: int>>), (done, r) -> CASE
-        WHEN size(done) > 0 AND element_at(done, -1).end >= r.begin
-        THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).begin AS begin, greatest(element_at(done, -1).end, r.end) AS end)))
-        ELSE concat(done, array(r)) END)"""
-    return merged.select("doc_id", "n_words", F.expr(join).alias("runs"), "items")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_rows: int = BLOCK_WINDOWS) -> DataFrame:
+        part = cut(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS), "hits")
+        block.unpersist()
+        every = part if every is None else every.unionByName(part)
+    if blocks > 1:
+        merged = every.groupBy("segment", "at", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("all"), F.flatten(F.collect_list("windows")).alias("windows"))
+        join = """aggregate(all, cast(array() as array<struct<begin: int, end: int>>), (done, r) -> CASE
+            WHEN size(done) > 0 AND element_at(done, -1).end >= r.begin
+            THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).begin AS begin, greatest(element_at(done, -1).end, r.end) AS end)))
+            ELSE concat(done, array(r)) END)"""
+        every = merged.select("segment", "at", "doc_id", "n_words", F.expr(join).alias("runs"), "windows")
+    hit = every.select("segment", "at", F.explode("windows").alias("name")).join(of_items, "name")
+    items = hit.groupBy("segment", "at").agg(F.collect_set("item_id").alias("items"))
+    # documents without a hit don't take part in the join
+    some = every.where("size(runs) > 0").join(items, ["segment", "at"], "left").select("doc_id", "n_words", "runs", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return every.where("size(runs) = 0").select("doc_id", "n_words", "runs", F.array().cast("array<long>").alias("items")).unionByName(some)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs, items) of every document."""
-    found = search(build_index(docs), windows_of(benchmark, window), window, slack, block_rows)
+    found = search(build_index(docs), windows_of(benchmark, window), window, slack, block_windows)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     names = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), "runs", "items")
@@ -211,7 +212,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with all their columns. Each row goes by its own text: others of its id, or without one, stay."""
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    named = docs.select(row.alias("doc_id"), "text")
-    gone = cut(contamination(named, benchmark).where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)
+    (row,) = free_names(docs, "row")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    named = docs.select(key.alias("doc_id"), "text")
+    gone = cut(contamination(named, benchmark).where("contaminated").select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return docs.withColumn(row, key).join(gone, row, "left_anti").drop(row)
