@@ -23,9 +23,11 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one is set only where the session names none."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). A machine's own one serves only a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,15 +53,26 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, parts: Iterator[bytes]) -> None:
-    """Write under a name of this attempt, then rename: a repeated or speculative task can't leave half a file."""
-    store, path = filesystem(uri)
+def write_file(uri: str, parts: Iterator[bytes]) -> str:
+    """Write under a name of this attempt, which is returned: the rows of the attempt that Spark commits name the files that count, so
+    repeated, speculative and half-done attempts leave files that nobody reads."""
+    store, path = filesystem(attempt := f"{uri}.{uuid.uuid4().hex}")
     store.create_dir(os.path.dirname(path), recursive=True)
-    attempt = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(attempt) as out:
+    with store.open_output_stream(path) as out:
         for part in parts:
             out.write(part)
-    store.move(attempt, path)
+    return attempt
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that ``df`` doesn't have: the wanted ones, with as many underscores before them as it takes."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def map_file(uri: str) -> np.ndarray:

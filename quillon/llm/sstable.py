@@ -1,6 +1,7 @@
 """Token-id output as sorted-string-table shards (operator 8).
 
-A shard holds the documents of one range of identifiers, in ascending order::
+A shard holds the documents of one range of identifiers, in ascending order; ranges follow the bytes and rows of the input, so
+that a shard stays near ``SHARD_BYTES`` and ``SHARD_ROWS`` at any size::
 
     block*   a zstd frame of entries, each: u16 shared key bytes | u16 further key bytes | u32 value bytes | key bytes | value
     index    u32 entries, then per block: u64 place | u32 bytes | u16 key bytes | last key of the block
@@ -11,8 +12,8 @@ Keys share their beginning with the key before, within a block. A key is one byt
 id as eight big-endian bytes with the sign flipped, so byte order is id order. A value is the ids as little-endian
 unsigned integers of ``width`` bytes. A lookup asks the Bloom filter, then searches the index, then one block.
 
-Nulls, ties: a null text is empty; a null id comes first; rows of one id stand together, in the order of their ids'
-bytes. An empty table gives no shard. Other columns are not read.
+Nulls, ties: a null text is empty; a null id comes first; rows of one id follow one another, in the order of a hash of their
+ids, and may fill several shards. An empty table gives no shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MAGIC, VERSION = b"QSST", 1
 FOOTER = struct.Struct("<4sHHQQQQQQ4x4x")
 ENTRY, BLOCK = struct.Struct("<HHI"), struct.Struct("<QIH")
 PROBES = 7
+#: Ids' bytes and documents of a shard, on average, at most.
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 1 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -153,34 +156,36 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> Da
 
 
 def write_shards(rows: DataFrame, folder: str, shards: int, vocabulary: int, block_size: int = 64 << 10) -> DataFrame:
-    """Write (doc_id, ids) as shards of ascending id ranges; returns the manifest (shard, path, docs, ids, first_id)."""
+    """Write (doc_id, ids) as shards of ascending id ranges; returns the manifest (path, docs, ids, key, tie, part): its paths are those of
+    the attempts that were committed; ``key``, ``tie`` and ``part`` are those of a shard's first document and give the shards' order."""
     width = width_of(vocabulary)
 
     def run(batches):
         batches = (b for b in batches if b.num_rows)
         if (first := next(batches, None)) is None:
             return
-        start = first.column(0)[0].as_py()
-        name = f"{folder}/shard-{key_of(start).hex()}.sst"
+        key, tie, part = key_of(first.column(0)[0].as_py()), first.column(2)[0].as_py(), first.column(3)[0].as_py()
 
         def documents():
             for b in chain([first], batches):
                 yield from zip(b.column(0).to_pylist(), (np.frombuffer(x.as_buffer(), f"<u{width}") for x in b.column(1)))
 
-        write_file(name, shard_bytes(documents(), width, block_size))
+        name = write_file(f"{folder}/shard-{key.hex()}.sst", shard_bytes(documents(), width, block_size))
         made = Shard(name)
-        yield pa.RecordBatch.from_pydict({"path": [name], "docs": [made.docs], "ids": [made.ids], "key": [key_of(start)]})
+        yield pa.RecordBatch.from_pydict({"path": [name], "docs": [made.docs], "ids": [made.ids], "key": [key], "tie": pa.array([tie], pa.int64()), "part": pa.array([part], pa.int32())})
 
-    # A run of rows of one id never spans two shards: ranges are cut by id.
-    spread = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-    return spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, "path string, docs long, ids long, key binary")
+    # rows of one id are told apart by a hash of their ids, so that a repeated id is dealt to several shards
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("part").asc()]
+    keyed = rows.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.spark_partition_id().alias("part"))
+    spread = keyed.repartitionByRange(shards, *order)
+    return spread.sortWithinPartitions(*order).mapInArrow(run, "path string, docs long, ids long, key binary, tie long, part int")
 
 
 def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files.
 
     The only global step is a running sum over one row per shard."""
-    placed = manifest.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = manifest.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("key", "tie", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def run(batches):
         for batch in batches:
@@ -200,7 +205,8 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
 
 def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408) -> DataFrame:
     """Encode, write the shards into a new shared folder, and read them back."""
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = cut(encoded(docs, tokenizer, end_id, vocabulary), "ids")  # encoded once: the range sampling below reads files
+    size, rows = ids.agg(F.sum(F.length("ids")), F.count("*")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_BYTES), -(-rows // SHARD_ROWS))
     manifest = cut(write_shards(ids, new_path(spark, "sst"), shards, vocabulary), "manifest")
     return read_shards(manifest, shards)
