@@ -1,11 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model (operator 4).
 
 Words are 64-bit hashes. A task counts the word pairs of its training texts and sends each bucket one packed blob of
-them; a bucket's reducer adds them up and writes them as a sorted array of pair hashes with counts. A bucket holds a
-context's pairs, and a frequent context is spread over ``SPLITS`` buckets or more by the following word, so none meets whole in
-one task. From the pairs come, by a second exchange of sums per word, each word's count, continuation count, and its
-numbers of followers seen once, twice and oftener; these are sorted hash arrays too. Workers map the files into memory
-and score a text by binary search: nothing of the model passes through the driver but a few totals.
+them; a bucket's reducer adds them up and writes them as a sorted array of pair hashes with counts. Buckets follow the bytes
+of text. A bucket holds a context's pairs, and a frequent context is spread over ``SPLITS`` buckets or more by the following
+word, so none meets whole in one task. From the pairs come each word's count, continuation count, and its numbers of
+followers seen once, twice and oftener, as rows that Spark sums by word; they are written as sorted hash arrays too. Workers
+map the files into memory and score a text by binary search: nothing of the model passes through the driver but a few totals
+and the files' names.
 
 A text is its words and one end; the first word's context is the start. P(w|h) = max(c(hw) - D, 0) / c(h) + g(h) P(w),
 P(w) likewise from continuation counts, and below it one share for each known word and one for all others.
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ from quillon.llm.common import LOWER, crc_of, cut, map_file, new_path, pieces, r
 
 SPLITS = 8
 #: Bytes of text whose pairs a bucket holds on average, at most.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+#: Words of a word file, on average, at most.
+FILE_WORDS = 1 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 8 << 20
 STATS = ("count", "continuations", "followed", "once", "twice", "oftener")
+COUNTS = ("ones", "twos", "threes", "fours")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,6 +59,10 @@ def pair_buckets(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndar
     return (mix(context + (word % np.uint64(splits_for(buckets))) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(buckets)).astype(np.int64)
 
 
+def word_buckets_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words % np.uint64(buckets)).astype(np.int64)
+
+
 def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes (the last two are end and start), the texts' tokens as numbers, each text led by its start, and their offsets."""
     data, offsets = text_bytes(column)
@@ -75,23 +84,28 @@ def _transitions(tokens: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return tokens[at - 1] * n + tokens[at]
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as all values allow."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _pack(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
     """Pairs sorted by context: each context and each word once, then small numbers."""
     contexts, runs = np.unique(context, return_counts=True)
     words, at = np.unique(word, return_inverse=True)
-    at = at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-    head = np.array([len(contexts), len(words), len(at), at.itemsize], np.uint32)
-    return b"".join(x.tobytes() for x in (head, contexts, words, runs.astype(np.uint32), count.astype(np.uint32), at))
+    parts = [contexts, words, *map(_small, (runs, count, at))]
+    head = np.array([x for part in parts for x in (len(part), part.itemsize)], np.uint32)
+    return zstandard.compress(b"".join(x.tobytes() for x in (head, *parts)), 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c, w, n, size = np.frombuffer(blob, np.uint32, 4).tolist()
-    p, out = 16, []
-    for kind, k in ((np.uint64, c), (np.uint64, w), (np.uint32, c), (np.uint32, n), (np.uint16 if size == 2 else np.uint32, n)):
-        out.append(np.frombuffer(blob, kind, k, p))
-        p += k * np.dtype(kind).itemsize
+    raw = zstandard.decompress(blob)
+    head, p, out = np.frombuffer(raw, np.uint32, 10).tolist(), 40, []
+    for n, size in zip(head[0::2], head[1::2]):
+        out.append(np.frombuffer(raw, f"<u{size}", n, p))
+        p += n * size
     contexts, words, runs, count, at = out
-    return np.repeat(contexts, runs), words[at], count
+    return np.repeat(contexts, runs), words[at], count.astype(np.uint32)
 
 
 def _by(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -115,11 +129,11 @@ class HashArrays:
         self.keys = self.data[16 : 16 + 8 * self.n].view(np.uint64)
 
     @staticmethod
-    def write(uri: str, keys: np.ndarray, *columns: np.ndarray) -> None:
-        """Columns are written in four bytes each where all numbers fit, else in eight."""
+    def write(uri: str, keys: np.ndarray, *columns: np.ndarray) -> str:
+        """The file's name. Columns are written in four bytes each where all numbers fit, else in eight."""
         wide = any(len(c) and int(c.max()) >= 1 << 32 for c in columns)
         kind = np.uint64 if wide else np.uint32
-        write_file(uri, iter([np.array([len(keys), kind().itemsize], np.uint64).tobytes(), keys.tobytes(), *(c.astype(kind).tobytes() for c in columns)]))
+        return write_file(uri, iter([np.array([len(keys), kind().itemsize], np.uint64).tobytes(), keys.tobytes(), *(c.astype(kind).tobytes() for c in columns)]))
 
     def get(self, keys: np.ndarray, columns: int) -> list[np.ndarray]:
         """The columns for ``keys`` (best ascending); 0 where there is none."""
@@ -133,8 +147,9 @@ class HashArrays:
 class Model:
     folder: str
     buckets: int
-    pair_files: frozenset[int]
-    word_files: frozenset[int]
+    word_buckets: int
+    pair_files: dict[int, str]  # by bucket, the names within the folder of the attempts that were committed
+    word_files: dict[int, str]
     tokens: int
     words: int
     types: int
@@ -142,22 +157,23 @@ class Model:
     word_discounts: list[float]
     rest: float  # what the words' discounts leave to all words alike
 
-    def _lookup(self, kind: str, keys: np.ndarray, bucket: np.ndarray, columns: int) -> list[np.ndarray]:
+    def _lookup(self, files: dict[int, str], keys: np.ndarray, bucket: np.ndarray, columns: int) -> list[np.ndarray]:
         order = np.lexsort((keys, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        sorted_buckets = bucket[order]
         out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
-        for b in self.pair_files if kind == "pairs" else self.word_files:
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                for column, values in zip(out, _open(f"{self.folder}/{kind}-{b}.bin").get(keys[own], columns)):
+        heads = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
+            if (name := files.get(int(sorted_buckets[a]))) is not None:
+                own = order[a:b]
+                for column, values in zip(out, _open(f"{self.folder}/{name}").get(keys[own], columns)):
                     column[own] = values
         return out
 
     def words_of(self, hashes: np.ndarray) -> list[np.ndarray]:
-        return self._lookup("words", hashes, (hashes % np.uint64(self.buckets)).astype(np.int64), len(STATS))
+        return self._lookup(self.word_files, hashes, word_buckets_of(hashes, self.word_buckets), len(STATS))
 
     def pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self._lookup("pairs", pair_keys(context, word), pair_buckets(context, word, self.buckets), 1)[0]
+        return self._lookup(self.pair_files, pair_keys(context, word), pair_buckets(context, word, self.buckets), 1)[0]
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known tokens, the base's and the model's log10 probability."""
@@ -205,7 +221,8 @@ def train(docs: DataFrame) -> Model:
     """Count all texts of ``docs`` (text) and write the model's files into a new shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    folder, buckets = new_path(spark, "kneser-ney"), max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, buckets = new_path(spark, "kneser-ney"), max(2, parallel, -(-size // BUCKET_BYTES))
 
     def count(batches):
         for piece in pieces(batches, most=PIECE):
@@ -220,14 +237,15 @@ def train(docs: DataFrame) -> Model:
             yield pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def write_pairs(rows: pa.Table) -> pa.Table:
+        """Sums of a bucket's words, and one row more: its file, and how many pairs occur once to four times."""
         here = rows["bucket"][0].as_py()
-        context, word, times = (np.concatenate(x) for x in zip(*(_unpack(b.as_buffer()) for b in rows["blob"])))
+        context, word, times = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in rows["blob"])))
         keys = pair_keys(context, word)
         order = np.argsort(keys, kind="stable")
         keys, context, word, times = (x[order] for x in (keys, context, word, times))
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, context, word, times = keys[head], context[head], word[head], np.add.reduceat(times.astype(np.int64), head)
-        HashArrays.write(f"{folder}/pairs-{here}.bin", keys, times)
+        name = HashArrays.write(f"{folder}/pairs-{here}", keys, times)
         counts_of_counts = _of_counts(times)
         del keys, order
         # each side is summed by itself first, to hold little at once
@@ -236,37 +254,53 @@ def train(docs: DataFrame) -> Model:
         del context, word, times
         none, nought = np.zeros(len(contexts), np.int64), np.zeros(len(words), np.int64)
         found = _by(np.concatenate([contexts, words]), *(np.concatenate(x) for x in ((none, count), (none, continuations), (followed, nought), (once, nought), (twice, nought), (oftener, nought))))
-        target = (found[0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(target, kind="stable")
-        edges = np.searchsorted(target[order], np.arange(buckets + 1))
-        full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        blobs = [b"".join(x[order[edges[b] : edges[b + 1]]].astype(np.uint64).tobytes() for x in found) for b in full]
-        counts = [counts_of_counts] + [None] * (len(full) - 1)
-        pa.default_memory_pool().release_unused()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary()), "source": pa.array([here] * len(full), pa.int32()), "counts": pa.array(counts, pa.list_(pa.int64()))})
-
-    def write_words(rows: pa.Table) -> pa.Table:
-        here = rows["bucket"][0].as_py()
-        parts = [np.frombuffer(b.as_buffer(), np.uint64).reshape(1 + len(STATS), -1) for b in rows["blob"]]
-        found = _by(*np.concatenate(parts, axis=1))
-        HashArrays.write(f"{folder}/words-{here}.bin", *found)
-        del parts
+        n, empty = len(found[0]), np.zeros(1, np.int64)
+        columns = {"word": pa.array(np.append(found[0].view(np.int64), 0), mask=np.arange(n + 1) == n)}
+        columns |= {s: pa.array(np.append(x, empty)) for s, x in zip(STATS, found[1:])}
+        columns |= {c: pa.array(np.append(np.zeros(n, np.int64), x)) for c, x in zip(COUNTS, counts_of_counts)}
         pa.default_memory_pool().release_unused()
-        known = found[1] > 0
-        continuations = found[2][found[2] > 0]
-        kinds = [int((continuations == 1).sum()), int((continuations == 2).sum()), int((continuations > 2).sum())]
-        return pa.table({"bucket": pa.array([here], pa.int32()), "tokens": [int(found[1].sum())], "words": [int(known.sum())], "types": [int(continuations.sum())], "counts": pa.array([_of_counts(continuations)], pa.list_(pa.int64())), "kinds": pa.array([kinds], pa.list_(pa.int64()))})
+        return pa.table(columns | {"bucket": pa.array(np.full(n + 1, here, np.int32)), "file": pa.array([None] * n + [name.rpartition("/")[2]], pa.string())})
 
     blobs = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, blob binary")
-    sums = cut(blobs.groupBy("bucket").applyInArrow(write_pairs, "bucket int, blob binary, source int, counts array<long>"), "sums")
-    pair_rows = sums.where("counts is not null").select("source", "counts").collect()  # one row per bucket
-    word_rows = sums.groupBy("bucket").applyInArrow(write_words, "bucket int, tokens long, words long, types long, counts array<long>, kinds array<long>").collect()
-    total = lambda rows, size: np.sum([r for r in rows] or [[0] * size], axis=0).tolist()
-    word_discounts = discounts(total([r.counts for r in word_rows], 4))
-    types = sum(r.types for r in word_rows)
-    kinds = total([r.kinds for r in word_rows], 3)
+    longs = lambda names: ", ".join(f"{n} long" for n in names)
+    sums = cut(blobs.groupBy("bucket").applyInArrow(write_pairs, f"word long, {longs(STATS)}, {longs(COUNTS)}, bucket int, file string"), "sums")
+    pair_rows = sums.where("file is not null").select("bucket", "file", *COUNTS).collect()  # one row per bucket
+    words = cut(sums.where("file is null").groupBy("word").agg(*[F.sum(s).alias(s) for s in STATS]), "words")
+    known, continued = F.col("count") > 0, F.col("continuations")
+    exactly = [F.count_if(continued == k) for k in (1, 2, 3, 4)]
+    n_words, tokens, n_known, types, more, *of_counts = words.agg(F.count("*"), F.sum("count"), F.count_if(known), F.sum("continuations"), F.count_if(continued > 2), *exactly).first()
+    word_buckets = max(1, -(-n_words // FILE_WORDS))
+
+    def write_words(batches):
+        """Rows that come in the order of bucket and word: a file for each bucket."""
+        held: list[pa.RecordBatch] = []
+
+        def file() -> pa.RecordBatch:
+            here, word, *stats = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2 + len(STATS)))
+            order = np.argsort(word.view(np.uint64), kind="stable")
+            name = HashArrays.write(f"{folder}/words-{here[0]}", word.view(np.uint64)[order], *(s[order] for s in stats))
+            return pa.record_batch([pa.array(here[:1]), pa.array([name.rpartition("/")[2]])], names=["bucket", "file"])
+
+        for batch in batches:
+            here = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(here[1:] != here[:-1]) + 1).tolist(), len(here)] if len(here) else []
+            for a, b in zip(edges, edges[1:]):
+                if held and held[-1].column(0)[0].as_py() != here[a]:
+                    yield file()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield file()
+
+    # the unsigned remainder of a signed long
+    half = (1 << 63) % word_buckets
+    bucket = F.pmod(F.pmod(F.col("word"), F.lit(word_buckets)) + F.when(F.col("word") < 0, F.lit(2 * half % word_buckets)).otherwise(0), F.lit(word_buckets)).cast("int").alias("bucket")
+    word_rows = words.select(bucket, "word", *STATS).repartition(min(word_buckets, 4 * parallel), "bucket").sortWithinPartitions("bucket").mapInArrow(write_words, "bucket int, file string").collect()  # one row per file
+    total = np.sum([[r[c] for c in COUNTS] for r in pair_rows] or [[0] * 4], axis=0).tolist()
+    word_discounts = discounts(of_counts)
+    kinds = [of_counts[0], of_counts[1], more]
     rest = sum(d * k for d, k in zip(word_discounts, kinds)) / types if types else 1.0
-    return Model(folder, buckets, frozenset(r.source for r in pair_rows), frozenset(r.bucket for r in word_rows), sum(r.tokens for r in word_rows), sum(r.words for r in word_rows), types, discounts(total([r.counts for r in pair_rows], 4)), word_discounts, rest)
+    return Model(folder, buckets, word_buckets, {r.bucket: r.file for r in pair_rows}, {r.bucket: r.file for r in word_rows}, tokens or 0, n_known, types or 0, discounts(total), word_discounts, rest)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
