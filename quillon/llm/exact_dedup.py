@@ -8,7 +8,7 @@ recipes are equal only if the texts are.
 
 Nulls, ties: null text is empty text; empty texts equal one another (no chunk). A null doc_id counts as the largest.
 Repeated rows are copies like others: exactly one row of a group stays, and of rows with the smallest id an arbitrary
-one. An empty table gives no rows. Other columns are carried nowhere by ``groups``.
+one. An empty table gives no rows. ``groups`` reads no other columns; ``keep_one`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, one_space, pieces, replace_column, text_bytes
+from quillon.llm.common import cut, free_names, one_space, pieces, replace_column, text_bytes
 
 LEAST, MEAN, MOST = 512, 2048, 16_384
 #: A random 32-bit value per byte: the first 256 outputs of a fixed generator.
@@ -154,16 +154,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = cut(groups(docs).select("doc_id", "text_sha256", "kept"), "kept")
     # whole documents are moved only to drop rows, by id and text
     dropped = found.where("not kept").select("doc_id", "text_sha256").distinct()
-    own = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    marked = docs.withColumn("_own", own)
+    (own,) = free_names(docs, "own")
+    marked = docs.withColumn(own, F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
 
     def same(other: DataFrame):
-        return marked.doc_id.eqNullSafe(other.doc_id) & (marked._own == other.text_sha256)
+        return marked.doc_id.cast("long").eqNullSafe(other.doc_id) & (marked[own] == other.text_sha256)
 
     clean = marked.join(dropped, same(dropped), "left_anti")
     # of repeated rows (one id, one text) one may stay while others go: those are told apart by nothing, so one is taken
     kept = found.where("kept").select("doc_id", "text_sha256")
     repeated = cut(kept.join(dropped, kept.doc_id.eqNullSafe(dropped.doc_id) & (kept.text_sha256 == dropped.text_sha256), "left_semi").distinct(), "repeated")
     if not repeated.isEmpty():
-        clean = clean.unionByName(marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_own"]))
-    return clean.select(*docs.columns)
+        clean = clean.unionByName(marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", own]))
+    return clean.drop(own)

@@ -5,12 +5,12 @@ tree of one feature (at most four leaves) to that feature's lookup table over qu
 tables; then the pairs of features whose joint trees still lower the loss most get two-way tables in the same manner. A
 score is the logistic of the sum of the tables' entries at a document's bins: one search and one addition per table.
 
-The tables are fitted on the driver from the features of at most ``SAMPLE`` labelled documents, taken in the order of a
+The tables are fitted on the driver from the features of at most ``sample`` labelled documents, taken in the order of a
 hash of their ids; only those features travel there. Scoring reads all rows.
 
 Nulls, ties: a null text is empty and gets a score like others. Labels that are null, or of a null id, are not used; several
 labels of one document count as their mean. Without labels of both kinds every score is 0.5. Repeated rows get a row each; an
-empty table gives none. Labels, language, source and id never enter a score.
+empty table gives none. Labels, language, source and id never enter a score. ``keep_good`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import LOWER, crc_of, pieces, replace_column, take_words, text_bytes, word_spans
+from quillon.llm.common import LOWER, crc_of, free_names, pieces, replace_column, take_words, text_bytes, word_spans
 
 #: Labelled documents that are fitted on, at most.
 SAMPLE = 20_000
@@ -177,10 +178,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> AdditiveModel:
-    """Fit on labelled documents whose crc32 of the id's text mod ``fold`` isn't 0."""
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = SAMPLE) -> AdditiveModel:
+    """Fit on at most ``sample`` labelled documents whose crc32 of the id's text mod ``fold`` isn't 0."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality is not null").where(crc_of("doc_id") % fold != 0)
-    chosen = usable.groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = usable.groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for piece in pieces(batches):
@@ -188,24 +189,26 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> AdditiveModel:
             yield pa.record_batch([replace_column(piece, "doc_id"), replace_column(piece, "quality"), pa.array(list(values), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     # the sample's bound is the broadcast's
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     # a document that stands in several rows counts once
-    rows = sample.mapInArrow(run, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
+    rows = labelled.mapInArrow(run, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(rows.x.tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows.quality.to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """``docs`` with score and predicted after its own columns (which must not have these names)."""
+def score(docs: DataFrame, model: AdditiveModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the score and the prediction after its own columns, under ``names`` (which it must not have)."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    # columns are numbered on the way through Python, so that any name will do
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, added = f"c{docs.columns.index('text')}", [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(batches):
-        for piece in pieces(batches):
-            p = broadcast.value.score(features_of(replace_column(piece, "text")))
+        for piece in pieces(batches, text):
+            p = broadcast.value.score(features_of(replace_column(piece, text)))
             yield pa.record_batch([*piece.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*piece.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, *added])).toDF(*docs.columns, *names)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,5 +220,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns."""
-    model = train(docs, labels)
-    return score(docs.withColumnRenamed("score", "_score").withColumnRenamed("predicted", "_predicted"), model).where("predicted = 1").drop("score", "predicted").withColumnRenamed("_score", "score").withColumnRenamed("_predicted", "predicted")
+    names = free_names(docs, "score", "predicted")
+    return score(docs, train(docs, labels), tuple(names)).where(F.col(names[1]) == 1).drop(*names)

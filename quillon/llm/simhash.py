@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, cut, one_space, pieces, replace_column, spread, text_bytes, word_spans
+from quillon.llm.common import LOWER, cut, free_names, one_space, pieces, replace_column, spread, text_bytes, word_spans
 from quillon.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -400,15 +400,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     the smallest id (a null id only where there is no other). Rows are told apart by id and text; of equal ones one stays."""
     found = cut(similar(docs), "similar")
     stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own") == F.col("kept_own"))
-    marked = docs.withColumn("_own", text_key())
+    (own,) = free_names(docs, "own")
+    marked = docs.withColumn(own, text_key())
 
     def same(other: DataFrame):
-        return marked.doc_id.cast("long").eqNullSafe(other.doc_id) & (marked._own == other.own)
+        return marked.doc_id.cast("long").eqNullSafe(other.doc_id) & (marked[own] == other.own)
 
     gone = found.where(~stays).select("doc_id", "own").distinct()
     stay = marked.join(gone, same(gone), "left_anti")
     repeated = cut(found.where(stays).groupBy("doc_id", "own").count().where("count > 1").select("doc_id", "own"), "repeated")
     if not repeated.isEmpty():
-        once = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_own"])
+        once = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", own])
         stay = stay.join(repeated, same(repeated), "left_anti").unionByName(once)
-    return stay.select(*docs.columns)
+    return stay.drop(own)
