@@ -221,8 +221,7 @@ def train(docs: DataFrame) -> Model:
     """Count all texts of ``docs`` (text) and write the model's files into a new shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder, buckets = new_path(spark, "kneser-ney"), max(2, parallel, -(-size // BUCKET_BYTES))
+    folder, buckets = new_path(spark, "kneser-ney"), max(2, -(-size // BUCKET_BYTES))
 
     def count(batches):
         for piece in pieces(batches, most=PIECE):
@@ -263,7 +262,8 @@ def train(docs: DataFrame) -> Model:
 
     blobs = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, blob binary")
     longs = lambda names: ", ".join(f"{n} long" for n in names)
-    sums = cut(blobs.groupBy("bucket").applyInArrow(write_pairs, f"word long, {longs(STATS)}, {longs(COUNTS)}, bucket int, file string"), "sums")
+    # as many tasks as buckets, so that a task's input stays near a bucket's
+    sums = cut(blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(write_pairs, f"word long, {longs(STATS)}, {longs(COUNTS)}, bucket int, file string"), "sums")
     pair_rows = sums.where("file is not null").select("bucket", "file", *COUNTS).collect()  # one row per bucket
     words = cut(sums.where("file is null").groupBy("word").agg(*[F.sum(s).alias(s) for s in STATS]), "words")
     known, continued = F.col("count") > 0, F.col("continuations")
@@ -295,7 +295,7 @@ def train(docs: DataFrame) -> Model:
     # the unsigned remainder of a signed long
     half = (1 << 63) % word_buckets
     bucket = F.pmod(F.pmod(F.col("word"), F.lit(word_buckets)) + F.when(F.col("word") < 0, F.lit(2 * half % word_buckets)).otherwise(0), F.lit(word_buckets)).cast("int").alias("bucket")
-    word_rows = words.select(bucket, "word", *STATS).repartition(min(word_buckets, 4 * parallel), "bucket").sortWithinPartitions("bucket").mapInArrow(write_words, "bucket int, file string").collect()  # one row per file
+    word_rows = words.select(bucket, "word", *STATS).repartition(word_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write_words, "bucket int, file string").collect()  # one row per file
     total = np.sum([[r[c] for c in COUNTS] for r in pair_rows] or [[0] * 4], axis=0).tolist()
     word_discounts = discounts(of_counts)
     kinds = [of_counts[0], of_counts[1], more]
