@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quillon.operators.filters import apply_filter, quoted
 
 
+#: Ids of a request that are few enough to be sent to every task.
+SMALL = 100_000
+
+
 @dataclass(frozen=True)
 class Request:
     filters: Mapping | None = None
@@ -47,7 +51,9 @@ class Collection:
             return self.df.where(F.col(self.id).isin(list(ids)))
         spark = self.df.sparkSession
         wanted = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ids))).alias("pos", "_want"))
-        return self.df.join(F.broadcast(wanted), F.col(self.id) == F.col("_want")).drop("_want").orderBy("pos")
+        if len(ids) <= SMALL:
+            wanted = F.broadcast(wanted)
+        return self.df.join(wanted, F.col(self.id) == F.col("_want")).drop("_want").orderBy("pos")
 
     def by_ids(self, ids: DataFrame) -> DataFrame:
         """Records whose id is in a one-column DataFrame of any size; Spark chooses the join."""
@@ -119,17 +125,69 @@ class Collection:
         both = self.df.select(self.id, F.struct(*fields).alias("_old")).join(new.select(self.id, F.struct(*fields).alias("_new")), self.id, "full_outer")
         return both.select(F.coalesce("_new", "_old").alias("_r")).select("_r.*")
 
+    def news(self, records: DataFrame) -> DataFrame:
+        """The records that this collection lacks or has otherwise: an equal one is no change and makes no entry."""
+        fields = self.df.columns
+        old = self.df.select(self.id, F.struct(*fields).alias("_old"))
+        joined = records.join(old, self.id, "left").where(~F.struct(*fields).eqNullSafe(F.col("_old")))
+        return joined.select(*records.columns)
+
+    def synchronised(self, upserts: DataFrame, deletes: DataFrame, valid=None) -> tuple[DataFrame, DataFrame]:
+        """The collection after a batch of whole records, then of ids that go, and each id's result (id, error; null: done). A record with a
+        null id, or for which the column ``valid`` isn't true, is refused and its old state stays; who is in both batches goes."""
+        error = F.when(F.col(self.id).isNull(), "no id")
+        if valid is not None:
+            error = error.when(~F.coalesce(valid, F.lit(False)), "not valid")
+        judged = upserts.withColumn("_error", error)
+        written = Collection(self.name, self.df, self.id).upsert(judged.where("_error is null").drop("_error"))
+        gone = deletes.toDF(self.id).distinct()
+        results = judged.select(F.col(self.id).alias("id"), F.col("_error").alias("error")).unionByName(gone.select(F.col(self.id).alias("id"), F.lit(None).cast("string").alias("error")))
+        return written.join(gone, self.id, "left_anti"), results.groupBy("id").agg(F.max("error").alias("error"))
+
     def remove(self, ids: DataFrame) -> DataFrame:
         return self.df.join(ids.toDF(self.id), self.id, "left_anti")
 
 
+@dataclass
+class Hooks:
+    """What runs around a collection's requests and changes."""
+
+    on_query: Callable[[Request], Request] | None = None
+    on_after_upsert: Callable[[DataFrame, DataFrame], None] | None = None  # inserted and updated records
+    on_after_delete: Callable[[DataFrame], None] | None = None
+    on_seed: Callable[[], DataFrame] | None = None
+
+
 class Registry:
+    """Named collections and their hooks. Extending a collection again replaces the hooks that are given and keeps the others."""
+
     def __init__(self):
         self._known: dict[str, Collection] = {}
+        self._hooks: dict[str, Hooks] = {}
 
     def define(self, collection: Collection) -> Collection:
         self._known[collection.name] = collection
-        return collection
+        return self[collection.name]
 
     def __getitem__(self, name: str) -> Collection:
-        return self._known[name]
+        hooks = self._hooks.get(name)
+        return replace(self._known[name], on_query=hooks.on_query) if hooks and hooks.on_query else self._known[name]
+
+    def extend(self, name: str, **hooks) -> None:
+        self._hooks[name] = replace(self._hooks.get(name, Hooks()), **hooks)
+
+    def hooks(self, name: str) -> Hooks:
+        return self._hooks.get(name, Hooks())
+
+    def seeded(self, name: str) -> DataFrame:
+        """The collection with what its seed hook adds or replaces."""
+        hook = self.hooks(name).on_seed
+        return self._known[name].upsert(hook()) if hook else self._known[name].df
+
+    def after(self, name: str, batches: DataFrame) -> None:
+        """Run the hooks on one batch of changes (op, id, record...); subscribers are told after this returns."""
+        hooks = self.hooks(name)
+        if hooks.on_after_upsert:
+            hooks.on_after_upsert(batches.where("op = 'insert'"), batches.where("op = 'update'"))
+        if hooks.on_after_delete:
+            hooks.on_after_delete(batches.where("op = 'delete'").select("id"))

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,13 +129,25 @@ def _like(column: Column, pattern: str) -> Column:
     return column.cast("string").ilike(pattern.replace("\\", "\\\\"))
 
 
+def valid_pattern(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it: asked of Spark on one empty text."""
+    spark = SparkSession.active()
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        return True
+    except Exception as error:
+        if "PATTERN" in str(error) or "regex" in str(error):
+            return False
+        raise
+
+
 def _regex(column: Column, pattern) -> Column:
+    """Unanchored; a pattern that isn't one matches nothing. A compiled Python pattern gives its text and its flags i, m and s."""
     flags = ""
     if isinstance(pattern, re.Pattern):
-        flags, pattern = "(?i)" * bool(pattern.flags & re.I), pattern.pattern
-    try:
-        re.compile(pattern)
-    except re.error:
+        named = "".join(name for bit, name in ((re.I, "i"), (re.M, "m"), (re.S, "s")) if pattern.flags & bit)
+        flags, pattern = f"(?{named})" if named else "", pattern.pattern.replace("(?P<", "(?<")
+    if not valid_pattern(flags + pattern):
         return F.lit(False)
     return F.coalesce(column.cast("string").rlike(flags + pattern), F.lit(False))
 
