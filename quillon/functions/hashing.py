@@ -56,12 +56,35 @@ def record_hash(columns: list[str]) -> Column:
     return F.substring(F.sha2(record_json(columns), 256), 1, 16)
 
 
-def result_hash(df, id_column: str) -> Column:
-    """The hash of a result's ids, in order, as one value; only ids and positions are gathered."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(id_column).cast("string").alias("id")))), lambda x: x["id"]), "|"), 256)
+#: Positions whose ids are hashed together.
+CHUNK = 4096
+
+
+def result_hash(result, position: str, id_column: str):
+    """One row (result_hash) of a result's ids in the order of ``position`` (long): a digest of each run of ``CHUNK`` positions, then one of
+    the digests, so that no task gathers all ids."""
+    runs = result.groupBy(F.expr(f"{position} div {CHUNK}").alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("pos"), F.col(id_column).cast("string").alias("id")))).alias("ids"))
+    digests = runs.select("run", F.sha2(F.array_join("ids.id", "|"), 256).alias("digest"))
+    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "digest"))), lambda x: x["digest"]), "|"), 256).alias("result_hash"))
+
+
+def folded_hash(text: Column) -> Column:
+    """The content hash of canonical JSON text, folded in the JVM (characters of one UTF-16 unit each)."""
+    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    lanes = [F.aggregate(units, F.lit(seed).cast("long"), lambda h, u: h.bitwiseXOR(u) * F.lit(PRIME) % F.lit(1 << 32)) for seed in SEEDS]
+    return F.concat(*[F.lower(F.lpad(F.hex(lane), 8, "0")) for lane in lanes])
 
 
 def ulid_millis(column: Column) -> Column:
     """The time part of a ULID, in milliseconds."""
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.call_function("locate", F.substring(column, i, F.lit(1)), F.lit(CROCKFORD)) - 1)
     return F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a * 32 + x)
+
+
+def ulid(millis: Column, randomness: Column) -> Column:
+    """A ULID of a time and 16 characters drawn from a hash of ``randomness``: the same row gets the same one again."""
+    digit = lambda number: F.substring(F.lit(CROCKFORD), (number + 1).cast("int"), F.lit(1))
+    time = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: digit(F.floor(millis / F.pow(F.lit(32.0), 9 - i)) % 32))
+    nibbles = F.sha2(randomness.cast("string"), 256)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: digit(F.conv(F.substring(nibbles, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 32))
+    return F.concat(F.array_join(time, ""), F.array_join(rest, ""))

@@ -2,15 +2,16 @@
 
 Entries are (record_id, entry_id, type, record, ops, ...): type 0 created, 1 updated, 2 deleted, 3 restored, 4 branched.
 Identifiers sort by time. Everything that a fold isn't needed for is an aggregation over ``record_id``, summed in each task
-before the shuffle; ``replay_full`` folds each record's own history in one task.
+before before the shuffle; only structural edits need a fold, which starts from a record's last snapshot.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import structure
@@ -52,49 +53,93 @@ def pending_state(entries: DataFrame) -> DataFrame:
     return sums.select("record_id", F.when(F.col("b").isNull(), True).otherwise(F.coalesce(F.col("c") > F.col("b"), F.lit(False))).alias("has_pending"), F.col("c").isNotNull().alias("has_history"), F.col("c").isNull().alias("is_branch_only"))
 
 
-def validated(entries: DataFrame) -> DataFrame:
-    """(record_id, reason): why an audit isn't a full one; null if it is."""
-    first = F.min_by("type", "entry_id")
-    second = F.min_by(F.struct("type", F.coalesce(F.size("ops"), F.lit(0)).alias("n")), F.when(F.col("_pos") == 2, F.col("entry_id")))
-    placed = entries.withColumn("_pos", F.row_number().over(Window.partitionBy("record_id").orderBy("entry_id")))
-    sums = placed.groupBy("record_id").agg(first.alias("first"), second.alias("second"), F.count("*").alias("n"))
-    empty = (F.col("n") == 2) & (F.col("second.type") == UPDATED) & (F.col("second.n") == 0)
-    reason = F.when(~F.col("first").isin(CREATED, BRANCHED), "does not start with an anchor").when(empty, "anchor with an empty update")
+def pending_count(entries: DataFrame) -> DataFrame:
+    return pending_state(entries).agg(F.count_if("has_pending").alias("pending"))
+
+
+def audits_of(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries of some records (record_id); ids without an audit give none."""
+    return entries.join(ids.select("record_id").distinct(), "record_id", "left_semi")
+
+
+def without_trail(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """The log without the audits of some records."""
+    return entries.join(ids.select("record_id").distinct(), "record_id", "left_anti")
+
+
+def cleared(live: DataFrame, entries: DataFrame, everything: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Live records (record_id) and log after a clear. Records with pending changes stay unless ``everything`` goes; so do records without
+    an audit, since only audited ones are cleared."""
+    if everything:
+        return live.limit(0), entries.limit(0)
+    done = pending_state(entries).where("not has_pending").select("record_id")
+    return live.join(done, "record_id", "left_anti"), entries.join(done, "record_id", "left_anti")
+
+
+def branches(anchors: DataFrame) -> DataFrame:
+    """A lone branched entry at each anchor (record_id, anchor)."""
+    return anchors.select("record_id", F.col("anchor").alias("entry_id"), F.lit(BRANCHED).alias("type"))
+
+
+def validated(entries: DataFrame, full: bool = True) -> DataFrame:
+    """(record_id, reason): why an audit isn't a full one, or a sync-only one; null if it is. Aggregations only."""
+    first, last = F.min_by("type", "entry_id"), F.max_by(F.struct("type", F.size("ops").alias("n"), F.col("ops").isNotNull().alias("ops")), "entry_id")
+    sums = entries.groupBy("record_id").agg(first.alias("first"), last.alias("last"), F.count("*").alias("n"))
+    anchored, update = F.col("first").isin(CREATED, BRANCHED), F.col("last.type") == UPDATED
+    if full:
+        empty = (F.col("n") == 2) & update & F.col("last.ops") & (F.col("last.n") == 0)
+        reason = F.when(~anchored, "does not start with an anchor").when(empty, "anchor with an empty update")
+    else:
+        reason = (
+            F.when(F.col("n") > 2, "more than two entries").when(~anchored, "does not start with an anchor").when(F.col("n") == 1, F.lit(None))
+            .when(update & ~F.col("last.ops"), "update without operations").when(update & (F.col("last.n") > 0), "update with operations").when(~update & (F.col("last.type") != DELETED), "second entry is no update or delete")
+        )
     return sums.select("record_id", reason.alias("reason"))
 
 
 def collapsed(entries: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each record's audit as one branch at its anchor (record_id, anchor) and the entries after it; records without an anchor stay."""
-    joined = entries.join(anchors, "record_id", "left")
-    later = joined.where(F.col("anchor").isNull() | (F.col("entry_id") > F.col("anchor")) & (~when_type(BRANCHED))).drop("anchor")
+    """Each record's audit as one branch at its anchor (record_id, anchor) and what follows it: all entries after the anchor where the audit
+    has it, else those after its id that aren't branches. Records without an anchor stay."""
+    own = entries.groupBy("record_id", "entry_id").agg(F.lit(True).alias("here"))
+    known = anchors.join(own, (anchors.record_id == own.record_id) & (anchors.anchor == own.entry_id), "left").select(anchors.record_id, "anchor", F.coalesce("here", F.lit(False)).alias("here"))
+    joined = entries.join(known, "record_id", "left")
+    later = joined.where(F.col("anchor").isNull() | (F.col("entry_id") > F.col("anchor")) & (F.col("here") | ~when_type(BRANCHED))).drop("anchor", "here")
     fields = {"record_id": F.col("record_id"), "entry_id": F.col("anchor"), "type": F.lit(BRANCHED)}
     branch = anchors.where("anchor is not null").join(entries.select("record_id").distinct(), "record_id", "left_semi")
     return later.unionByName(branch.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema]))
 
 
-def merged(server: DataFrame, client: DataFrame) -> DataFrame:
-    """Server entries and the client's new changes: its created and branched entries are dropped, known ids dropped; where the
-    server has nothing of a record, the client's audit is adopted whole if it starts with an anchor."""
-    known = server.select("record_id").distinct()
-    news = client.join(known, "record_id", "left_semi").where(~when_type(CREATED, BRANCHED)).join(server.select("record_id", "entry_id"), ["record_id", "entry_id"], "left_anti")
-    fresh = client.join(known, "record_id", "left_anti")
-    whole = fresh.groupBy("record_id").agg(F.min_by("type", "entry_id").alias("_first")).where(F.col("_first").isin(CREATED, BRANCHED)).select("record_id")
-    return server.unionByName(news).unionByName(fresh.join(whole, "record_id", "left_semi")).dropDuplicates(["record_id", "entry_id"])
+def merge_decisions(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
+    """(record_id, decision) of a client's audits: ``adopt`` where the server has none; ``merge`` where the client's is valid, or has changes
+    only (in full mode) and the server's is valid; else ``keep`` the server's."""
+    changes_only = client.groupBy("record_id").agg(F.bool_and(when_type(UPDATED, DELETED, RESTORED)).alias("changes_only"))
+    verdicts = changes_only.join(validated(client, full), "record_id").join(validated(server, full).select("record_id", F.lit(True).alias("known"), F.col("reason").alias("server_reason")), "record_id", "left")
+    changes = F.lit(full) & F.col("changes_only")
+    good = (~changes & F.col("reason").isNull()) | (changes & F.col("server_reason").isNull())
+    return verdicts.select("record_id", F.when(F.col("known").isNull(), "adopt").when(good, "merge").otherwise("keep").alias("decision"))
+
+
+def merged(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
+    """The server's log with a client's: of audits that merge, the changes (no created, no branched entries) that the server lacks; audits of
+    which the server has nothing whole; of others nothing. A repeated entry of the client counts once."""
+    decided = merge_decisions(server, client, full)
+    offered = client.join(decided.where("decision <> 'keep'"), "record_id").where((F.col("decision") == "adopt") | ~when_type(CREATED, BRANCHED)).drop("decision")
+    news = offered.join(server.select("record_id", "entry_id"), ["record_id", "entry_id"], "left_anti").dropDuplicates(["record_id", "entry_id"])
+    return server.unionByName(news)
 
 
 def replay_scalar(entries: DataFrame, fields: dict[str, Column], payload: Column | None = None) -> DataFrame:
-    """(record_id, live, fields...) of records whose updates set top-level scalars; no fold, two aggregations.
+    """(record_id, live, fields...) of records whose updates set top-level scalars; no fold, one aggregation.
 
     ``fields`` gives for each field whether an entry sets it (its column has the value). A restored entry copies the shadow
-    unless ``payload`` says that it brings a record."""
+    unless ``payload`` says that it brings a record. What sets a field last is never older than the last entry that resets all, and once there
+    is one, the last switch between live and deleted is never a restore from before it; so neither needs the other's place."""
     brings = payload if payload is not None else F.lit(False)
     reset = when_type(CREATED) | (when_type(RESTORED) & brings)
-    spans = entries.withColumn("_reset", reset).groupBy("record_id").agg(F.max(F.when(F.col("_reset"), F.col("entry_id"))).alias("_last"), F.min(F.when(F.col("_reset"), F.col("entry_id"))).alias("_first"))
-    joined = entries.withColumn("_reset", reset).join(spans.where("_last is not null"), "record_id")
-    counts = (F.col("entry_id") >= F.col("_last")) & (F.col("_reset") | when_type(UPDATED))
-    switch = F.when(when_type(CREATED, DELETED) | (when_type(RESTORED) & (F.col("entry_id") >= F.col("_first"))), F.col("entry_id"))
-    values = [F.max_by(name, F.when(counts & (F.col("_reset") | sets), F.col("entry_id"))).alias(name) for name, sets in fields.items()]
-    return joined.groupBy("record_id").agg((F.max_by("type", switch) != DELETED).alias("live"), *values)
+    switch = F.when(when_type(CREATED, DELETED, RESTORED), F.col("entry_id"))
+    values = [F.max_by(name, F.when(reset | (when_type(UPDATED) & sets), F.col("entry_id"))).alias(name) for name, sets in fields.items()]
+    sums = entries.groupBy("record_id").agg(F.bool_or(reset).alias("_reset"), (F.max_by("type", switch) != DELETED).alias("live"), *values)
+    return sums.where("_reset").drop("_reset")
 
 
 def as_of(entries: DataFrame, entry_id) -> DataFrame:
@@ -102,21 +147,34 @@ def as_of(entries: DataFrame, entry_id) -> DataFrame:
     return entries.where(F.col("entry_id") < entry_id)
 
 
-def replay_full(entries: DataFrame) -> DataFrame:
-    """(record_id, live, shadow) as JSON, for entries with record (JSON) and ops (array of op, path, value JSON, position, hash).
+def _read(e: dict) -> dict:
+    ops = [o | {"value": None if o["value"] is None else json.loads(o["value"])} for o in e["ops"] or []]
+    return {"entry_id": e["entry_id"], "type": e["type"], "record": None if e["record"] is None else json.loads(e["record"]), "ops": ops}
+
+
+def _text(record) -> str | None:
+    return None if record is None else json.dumps(record, sort_keys=True, ensure_ascii=False)
+
 
-    One record's history is folded in one task; long histories are kept short by ``collapsed``."""
+def from_last_snapshot(entries: DataFrame) -> DataFrame:
+    """The entries from each record's last created or restored entry with a record on: what stands before it has no effect."""
+    snapshot = F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id"))
+    last = entries.groupBy("record_id").agg(F.max(snapshot).alias("_last"))
+    return entries.join(last.where("_last is not null"), "record_id", "left").where("_last is null or entry_id >= _last").drop("_last")
+
+
+def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(record_id, live, shadow) as JSON, for entries with record (JSON) and ops (array of op, path, value JSON, position, hash); a record
+    that ``base`` (record_id, base) has starts from there. Of each record, what follows its last snapshot is folded in one task."""
 
     def fold(rows: pa.Table) -> pa.Table:
-        entries = []
-        for e in rows.to_pylist():
-            ops = [o | {"value": None if o["value"] is None else json.loads(o["value"])} for o in e["ops"] or []]
-            entries.append({"entry_id": e["entry_id"], "type": e["type"], "record": None if e["record"] is None else json.loads(e["record"]), "ops": ops})
-        live, shadow = structure.replay(entries)
-        text = [None if x is None else json.dumps(x, sort_keys=True, ensure_ascii=False) for x in (live, shadow)]
-        return pa.table({"record_id": rows["record_id"][:1], "live": pa.array(text[:1], pa.string()), "shadow": pa.array(text[1:], pa.string())})
+        start = rows["base"][0].as_py()
+        live, shadow = structure.replay([_read(e) for e in rows.to_pylist()], None if start is None else json.loads(start))
+        return pa.table({"record_id": rows["record_id"][:1], "live": pa.array([_text(live)], pa.string()), "shadow": pa.array([_text(shadow)], pa.string())})
 
-    return entries.select("record_id", "entry_id", "type", "record", "ops").groupBy("record_id").applyInArrow(fold, "record_id string, live string, shadow string")
+    rest = from_last_snapshot(entries.select("record_id", "entry_id", "type", "record", "ops"))
+    rest = rest.join(base, "record_id", "left") if base is not None else rest.withColumn("base", F.lit(None).cast("string"))
+    return rest.groupBy("record_id").applyInArrow(fold, "record_id string, live string, shadow string")
 
 
 OPS = "array<struct<op: string, path: string, value: string, position: string, hash: string>>"
@@ -127,8 +185,6 @@ def differences(pairs: DataFrame, old: str, new: str) -> DataFrame:
 
     @F.pandas_udf(OPS)
     def run(a, b):
-        import pandas as pd
-
         def one(x, y):
             ops = structure.diff(json.loads(x), json.loads(y)) if x and y else []
             return [o | {"value": json.dumps(o["value"], sort_keys=True) if o["op"] in ("add", "replace") else None} for o in ops]
@@ -168,10 +224,64 @@ def with_restores(state: DataFrame, wanted: DataFrame, entry_id: Column, columns
     return joined.select("record_id", entry_id.alias("entry_id"), kind.alias("type"), (none | ~equal).alias("has_payload"))
 
 
-def server_audit(entries: DataFrame, fields: list[str], user_id: Column) -> DataFrame:
-    """Entries with a user id, and on each deleted entry the fields' last values before it (its snapshot)."""
-    before = Window.partitionBy("record_id").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    return entries.select("record_id", "entry_id", "type", user_id.alias("user_id"), *[F.when(when_type(DELETED), F.last(f, ignorenulls=True).over(before)).alias(f"snapshot_{f}") for f in fields])
+def server_audit(entries: DataFrame, user_id: str, live: DataFrame | None = None) -> DataFrame:
+    """Entries (record_id, entry_id, type, record, ops, user_id) as a server keeps them: each with a user (its own, else ``user_id``), each
+    delete with a record: its own, else for the last delete the live one (record_id, live) that was read, else the replay of what
+    precedes it, else the id alone. Only audits with such a delete are folded."""
+    named = entries.withColumn("user_id", F.when(F.length("user_id") > 0, F.col("user_id")).otherwise(F.lit(user_id)))
+    bare = named.where(when_type(DELETED) & F.col("record").isNull()).groupBy("record_id").agg(F.max("entry_id").alias("last_bare"))
+    last = named.where(when_type(DELETED)).groupBy("record_id").agg(F.max("entry_id").alias("last"))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        found = [(e["entry_id"], _text(before)) for e, before, _ in structure.histories([_read(e) for e in rows.to_pylist()]) if e is not None and e["type"] == DELETED]
+        return pa.table({"record_id": pa.array([rows["record_id"][0].as_py()] * len(found), pa.string()), "entry_id": pa.array([i for i, _ in found], pa.string()), "before": pa.array([t for _, t in found], pa.string())})
+
+    asked = named.join(bare, "record_id").where("entry_id <= last_bare").select("record_id", "entry_id", "type", "record", "ops")
+    before = asked.groupBy("record_id").applyInArrow(fold, "record_id string, entry_id string, before string").where("before is not null")
+    joined = named.join(last, "record_id", "left").join(before, ["record_id", "entry_id"], "left")
+    joined = joined.join(live.select("record_id", "live"), "record_id", "left") if live is not None else joined.withColumn("live", F.lit(None).cast("string"))
+    snapshot = F.coalesce("record", F.when(F.col("entry_id") == F.col("last"), F.col("live")), "before", F.to_json(F.struct(F.col("record_id").alias("id"))))
+    return joined.withColumn("record", F.when(when_type(DELETED), snapshot).otherwise(F.col("record"))).select(*entries.columns)
+
+
+def updated_with(entries: DataFrame, current: DataFrame, entry_id: Column, base: DataFrame | None = None) -> DataFrame:
+    """The entries (record_id, entry_id, type, record, ops) that bring audits to the current records (record_id, current as JSON; null:
+    deleted): a delete unless the audit is deleted already; where nothing is live, a created entry if there is no shadow, a restored one
+    without a record if it equals the shadow, else with it; for other differences an update; for none nothing."""
+    state = replay_full(entries, base).join(deleted_state(entries), "record_id", "left")
+    joined = current.join(state, "record_id", "left").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+    compared = differences(joined.withColumn("before", F.coalesce("live", "shadow")), "before", "current")
+    none, gone, same = F.col("live").isNull(), F.col("current").isNull(), F.size("ops") == 0
+    kind = F.when(gone & ~F.col("is_deleted"), DELETED).when(gone, None).when(none & F.col("shadow").isNull(), CREATED).when(none, RESTORED).when(~same, UPDATED)
+    record = F.when((F.col("type") == CREATED) | (F.col("type") == RESTORED) & ~same, F.col("current"))
+    return compared.withColumn("type", kind).where("type is not null").select("record_id", entry_id.alias("entry_id"), "type", record.alias("record"), F.when(F.col("type") == UPDATED, F.col("ops")).alias("ops"))
+
+
+def reset_by_warnings(entries: DataFrame, current: DataFrame, entry_id: Column) -> DataFrame:
+    """The log where audits that don't replay cleanly (an update before any anchor, or a created entry without a record) of records that are
+    current (record_id, current) give way to one created entry."""
+    anchor = F.min(F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id")))
+    sums = entries.groupBy("record_id").agg(anchor.alias("a"), F.min(F.when(when_type(UPDATED), F.col("entry_id"))).alias("u"), F.bool_or(when_type(CREATED) & F.col("record").isNull()).alias("empty"))
+    bad = sums.where(F.col("empty") | F.col("u").isNotNull() & (F.col("a").isNull() | (F.col("u") < F.col("a")))).select("record_id").join(current, "record_id")
+    fields = {"record_id": F.col("record_id"), "entry_id": entry_id, "type": F.lit(CREATED), "record": F.col("current")}
+    fresh = bad.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema])
+    return without_trail(entries, bad).unionByName(fresh)
+
+
+def rebased_nested(versions: DataFrame, old: str, mine: str, theirs: str) -> DataFrame:
+    """``versions`` with rebased: my changes of the JSON column ``old`` on top of ``theirs``."""
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if None in xs else _text(structure.rebase(*map(json.loads, xs))) for xs in zip(a, b, c)])
+
+    return versions.withColumn("rebased", run(old, mine, theirs))
+
+
+def edited(versions: DataFrame, old: str, mine: str, theirs: str) -> DataFrame:
+    """What becomes of records being edited (JSON columns): ``restore?`` where theirs was deleted meanwhile, else ``current`` or ``rebased``."""
+    found = rebased_nested(versions, old, mine, theirs)
+    return found.withColumn("outcome", F.when(F.col(theirs).isNull(), "restore?").when(F.col(old) == F.col(theirs), "current").otherwise("rebased"))
 
 
 def updates_for(state: DataFrame, current: DataFrame, entry_id: Column, columns: list[str]) -> DataFrame:

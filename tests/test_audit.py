@@ -3,6 +3,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.functions import hashing, structure
 from quillon.operators import audit
@@ -55,3 +56,27 @@ def test_replay_of_type_sequences(spark):
     assert json.loads(found["CU"]) == {"v": 1}
     state = {r.record_id: r.is_deleted for r in audit.deleted_state(log).collect()}
     assert state["CDC"] and not state["CDR"]
+
+
+def test_replay_from_a_base_and_from_the_last_snapshot(spark):
+    op = lambda v: [{"op": "replace", "path": "v", "value": v, "position": None, "hash": None}]
+    rows = [("a", "1", 1, None, op("1")), ("b", "1", 0, '{"v": 0}', None), ("b", "2", 1, None, op("5")), ("b", "3", 2, None, None), ("b", "4", 3, '{"w": 1}', None), ("b", "5", 1, None, op("7")), ("c", "1", 1, None, op("1"))]
+    log = spark.createDataFrame(rows, f"record_id string, entry_id string, type int, record string, ops {audit.OPS}")
+    base = spark.createDataFrame([("a", '{"u": 2}')], "record_id string, base string")
+    found = {r.record_id: r.live and json.loads(r.live) for r in audit.replay_full(log, base).collect()}
+    assert found == {"a": {"u": 2, "v": 1}, "b": {"w": 1, "v": 7}, "c": None}
+    assert audit.from_last_snapshot(log).count() == 4
+
+
+def test_anchors_hold_at_the_last_two_steps():
+    record = {"xs": [{"n": 1}, {"n": 2}]}
+    op = structure.operation("replace", "xs.0.n", 9, hash=hashing.content_hash({"n": 2}))
+    assert structure.apply(record, op) == {"xs": [{"n": 1}, {"n": 9}]}
+    ops = structure.diff({"t": [1, 2, 3, 4]}, {"t": [1, 2]})
+    assert [o["path"] for o in ops] == ["t.2", "t.3"]
+
+
+def test_folded_hash_equals_the_plain_one(spark):
+    texts = ['{"a":"x"}', "null", '"é"', "[1,2]"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.folded_hash(F.col("t")).alias("h"), hashing.content_hashes("t").alias("p")).collect()
+    assert all(r.h == r.p == hashing.content_hash(json.loads(r.t)) for r in found)
