@@ -1,8 +1,8 @@
-"""Sources and sinks: tables, snapshot differences, seeding, and an atomic sink for streams."""
+"""Sources and sinks: tables, snapshot differences, change rows, seeding, and versioned folders that batches and streams replace at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,20 +25,95 @@ def change_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def seeded(existing: DataFrame, fixed: DataFrame, create: DataFrame, count: int, id_column: str = "id") -> DataFrame:
-    """A collection seeded to ``count`` records: fixed ones added or replaced, others trimmed by id, missing ones taken from ``create``."""
+def normalised(changes: DataFrame) -> DataFrame:
+    """Change rows (op, before, after, ...) as insert, update or delete; other kinds, and those that change nothing, are left out."""
+    op = F.lower("op")
+    named = F.when(op.isin("create", "insert"), "insert").when(op.isin("update", "replace"), "update").when(op == "delete", "delete")
+    return changes.withColumn("op", named).where("op is not null").where(~F.col("before").eqNullSafe(F.col("after")) | (F.col("op") == "delete"))
+
+
+def from_stored(df: DataFrame) -> DataFrame:
+    """Stored documents carry their id as ``_id``."""
+    return df.withColumnRenamed("_id", "id")
+
+
+def to_stored(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("id", "_id")
+
+
+def seeded(existing: DataFrame, fixed: DataFrame, create: DataFrame, count: int | None = None, id_column: str = "id", valid: Column | None = None, corrected: DataFrame | None = None) -> DataFrame:
+    """A collection seeded to ``count`` records (default: as many as there are): fixed ones added or replaced, others trimmed by id,
+    missing ones taken from ``create``. Of those that stay, the ones for which ``valid`` isn't true are made anew under their id, from
+    ``corrected`` where it has them, else from a spare record of ``create``."""
     others = existing.join(fixed.select(id_column), id_column, "left_anti")
-    room = max(0, count - fixed.count())
-    kept = others.orderBy(id_column).limit(room)
-    missing = max(0, room - others.count())
-    fresh = create.join(existing.select(id_column), id_column, "left_anti").join(fixed.select(id_column), id_column, "left_anti").orderBy(id_column).limit(missing)
-    return fixed.unionByName(kept).unionByName(fresh)
+    n_fixed, n_others = (df.count() for df in (fixed, others))
+    room = n_others if count is None else max(0, count - n_fixed)
+    kept = others if room >= n_others else others.orderBy(id_column).limit(room)
+    spare = create.join(existing.select(id_column), id_column, "left_anti").join(fixed.select(id_column), id_column, "left_anti")
+    missing = max(0, room - n_others)
+    if valid is not None:
+        bad = kept.where(~F.coalesce(valid, F.lit(False)))
+        source = corrected if corrected is not None else spare.limit(0)
+        given = source.join(bad.select(id_column), id_column, "left_semi")
+        # who has no correction takes the values of the spare record of the same rank after the missing ones
+        rank = lambda df, name: df.select("*", F.row_number().over(Window.orderBy(id_column)).alias(name))
+        anew = rank(bad.join(source.select(id_column), id_column, "left_anti").select(id_column), "_n")
+        values = rank(spare, "_n").where(F.col("_n") > missing).withColumn("_n", F.col("_n") - missing).drop(id_column)
+        made = anew.join(values, "_n").drop("_n").select(*existing.columns)
+        kept = kept.join(bad.select(id_column), id_column, "left_anti").unionByName(given).unionByName(made)
+    return fixed.unionByName(kept).unionByName(spare.orderBy(id_column).limit(missing))
+
+
+def seed_hash(fixed: DataFrame) -> str:
+    """What tells whether fixed records are those of the last seeding, in any order; seeding may be left out while it stays the same."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(fixed.columns)))).cast("decimal(38,0)")
+    return "-".join(map(str, fixed.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()))
+
+
+def deduplicated(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows with repeated keys the first by ``order`` stays (a migration copy)."""
+    rest = [c for c in entries.columns if c not in keys]
+    kept = entries.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in entries.columns])
+
+
+def replaced(log: DataFrame, audits: DataFrame) -> DataFrame:
+    """The log after whole audits were written over those of their records."""
+    return log.join(audits.select("record_id").distinct(), "record_id", "left_anti").unionByName(audits.select(*log.columns))
+
+
+class Versions:
+    """A table as numbered folders, of which the greatest that is whole counts: Spark writes ``_SUCCESS`` last, so a reader sees a version
+    at once or not at all. A stream's batch is written under its own number, so a repeated batch changes nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.store = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        if not self.store.exists(self.path(self.folder)):
+            return []
+        names = [str(x.getPath().getName()) for x in self.store.listStatus(self.path(self.folder))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.store.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
 
+    def read(self) -> DataFrame | None:
+        numbers = self.numbers()
+        return self.spark.read.parquet(f"{self.folder}/v{numbers[-1]}") if numbers else None
 
-def deduplicated(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """First-in wins for repeated keys (a migration copy)."""
-    return entries.dropDuplicates(keys)
+    def write(self, df: DataFrame, number: int | None = None) -> bool:
+        """Write the next version, or this one; False if it or a later one is there."""
+        numbers = self.numbers()
+        number = number if number is not None else (numbers[-1] + 1 if numbers else 0)
+        if numbers and number <= numbers[-1]:
+            return False
+        df.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        return True
 
+    def keep(self, most: int = 2) -> None:
+        """Delete all versions but the last ``most``."""
+        for n in self.numbers()[:-most]:
+            self.store.delete(self.path(f"{self.folder}/v{n}"), True)
 
-def missing_keys(df: DataFrame, column: Column) -> DataFrame:
-    return df.where(column.isNull())
+    def drop(self) -> None:
+        self.store.delete(self.path(self.folder), True)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from quillon.functions.hashing import result_hash
+from quillon.functions import hashing
+from quillon.operators.collection import Registry
 
 
 def debounced(changes: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
@@ -19,33 +20,111 @@ def debounced(changes: DataFrame, gap: str, watermark: str | None = None) -> Dat
     return source.groupBy("collection", "op", window.alias("w")).agg(F.count("*").alias("n_changes"), F.max("seq").alias("last_seq")).select("collection", "op", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n_changes", "last_seq")
 
 
+def batches(changes: DataFrame, gap_seconds: int) -> DataFrame:
+    """Changes (collection, op, id, ts, seq, ...) gathered until a (collection, op) is idle for the gap: for each window and id the last change
+    (collection, op, begin, end, id, n_changes, and the other columns).
+
+    Changes are first counted by slices of time as long as the gap, whose changes are always of one window; only slices are put in order, so
+    neither a busy collection nor a long window is gathered in a task."""
+    rest = [c for c in changes.columns if c not in ("collection", "op", "id")]
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    sliced = changes.withColumn("_slice", F.floor(seconds / gap_seconds))
+    slices = sliced.groupBy("collection", "op", "_slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = Window.partitionBy("collection", "op").orderBy("_slice")
+    before = F.lag("last").over(order)
+    opens = (before.isNull() | (F.col("first").cast("timestamp").cast("double") - before.cast("timestamp").cast("double") >= gap_seconds)).cast("int")
+    numbered = slices.withColumn("opens", opens).withColumn("_window", F.sum("opens").over(order))
+    spans = numbered.groupBy("collection", "op", "_window").agg(F.min("first").alias("begin"), (F.max("last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("end"))
+    keyed = sliced.join(numbered.select("collection", "op", "_slice", "_window"), ["collection", "op", "_slice"])
+    last = keyed.groupBy("collection", "op", "_window", "id").agg(F.count("*").alias("n_changes"), F.max_by(F.struct(*rest), "seq").alias("_last"))
+    return last.join(spans, ["collection", "op", "_window"]).select("collection", "op", "begin", "end", "id", "n_changes", "_last.*")
+
+
+def deliver(stream: DataFrame, gap_seconds: int, registry: Registry, subscribers: list[Callable[[str, DataFrame], None]], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch's changes as windows: a collection's hooks run first, then its subscribers. The end of a micro-batch ends its windows."""
+
+    def run(rows: DataFrame, epoch: int) -> None:
+        found = batches(rows, gap_seconds).persist()
+        for row in found.select("collection").distinct().collect():
+            own = found.where(F.col("collection") == row.collection)
+            registry.after(row.collection, own)
+            for tell in subscribers:
+                tell(row.collection, own)
+        found.unpersist()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def removed(before: DataFrame, now: DataFrame, id_column: str) -> DataFrame:
     """Ids that left a subscription's result."""
     return before.select(id_column).join(now.select(id_column), id_column, "left_anti")
 
 
+def all_emission(before: DataFrame, now: DataFrame) -> DataFrame:
+    """What a subscription of all records tells (id, pos, cursor): each id in its place, and a delete for each that left. Nothing where number
+    and order are as before. Both are (id, pos)."""
+    changed = before.alias("b").join(now.alias("n"), "id", "full_outer").agg(F.bool_or(~F.col("b.pos").eqNullSafe(F.col("n.pos")))).first()[0]
+    told = now.select("id", "pos", F.lit("active").alias("cursor")).unionByName(removed(before, now, "id").select("id", F.lit(None).cast("long").alias("pos"), F.lit("delete").alias("cursor")))
+    return told if changed else told.limit(0)
+
+
+def fanned_out(changes: DataFrame, watches: DataFrame) -> DataFrame:
+    """A cursor of each change (collection, id, ...) for each client that watches its collection (client, collection)."""
+    return changes.join(watches, "collection")
+
+
 def hash_of(result: DataFrame, id_column: str) -> DataFrame:
     """One row: the hash of the ordered ids of ``result`` (pos, id)."""
-    return result.agg(result_hash(result, id_column).alias("result_hash"))
+    return hashing.result_hash(result, "pos", id_column)
 
 
 class LiveQuery:
-    """Runs a query again after each batch of changes and calls back when the ordered ids' hash is new."""
+    """Runs a query again after each batch of changes and calls back when the ordered ids' hash is new, else ``on_same`` if given. A run that
+    was overtaken by a later one says nothing; a disabled query gives ``default``."""
 
-    def __init__(self, query: Callable[[], DataFrame], on_change: Callable[[DataFrame], None], id_column: str = "id"):
+    def __init__(self, query: Callable[[], DataFrame], on_change: Callable[[DataFrame], None], id_column: str = "id", on_same: Callable[[], None] | None = None, default: DataFrame | None = None):
         self.query, self.on_change, self.id, self.last = query, on_change, id_column, None
+        self.on_same, self.default, self.disabled, self.run = on_same, default, False, 0
 
     def refresh(self, batch: DataFrame | None = None, epoch: int = 0) -> None:
+        self.run += 1
+        own = self.run
+        if self.disabled:
+            if self.default is not None:
+                self.on_change(self.default)
+            return
         result = self.query()
         now = hash_of(result, self.id).first()[0]
+        if own != self.run:
+            return
         if now != self.last:
             self.last = now
             self.on_change(result)
+        elif self.on_same:
+            self.on_same()
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Subscriptions:
+    """The last answer of each subscription, so that only what differs is told; forgotten when it ends."""
+
+    def __init__(self):
+        self._last: dict[str, tuple] = {}
+
+    def tell(self, name: str, answer: tuple, emit: Callable[[tuple], None]) -> bool:
+        """Emit ``answer`` (such as total, count and hash of the order) if it isn't the last one."""
+        if self._last.get(name) == answer:
+            return False
+        self._last[name] = answer
+        emit(answer)
+        return True
+
+    def end(self, name: str) -> None:
+        self._last.pop(name, None)
+
+
 def merge_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Late entries are never dropped: each batch is merged by entry id and its records are replayed, so there is no watermark."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

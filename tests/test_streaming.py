@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from quillon.sources.changes import change_stream
-from quillon.streaming.live import LiveQuery, debounced
+from quillon.operators.collection import Collection, Registry
+from quillon.sources.changes import Versions, change_stream, seed_hash
+from quillon.streaming.live import LiveQuery, Subscriptions, batches, debounced, deliver
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -22,3 +23,47 @@ def test_live_query_calls_only_on_change(spark, tmp_path):
     data[0] = spark.createDataFrame([(0, 2)], "pos int, id int")
     live.refresh()
     assert seen == [2, 1]
+
+
+def test_windows_keep_the_last_record_of_each_id(spark, tmp_path):
+    rows = [("c", "update", 1, 0, 1, "a"), ("c", "update", 1, 15, 2, "b"), ("c", "update", 2, 34, 3, "x"), ("c", "update", 1, 54, 4, "c"), ("c", "insert", 1, 16, 5, "n"), ("c", "delete", 7, 30, 6, None), ("d", "update", 1, 20, 7, "d")]
+    df = spark.createDataFrame(rows, "collection string, op string, id int, s long, seq long, name string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    found = {(r.collection, r.op, r.id, r.n_changes, r.name, r.begin.timestamp(), r.end.timestamp()) for r in batches(df, 20).collect()}
+    # a gap of exactly 20 seconds ends a window
+    assert found == {("c", "update", 1, 2, "b", 0.0, 54.0), ("c", "update", 2, 1, "x", 0.0, 54.0), ("c", "update", 1, 1, "c", 54.0, 74.0), ("c", "insert", 1, 1, "n", 16.0, 36.0), ("c", "delete", 7, 1, None, 30.0, 50.0), ("d", "update", 1, 1, "d", 20.0, 40.0)}
+    df.write.parquet(str(tmp_path / "in"))
+    registry, told = Registry(), []
+    registry.define(Collection("c", df))
+    registry.extend("c", on_after_upsert=lambda new, old: told.append(("hook", new.count(), old.count())), on_after_delete=lambda ids: told.append(("gone", ids.count())))
+    deliver(change_stream(spark, str(tmp_path / "in"), df.schema), 20, registry, [lambda name, b: told.append((name, b.count()))], str(tmp_path / "cp")).awaitTermination()
+    assert told[-3:] == [("hook", 1, 3), ("gone", 1), ("c", 5)] or told == [("hook", 1, 3), ("gone", 1), ("c", 5), ("d", 1)]
+
+
+def test_versions_replace_a_table_at_once(spark, tmp_path):
+    table = Versions(spark, str(tmp_path / "t"))
+    assert table.read() is None and table.write(spark.range(3)) and table.write(spark.range(5))
+    (tmp_path / "t/v2").mkdir()  # a writer that stopped half-way
+    assert table.read().count() == 5 and not table.write(spark.range(9), number=1) and table.write(spark.range(7), number=2) and table.read().count() == 7
+    table.keep(1)
+    assert table.numbers() == [2]
+    table.drop()
+    assert table.read() is None
+
+
+def test_answers_are_told_once(spark):
+    told, known = [], Subscriptions()
+    assert known.tell("q", (3, "h"), told.append) and not known.tell("q", (3, "h"), told.append) and known.tell("q", (4, "h"), told.append)
+    known.end("q")
+    assert known.tell("q", (4, "h"), told.append) and told == [(3, "h"), (4, "h"), (4, "h")]
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id int, name string")
+    assert seed_hash(a) == seed_hash(a.orderBy(F.desc("id"))) != seed_hash(a.where("id = 1"))
+
+
+def test_disabled_and_same_results(spark):
+    seen, same = [], []
+    live = LiveQuery(lambda: spark.createDataFrame([(0, 1)], "pos int, id int"), lambda df: seen.append(df.count()), on_same=lambda: same.append(1), default=spark.range(0))
+    live.refresh()
+    live.refresh()
+    live.disabled = True
+    live.refresh()
+    assert seen == [1, 0] and same == [1]
