@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing
 from quillon.operators import audit, sync
 from quillon.operators.collection import Collection, Request
-from quillon.sources.changes import seeded, snapshot_changes
-from quillon.streaming.live import debounced, hash_of, removed
+from quillon.sources import changes as sources
+from quillon.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +62,13 @@ filtered("f_date", "orders", {"o_orderdate": {"$gte": datetime(1995, 1, 1), "$lt
 filtered("f_like", "part", {"p_name": {"$like": "%A%e%"}}, ["p_partkey", "p_name"], "p_name ILIKE '%A%e%'")
 filtered("f_begins", "part", {"p_type": {"$beginsWith": "s"}}, ["p_partkey", "p_type"], "p_type ILIKE 's%'")
 filtered("f_ends", "part", {"p_brand": {"$endsWith": "3"}}, ["p_partkey", "p_brand"], "p_brand ILIKE '%3'")
-filtered("f_regex", "customer", {"c_name": {"$regex": "0[13579]+$"}}, CUSTOMER, "regexp_matches(c_name, '0[13579]+$')")
+
+
+
+@query(r"SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE regexp_matches(c_name, '(?P<odd>0[13579]+)$') OR regexp_matches(c_mktsegment, '^\p{Lu}U')")
+def f_regex(spark, sf_dir):
+    wanted = [{"c_name": {"$regex": "(?<odd>0[13579]+)$"}}, {"c_mktsegment": {"$regex": r"^\p{Lu}U"}}, {"c_name": {"$regex": "(?P<odd>0"}}, {"c_name": {"$regex": "["}}]
+    return collection(spark, sf_dir, "customer").matching({"$or": wanted}).select("c_custkey", "c_name", "c_mktsegment")
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +209,7 @@ CHANGED = "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 2 THEN
     FROM o FULL JOIN n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal <> n.c_acctbal""")
 def cdc_snapshot(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return snapshot_changes(df.where("c_mktsegment <> 'BUILDING'"), changed_customers(df), "c_custkey")
+    return sources.snapshot_changes(df.where("c_mktsegment <> 'BUILDING'"), changed_customers(df), "c_custkey")
 
 
 @query(f"WITH n AS ({CHANGED}) SELECT * FROM n UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
@@ -225,11 +231,72 @@ def read_through(spark, sf_dir):
     return local.get_through(df.where("c_custkey % 3 <> 0 OR c_nationkey < 10").select("c_custkey"), df)
 
 
-@query("WITH f AS (SELECT s_suppkey, 'fixed' AS s_name FROM supplier WHERE s_suppkey <= 3), o AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 3 ORDER BY s_suppkey LIMIT 5) SELECT * FROM f UNION ALL SELECT * FROM o")
+FIXED = "f AS (SELECT s_suppkey, 'fixed' AS s_name FROM supplier WHERE s_suppkey % 7 = 0), o AS (SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 18 AND s_suppkey % 7 <> 0), spare AS (SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey >= 18 AND s_suppkey % 7 <> 0)"
+
+
+def seeds(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Existing suppliers, fixed ones, and new ones to draw on."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    kept = suppliers.where("s_nationkey < 18").drop("s_nationkey")
+    return kept, suppliers.where("s_suppkey % 7 = 0").select("s_suppkey", F.lit("fixed").alias("s_name")), suppliers.where("s_nationkey >= 18").drop("s_nationkey")
+
+
+@query(f"WITH {FIXED} SELECT * FROM f UNION ALL SELECT * FROM (SELECT * FROM o ORDER BY s_suppkey LIMIT (SELECT count(*) // 2 FROM supplier))")
 def seed_with(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    fixed = suppliers.where("s_suppkey <= 3").withColumn("s_name", F.lit("fixed"))
-    return seeded(suppliers.where("s_suppkey <= 5"), fixed, suppliers.where("s_suppkey > 5"), 5 + fixed.count(), "s_suppkey")
+    existing, fixed, create = seeds(spark, sf_dir)
+    return sources.seeded(existing, fixed, create, table(spark, sf_dir, "supplier").count() // 2 + fixed.count(), "s_suppkey")
+
+
+@query(f"""WITH {FIXED}, bad AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS n FROM o WHERE s_name LIKE '%3' AND s_suppkey % 2 = 0), s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS n FROM spare)
+    SELECT * FROM f UNION ALL SELECT * FROM o WHERE s_name NOT LIKE '%3' UNION ALL SELECT s_suppkey, 'right' FROM o WHERE s_name LIKE '%3' AND s_suppkey % 2 = 1 UNION ALL SELECT bad.s_suppkey, s.s_name FROM bad JOIN s USING (n)""")
+def seed_validated(spark, sf_dir):
+    existing, fixed, create = seeds(spark, sf_dir)
+    corrected = existing.where("s_suppkey % 2 = 1").withColumn("s_name", F.lit("right"))
+    return sources.seeded(existing, fixed, create, None, "s_suppkey", valid=~F.col("s_name").like("%3"), corrected=corrected)
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL")
+def migrate(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return sources.deduplicated(lines.withColumn("first", F.col("l_shipdate")), ["l_orderkey", "l_linenumber"], "first").drop("first")
+
+
+@query(f"WITH n AS ({CHANGED}) SELECT * FROM n WHERE c_nationkey = 2")
+def upsert_news(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return found.news(changed_customers(found.df))
+
+
+@query("SELECT count(*) AS here FROM (SELECT 1 FROM customer WHERE c_custkey = 7 LIMIT 1)")
+def exists(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return spark.createDataFrame([(int(found.exists(7)) + int(found.exists(-7)),)], "here long")
+
+
+@query(f"WITH n AS ({CHANGED}) SELECT * FROM n WHERE c_nationkey <> 5 AND c_acctbal > 0 UNION ALL SELECT * FROM customer c WHERE c_nationkey <> 5 AND c_custkey NOT IN (SELECT c_custkey FROM n WHERE c_acctbal > 0)")
+def sync_write(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return found.synchronised(changed_customers(found.df), found.df.where("c_nationkey = 5").select("c_custkey"), F.col("c_acctbal") > 0)[0]
+
+
+@query(f"WITH n AS ({CHANGED}) SELECT coalesce(n.c_custkey, d.c_custkey) AS id, CASE WHEN c_acctbal <= 0 THEN 'not valid' END AS error FROM n FULL JOIN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) d ON n.c_custkey = d.c_custkey")
+def sync_results(spark, sf_dir):
+    found = collection(spark, sf_dir, "customer")
+    return found.synchronised(changed_customers(found.df), found.df.where("c_nationkey = 5").select("c_custkey"), F.col("c_acctbal") > 0)[1]
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'update' WHEN event_type = 'signup' THEN 'insert' ELSE 'delete' END AS op FROM events WHERE event_type <> 'purchase' AND (event_type NOT IN ('view', 'click') OR event_id % 3 <> 0)")
+def cdc_normalised(spark, sf_dir):
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'update' WHEN 'click' THEN 'Replace' WHEN 'error' THEN 'delete' ELSE 'drop' END")
+    before = F.when(F.col("event_type") != "signup", F.col("value"))
+    after = F.when(F.col("event_type") == "error", None).when(F.col("event_type").isin("view", "click") & (F.col("event_id") % 3 == 0), F.col("value")).otherwise(F.col("value") + 1)
+    return sources.normalised(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), kind.alias("op"), before.alias("before"), after.alias("after"))).select("seq", "op")
+
+
+@query("SELECT c_custkey AS _id, c_name FROM customer")
+def id_codec(spark, sf_dir):
+    plain = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return sources.to_stored(sources.from_stored(sources.to_stored(plain)))
 
 
 # The audit log
@@ -263,9 +330,11 @@ def audit_replay_scalar(spark, sf_dir):
     return state_of(log(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, past AS (SELECT * FROM log WHERE entry_id < '000000000500') {state_sql('past')}")
+@query(f"WITH {LOG}, past AS (SELECT * FROM log WHERE event_id < (SELECT quantile_disc(event_id, 0.5) FROM events)) {state_sql('past')}")
 def audit_asof(spark, sf_dir):
-    return state_of(audit.as_of(log(spark, sf_dir), "000000000500"))
+    entries = log(spark, sf_dir)
+    middle = entries.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").cast("long").cast("string")).first()[0]
+    return state_of(audit.as_of(entries, middle.zfill(12)))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS record_id, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS entry_id, 0 AS type FROM customer")
@@ -302,43 +371,163 @@ def audit_pending(spark, sf_dir):
     return audit.pending_state(branched(log(spark, sf_dir)))
 
 
-@query(f"WITH {LOG} SELECT record_id, CASE WHEN min_by(type, entry_id) NOT IN (0, 4) THEN 'does not start with an anchor' WHEN count(*) = 2 AND max_by(type, entry_id) = 1 THEN 'anchor with an empty update' END AS reason FROM log GROUP BY record_id")
+@query(f"WITH {BRANCHED}, s AS (SELECT record_id, min(entry_id) FILTER (type = 4) AS br, max(entry_id) FILTER (type NOT IN (0, 4)) AS c FROM b GROUP BY record_id) SELECT count(*) FILTER (br IS NULL OR coalesce(c > br, false)) AS pending FROM s")
+def pending_total(spark, sf_dir):
+    return audit.pending_count(branched(log(spark, sf_dir)))
+
+
+def short_log(spark, sf_dir) -> DataFrame:
+    """The branched log as many short audits: a user's events by the remainder of their number, views with operations (none where even)."""
+    entries = branched(log(spark, sf_dir)).withColumn("record_id", F.concat("record_id", F.lit("-"), (F.col("event_id") % 32).cast("string")))
+    ops = F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))))
+    return entries.select("record_id", "entry_id", "type", ops.alias("ops"), "event_id")
+
+
+SHORT = f"{BRANCHED}, sh AS (SELECT record_id || '-' || (event_id % 32) AS record_id, entry_id, type, CASE WHEN event_type = 'view' THEN event_id % 2 END AS n_ops, event_id FROM b)"
+
+
+def valid_sql(source: str, name: str) -> str:
+    return f"""{name} AS (SELECT record_id, min_by(type, entry_id) AS first, max_by(type, entry_id) AS last, max_by({{'n': n_ops}}, entry_id).n AS n_ops, count(*) AS n, bool_and(type IN (1, 2, 3)) AS changes_only,
+        CASE WHEN min_by(type, entry_id) NOT IN (0, 4) THEN 'does not start with an anchor' WHEN count(*) = 2 AND max_by(type, entry_id) = 1 AND max_by({{'n': n_ops}}, entry_id).n = 0 THEN 'anchor with an empty update' END AS reason FROM {source} GROUP BY record_id)"""
+
+
+@query(f"WITH {SHORT}, {valid_sql('sh', 'v')} SELECT record_id, reason FROM v")
 def audit_validate(spark, sf_dir):
-    return audit.validated(log(spark, sf_dir).withColumn("ops", F.lit(None).cast("array<int>")))
+    return audit.validated(short_log(spark, sf_dir))
+
 
+@query(f"""WITH {SHORT}, {valid_sql('sh', 'v')} SELECT record_id, CASE WHEN n > 2 THEN 'more than two entries' WHEN first NOT IN (0, 4) THEN 'does not start with an anchor' WHEN n = 1 THEN NULL WHEN last = 1 AND n_ops IS NULL THEN 'update without operations'
+    WHEN last = 1 AND n_ops > 0 THEN 'update with operations' WHEN last NOT IN (1, 2) THEN 'second entry is no update or delete' END AS reason FROM v""")
+def audit_validate_sync(spark, sf_dir):
+    return audit.validated(short_log(spark, sf_dir), full=False)
 
-@query(f"""WITH {LOG}, a AS (SELECT record_id, quantile_disc(entry_id, 0.5) AS anchor FROM log GROUP BY record_id)
-    SELECT record_id, entry_id, type FROM log JOIN a USING (record_id) WHERE entry_id > anchor UNION ALL SELECT record_id, anchor, 4 FROM a""")
+
+ANCHORS = "a AS (SELECT record_id, max(entry_id) FILTER (type = 0) || CASE WHEN record_id LIKE '%3' THEN 'x' ELSE '' END AS anchor FROM b GROUP BY record_id)"
+
+
+@query(f"""WITH {BRANCHED}, {ANCHORS} SELECT record_id, entry_id, type FROM b JOIN a USING (record_id) WHERE anchor IS NULL OR entry_id > anchor AND (record_id NOT LIKE '%3' OR type <> 4) UNION ALL SELECT record_id, anchor, 4 FROM a WHERE anchor IS NOT NULL""")
 def audit_collapse(spark, sf_dir):
-    entries = log(spark, sf_dir).select("record_id", "entry_id", "type")
-    middle = entries.groupBy("record_id").agg(F.expr("array_sort(collect_list(entry_id))").alias("all")).select("record_id", F.expr("element_at(all, cast(ceil(size(all) * 0.5) as int))").alias("anchor"))
-    return audit.collapsed(entries, middle)
+    """At the last created entry; where the id ends in 3 at one that the audit doesn't have."""
+    entries = branched(log(spark, sf_dir)).select("record_id", "entry_id", "type")
+    last = entries.groupBy("record_id").agg(F.max(F.when(F.col("type") == 0, F.col("entry_id"))).alias("anchor"))
+    return audit.collapsed(entries, last.withColumn("anchor", F.when(F.col("record_id").like("%3"), F.concat("anchor", F.lit("x"))).otherwise(F.col("anchor"))))
 
 
 def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two replicas: even events, odd events, and every tenth on both."""
-    entries = log(spark, sf_dir)
-    return entries.where("event_id % 2 = 0 AND record_id NOT LIKE '%7'"), entries.where("event_id % 2 = 1 OR event_id % 10 = 0")
+    """Two replicas of short audits: even thirds, odd ones, and every tenth event on both."""
+    entries = short_log(spark, sf_dir)
+    return entries.where("event_id div 32 % 2 = 0 AND record_id NOT LIKE '%7'"), entries.where("event_id div 32 % 2 = 1 OR event_id % 10 = 0")
+
+
+SIDES = f"{SHORT}, s AS (SELECT * FROM sh WHERE event_id // 32 % 2 = 0 AND record_id NOT LIKE '%7'), c AS (SELECT * FROM sh WHERE event_id // 32 % 2 = 1 OR event_id % 10 = 0)"
 
 
-SIDES = f"{LOG}, s AS (SELECT * FROM log WHERE event_id % 2 = 0 AND record_id NOT LIKE '%7'), c AS (SELECT * FROM log WHERE event_id % 2 = 1 OR event_id % 10 = 0)"
-MERGED = """SELECT record_id, entry_id, type FROM s UNION SELECT record_id, entry_id, type FROM c WHERE type NOT IN (0, 4) AND record_id IN (SELECT record_id FROM s)
-    UNION SELECT record_id, entry_id, type FROM c WHERE record_id NOT IN (SELECT record_id FROM s) AND record_id IN (SELECT record_id FROM c GROUP BY record_id HAVING min_by(type, entry_id) IN (0, 4))"""
+def merged_sql(client: str) -> str:
+    return f"""{valid_sql('s', 'vs')}, {valid_sql(client, 'vc')}, d AS (SELECT vc.record_id, CASE WHEN vs.record_id IS NULL THEN 'adopt' WHEN vc.changes_only AND vs.reason IS NULL OR NOT vc.changes_only AND vc.reason IS NULL THEN 'merge' ELSE 'keep' END AS decision FROM vc LEFT JOIN vs USING (record_id))
+        SELECT record_id, entry_id, type FROM s UNION SELECT record_id, entry_id, type FROM {client} JOIN d USING (record_id) WHERE decision = 'adopt' OR decision = 'merge' AND type NOT IN (0, 4)"""
 
 
-@query(f"WITH {SIDES} {MERGED}")
+@query(f"WITH {SIDES}, {merged_sql('c')}")
 def audit_merge(spark, sf_dir):
     return audit.merged(*sides(spark, sf_dir)).select("record_id", "entry_id", "type")
 
 
-@query(f"WITH {LOG} SELECT record_id, entry_id, type, 'user-' || record_id AS user_id, CASE WHEN type = 2 THEN last_value(value IGNORE NULLS) OVER w END AS snapshot_value, CASE WHEN type = 2 THEN last_value(k IGNORE NULLS) OVER w END AS snapshot_k FROM log WINDOW w AS (PARTITION BY record_id ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-def audit_server(spark, sf_dir):
-    return audit.server_audit(log(spark, sf_dir), ["value", "k"], F.concat(F.lit("user-"), "record_id"))
+@query(f"WITH {LOG} SELECT record_id, entry_id, type FROM log WHERE record_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey < 6)")
+def audit_read(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_nationkey < 6").select(F.col("c_custkey").cast("string").alias("record_id"))
+    return audit.audits_of(log(spark, sf_dir), ids).select("record_id", "entry_id", "type")
 
 
-def document_log(spark, sf_dir) -> DataFrame:
-    """The same log with whole records and operations, for the fold."""
-    entries = log(spark, sf_dir)
+@query(f"WITH {LOG} SELECT record_id, entry_id, type FROM log WHERE record_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey < 6)")
+def audit_trail_removed(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_nationkey < 6").select(F.col("c_custkey").cast("string").alias("record_id"))
+    return audit.without_trail(log(spark, sf_dir), ids).select("record_id", "entry_id", "type")
+
+
+PENDING = "p AS (SELECT record_id, br IS NULL OR coalesce(c > br, false) AS pending FROM (SELECT record_id, min(entry_id) FILTER (type = 4) AS br, max(entry_id) FILTER (type NOT IN (0, 4)) AS c FROM sh GROUP BY record_id))"
+
+
+def short_live(entries: DataFrame) -> DataFrame:
+    return entries.select("record_id").distinct().where("record_id not like '%1'").unionByName(entries.sparkSession.createDataFrame([("unknown",)], "record_id string"))
+
+
+LIVE = "lv AS (SELECT DISTINCT record_id FROM sh WHERE record_id NOT LIKE '%1' UNION ALL SELECT 'unknown')"
+
+
+@query(f"WITH {SHORT}, {PENDING}, {LIVE} SELECT 'live' AS kept, count(*) AS n FROM lv WHERE record_id NOT IN (SELECT record_id FROM p WHERE NOT pending) UNION ALL SELECT 'log', count(*) FROM sh JOIN p USING (record_id) WHERE pending")
+def clear_pending(spark, sf_dir):
+    entries = short_log(spark, sf_dir)
+    live_left, log_left = audit.cleared(short_live(entries), entries)
+    return live_left.agg(F.lit("live").alias("kept"), F.count("*").alias("n")).unionByName(log_left.agg(F.lit("log").alias("kept"), F.count("*").alias("n")))
+
+
+DELETES = "dl AS (SELECT DISTINCT record_id FROM sh WHERE record_id LIKE '%2' OR record_id LIKE '%1' UNION ALL SELECT 'unknown' UNION ALL SELECT 'nobody')"
+
+
+def deleted_ids(entries: DataFrame) -> DataFrame:
+    more = entries.sparkSession.createDataFrame([("unknown",), ("nobody",)], "record_id string")
+    return entries.select("record_id").distinct().where("record_id like '%2' or record_id like '%1'").unionByName(more)
+
+
+@query(f"WITH {SHORT}, {PENDING}, {LIVE}, {DELETES} SELECT record_id, CASE WHEN pending THEN 'markAsDeleted' ELSE 'remove' END AS action FROM dl LEFT JOIN p USING (record_id) WHERE pending IS NOT NULL OR record_id IN (SELECT record_id FROM lv)")
+def server_deletes(spark, sf_dir):
+    entries = short_log(spark, sf_dir)
+    return sync.server_deletes(short_live(entries), entries, deleted_ids(entries))[2]
+
+
+@query(f"WITH {SHORT}, {DELETES} SELECT record_id, entry_id, type FROM sh WHERE record_id NOT IN (SELECT record_id FROM dl) UNION ALL SELECT record_id, 'anchor', 4 FROM dl")
+def server_writes(spark, sf_dir):
+    entries = short_log(spark, sf_dir)
+    ids = deleted_ids(entries)
+    return sync.server_writes(short_live(entries), entries, ids, ids.withColumn("anchor", F.lit("anchor")))[1].select("record_id", "entry_id", "type")
+
+
+@query(f"WITH {SHORT}, {DELETES} SELECT record_id, entry_id, type FROM sh WHERE record_id NOT IN (SELECT record_id FROM dl) UNION ALL SELECT record_id, 'new', 0 FROM dl")
+def audit_write(spark, sf_dir):
+    entries = short_log(spark, sf_dir).select("record_id", "entry_id", "type")
+    return sources.replaced(entries, deleted_ids(entries).select("record_id", F.lit("new").alias("entry_id"), F.lit(0).alias("type")))
+
+
+@query(f"WITH {SHORT}, {PENDING}, h AS (SELECT DISTINCT record_id FROM sh WHERE record_id NOT LIKE '%1') SELECT sh.record_id, CASE WHEN h.record_id IS NOT NULL THEN 'h' || sh.record_id END AS hash, entry_id, type FROM sh JOIN p ON p.record_id = sh.record_id AND pending LEFT JOIN h ON h.record_id = sh.record_id")
+def sr_request(spark, sf_dir):
+    entries = short_log(spark, sf_dir)
+    return sync.requested(entries, short_live(entries).withColumn("hash", F.concat(F.lit("h"), "record_id")))
+
+
+@query(f"""WITH {SHORT}, {LIVE}, k AS (SELECT record_id, min(entry_id) AS l FROM sh WHERE type <> 0 AND record_id NOT LIKE '%9' GROUP BY record_id), later AS (SELECT sh.record_id, entry_id, type FROM sh JOIN k ON k.record_id = sh.record_id AND entry_id > l)
+    SELECT record_id, entry_id, type FROM sh WHERE record_id NOT IN (SELECT record_id FROM k) UNION ALL SELECT * FROM later UNION ALL SELECT record_id, l, 4 FROM k WHERE record_id IN (SELECT record_id FROM lv) OR record_id IN (SELECT record_id FROM later)""")
+def ack_collapse(spark, sf_dir):
+    entries = short_log(spark, sf_dir).select("record_id", "entry_id", "type")
+    acks = entries.where("type <> 0 and record_id not like '%9'").groupBy("record_id").agg(F.min("entry_id").alias("last_entry_id"))
+    return sync.acknowledged_audits(entries, short_live(entries), acks)
+
+
+@query("SELECT 'orders' AS collection, o_custkey AS id FROM orders UNION SELECT 'orders', c_custkey FROM customer UNION SELECT 'customer', c_custkey FROM customer")
+def answered_ids(spark, sf_dir):
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    as_answer = lambda df, name, column: df.select(F.lit(name).alias("collection"), F.col(column).alias("id"))
+    return sync.answered(as_answer(orders, "orders", "o_custkey"), as_answer(customers, "orders", "c_custkey"), as_answer(customers, "customer", "c_custkey"))
+
+
+@query(f"""WITH {LOG}, g AS (SELECT record_id, entry_id, type, CASE WHEN type = 0 AND event_id % 3 = 0 THEN NULL ELSE value END AS value, k, event_type, event_id FROM log),
+    x AS (SELECT *, max(entry_id) FILTER (type = 2) OVER (PARTITION BY record_id) AS last, max_by(type, entry_id) FILTER (type IN (0, 2, 3)) OVER w <> 2 AND bool_or(type = 0) OVER w AS there,
+        max_by({{'v': value}}, entry_id) FILTER (type = 0 OR event_type = 'view') OVER w AS v, max_by({{'v': k}}, entry_id) FILTER (type = 0 OR event_type = 'click') OVER w AS kk FROM g WINDOW w AS (PARTITION BY record_id ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT record_id, entry_id, type, CASE WHEN event_id % 11 = 0 THEN 'own' ELSE 'user' END AS user_id,
+        CASE WHEN type <> 2 THEN NULL WHEN event_id % 13 = 0 THEN -1.0 WHEN entry_id = last AND record_id LIKE '%4' THEN -2.0 WHEN there THEN v.v END AS value, CASE WHEN type = 2 AND event_id % 13 <> 0 AND NOT (entry_id = last AND record_id LIKE '%4') AND there THEN kk.v END AS k,
+        type = 2 AND event_id % 13 <> 0 AND NOT (entry_id = last AND record_id LIKE '%4') AND NOT coalesce(there, false) AS stub FROM x""")
+def audit_server(spark, sf_dir):
+    """Created values are null at times; some deletes have a record, some records a live row, some users are named already."""
+    entries = document_log(log(spark, sf_dir).withColumn("value", F.when((F.col("type") == 0) & (F.col("event_id") % 3 == 0), None).otherwise(F.col("value"))))
+    entries = entries.withColumn("record", F.when((F.col("type") == 2) & (F.col("event_id") % 13 == 0), F.lit('{"value": -1.0}')).otherwise(F.col("record")))
+    entries = entries.withColumn("user_id", F.when(F.col("event_id") % 11 == 0, "own").when(F.col("event_id") % 2 == 0, "")).select("record_id", "entry_id", "type", "record", "ops", "user_id")
+    snapshots = entries.where("record_id like '%4'").select("record_id").distinct().withColumn("live", F.lit('{"value": -2.0}'))
+    found = audit.server_audit(entries, "user", snapshots)
+    read = F.when(F.col("type") == 2, F.from_json("record", "value double, k long, id string"))
+    return found.select("record_id", "entry_id", "type", "user_id", read["value"].alias("value"), read["k"].alias("k"), F.coalesce(read["id"].isNotNull(), F.lit(False)).alias("stub"))
+
+
+def document_log(entries: DataFrame) -> DataFrame:
+    """The log with whole records and operations, for the fold."""
     op = lambda name: F.array(F.struct(F.lit("replace").alias("op"), F.lit(name).alias("path"), F.col(name).cast("string").alias("value"), F.lit(None).cast("string").alias("position"), F.lit(None).cast("string").alias("hash")))
     ops = F.when(F.col("event_type") == "view", op("value")).when(F.col("event_type") == "click", op("k"))
     return entries.withColumn("record", F.when(F.col("type") == 0, F.to_json(F.struct("value", "k")))).withColumn("ops", ops)
@@ -346,11 +535,64 @@ def document_log(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {LOG}, t AS ({state_sql('log')}) SELECT l.record_id, coalesce(t.live, false) AS live, t.value, t.k FROM (SELECT DISTINCT record_id FROM log) l LEFT JOIN t USING (record_id)")
 def audit_replay_full(spark, sf_dir):
-    folded = audit.replay_full(document_log(spark, sf_dir))
+    folded = audit.replay_full(document_log(log(spark, sf_dir)))
     shadow = F.from_json("shadow", "value double, k long")
     return folded.select("record_id", F.col("live").isNotNull().alias("live"), shadow["value"].alias("value"), shadow["k"].alias("k"))
 
 
+@query(f"""WITH {LOG}, r AS (SELECT record_id, max(entry_id) AS l FROM log WHERE type = 0 GROUP BY record_id), o AS (SELECT log.*, l FROM log JOIN r ON log.record_id = r.record_id AND entry_id >= l)
+    SELECT record_id, array_to_string(coalesce(list(k ORDER BY entry_id DESC) FILTER (event_type = 'click' AND k % 2 = 1), []) || [0, 0] || coalesce(list(k ORDER BY entry_id) FILTER (event_type = 'click' AND k % 2 = 0), []), ',') AS tags FROM o GROUP BY record_id""")
+def audit_replay_arrays(spark, sf_dir):
+    """Clicks add to an array, odd ones at its beginning."""
+    op = F.array(F.struct(F.lit("add").alias("op"), F.lit("tags.2").alias("path"), F.col("k").cast("string").alias("value"), F.when(F.col("k") % 2 == 1, "FIRST").alias("position"), F.lit(None).cast("string").alias("hash")))
+    entries = log(spark, sf_dir).select("record_id", "entry_id", "type", F.when(F.col("type") == 0, F.lit('{"tags": [0, 0]}')).alias("record"), F.when(F.col("event_type") == "click", op).alias("ops"))
+    return audit.replay_full(entries).where("shadow is not null").select("record_id", F.array_join(F.from_json("shadow", "tags array<int>")["tags"], ",").alias("tags"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS record_id, c_acctbal AS value, c_nationkey + 1 AS k, true AS live FROM customer")
+def audit_replay_base(spark, sf_dir):
+    """Audits without an anchor of their own, from a base record: an update of k."""
+    customers = table(spark, sf_dir, "customer").withColumn("record_id", F.col("c_custkey").cast("string"))
+    op = F.array(F.struct(F.lit("replace").alias("op"), F.lit("k").alias("path"), (F.col("c_nationkey") + 1).cast("string").alias("value"), F.lit(None).cast("string").alias("position"), F.lit(None).cast("string").alias("hash")))
+    entries = customers.select("record_id", F.lit("1").alias("entry_id"), F.lit(1).alias("type"), F.lit(None).cast("string").alias("record"), op.alias("ops"))
+    base = customers.select("record_id", F.to_json(F.struct(F.col("c_acctbal").alias("value"), F.col("c_nationkey").alias("k"))).alias("base"))
+    read = F.from_json("live", "value double, k int")
+    return audit.replay_full(entries, base).select("record_id", read["value"].alias("value"), read["k"].alias("k"), F.col("live").isNotNull().alias("live"))
+
+
+@query(f"""WITH {LOG}, t AS ({state_sql('log')}), d AS (SELECT record_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS deleted FROM log GROUP BY record_id),
+    x AS (SELECT d.record_id, CASE WHEN d.record_id LIKE '%5' THEN CASE WHEN NOT deleted THEN 2 END WHEN t.record_id IS NULL THEN 0 WHEN NOT live THEN 3 WHEN d.record_id LIKE '%2' THEN NULL ELSE 1 END AS type FROM d LEFT JOIN t USING (record_id))
+    SELECT record_id, '999999999999' AS entry_id, type, type = 0 OR type = 3 AND record_id NOT LIKE '%2' AS has_record, CASE WHEN type = 1 THEN 1 ELSE 0 END AS n_ops FROM x WHERE type IS NOT NULL""")
+def audit_update_with(spark, sf_dir):
+    """Deleted where the id ends in 5, as replayed where in 2, else with another value."""
+    entries = log(spark, sf_dir)
+    joined = entries.select("record_id").distinct().join(state_of(entries), "record_id", "left")
+    same, other = F.to_json(F.struct("value", "k")), F.to_json(F.struct(F.lit(-1.5).alias("value"), "k"))
+    current = joined.select("record_id", F.when(F.col("record_id").like("%5"), None).when(F.col("record_id").like("%2"), same).otherwise(other).alias("current"))
+    found = audit.updated_with(document_log(entries), current, F.lit("999999999999"))
+    return found.select("record_id", "entry_id", "type", F.col("record").isNotNull().alias("has_record"), F.greatest(F.coalesce(F.size("ops"), F.lit(0)), F.lit(0)).alias("n_ops"))
+
+
+@query(f"""WITH {LOG}, f AS (SELECT record_id, min(entry_id) FILTER (type = 0) AS a, min(entry_id) FILTER (type = 1) AS u FROM log GROUP BY record_id), bad AS (SELECT record_id FROM f WHERE u IS NOT NULL AND (a IS NULL OR u < a) AND record_id NOT LIKE '%6')
+    SELECT record_id, entry_id, type FROM log WHERE record_id NOT IN (SELECT record_id FROM bad) UNION ALL SELECT record_id, 'reset', 0 FROM bad""")
+def audit_reset(spark, sf_dir):
+    entries = document_log(log(spark, sf_dir)).select("record_id", "entry_id", "type", "record")
+    current = entries.select("record_id").distinct().where("record_id not like '%6'").withColumn("current", F.lit("{}"))
+    return audit.reset_by_warnings(entries, current, F.lit("reset")).select("record_id", "entry_id", "type")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'mine' ELSE upper(c_name) END AS name, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 9 END AS a, 2 AS b, CASE WHEN c_custkey % 5 = 0 THEN 'restore?' ELSE 'rebased' END AS outcome FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, NULL, 'restore?' FROM customer WHERE c_custkey % 5 = 0")
+def rebase_nested(spark, sf_dir):
+    """My name or nested number where I changed it, on top of theirs; every fifth record was deleted meanwhile."""
+    record = lambda name, a, b: F.to_json(F.struct(name.alias("name"), F.struct(a.alias("a"), b.alias("b")).alias("in")))
+    name, even = F.col("c_name"), F.col("c_custkey") % 2 == 0
+    mine = record(F.when(F.col("c_custkey") % 3 == 0, "mine").otherwise(name), F.when(even, 7).otherwise(1), F.lit(1))
+    theirs = F.when(F.col("c_custkey") % 5 != 0, record(F.upper(name), F.lit(9), F.lit(2)))
+    versions = table(spark, sf_dir, "customer").select("c_custkey", record(name, F.lit(1), F.lit(1)).alias("old"), mine.alias("mine"), theirs.alias("theirs"))
+    read = F.from_json("rebased", "name string, in struct<a: int, b: int>")
+    return audit.edited(versions, "old", "mine", "theirs").select("c_custkey", read["name"].alias("name"), read["in"]["a"].alias("a"), read["in"]["b"].alias("b"), "outcome")
+
+
 @query(f"WITH n AS ({CHANGED}), m AS (SELECT * REPLACE (c_mktsegment || '!' AS c_mktsegment) FROM n WHERE c_nationkey < 12) SELECT CAST(o.c_custkey AS VARCHAR) AS record_id, 'c_acctbal' AS path FROM customer o JOIN m USING (c_custkey) WHERE o.c_acctbal <> m.c_acctbal UNION ALL SELECT CAST(o.c_custkey AS VARCHAR), 'c_mktsegment' FROM customer o JOIN m USING (c_custkey)")
 def audit_diff(spark, sf_dir):
     old = table(spark, sf_dir, "customer")
@@ -411,9 +653,12 @@ def rebase(spark, sf_dir):
     return audit.rebased(versions, ["c_name", "c_acctbal"])
 
 
-@query()
+LANE = """printf('%08x', list_reduce([{seed}::BIGINT] || list_transform(string_split(j, ''), c -> unicode(c)::BIGINT), lambda h, u: xor(h, u) * 16777619 % 4294967296))"""
+
+
+@query(f"""SELECT c_custkey, {LANE.format(seed=0x811C9DC5)} || {LANE.format(seed=0xC4CCD795)} AS content_hash FROM (SELECT c_custkey, '{{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}}' AS j FROM customer)""".replace("c -> unicode(c)", "lambda c: unicode(c)"))
 def hash_content(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_name", "c_acctbal")).alias("j")).select("c_custkey", hashing.content_hashes("j").alias("content_hash"))
+    return table(spark, sf_dir, "customer").select("c_custkey", hashing.folded_hash(hashing.record_json(["c_name", "c_nationkey"])).alias("content_hash"))
 
 
 @query("""SELECT c_custkey, substr(sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}'), 1, 16) AS record_hash FROM customer""")
@@ -421,10 +666,10 @@ def hash_record(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", hashing.record_hash(["c_name", "c_custkey"]).alias("record_hash"))
 
 
-@query("SELECT 1469922850259 AS millis, count(*) AS n FROM customer")
+@query("SELECT c_custkey, 1469922850259 + c_custkey * 86400001 AS millis, 26 AS length FROM customer")
 def ulid_time(spark, sf_dir):
-    ulids = table(spark, sf_dir, "customer").select(F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV").alias("u"))
-    return ulids.groupBy(hashing.ulid_millis(F.col("u")).alias("millis")).agg(F.count("*").alias("n"))
+    ulids = table(spark, sf_dir, "customer").select("c_custkey", hashing.ulid(1469922850259 + F.col("c_custkey") * 86400001, F.col("c_custkey")).alias("u"))
+    return ulids.select("c_custkey", hashing.ulid_millis(F.col("u")).alias("millis"), F.length("u").alias("length"))
 
 
 # Synchronisation
@@ -485,13 +730,15 @@ def cr_apply(spark, sf_dir):
     return sync.client_applied(local, active_cursors(spark, sf_dir))
 
 
-@query(f"""WITH {SIDES}, f AS (SELECT record_id, min_by(type, entry_id) FILTER (type <> 4) AS first, bool_or(type = 2) AS d, record_id IN (SELECT record_id FROM s) AS known FROM c GROUP BY record_id)
-    SELECT record_id, CASE WHEN known OR coalesce(first = 0, false) THEN 'merged' WHEN d THEN 'orphan deleted' ELSE 'orphan' END AS status FROM f""")
+STATUS = "f AS (SELECT record_id, min_by(type, entry_id) FILTER (type <> 4) AS first, bool_or(type = 2) AS d, record_id IN (SELECT record_id FROM s) AS known FROM c GROUP BY record_id), st AS (SELECT record_id, CASE WHEN known OR coalesce(first = 0, false) THEN 'merged' WHEN d THEN 'orphan deleted' ELSE 'orphan' END AS status FROM f)"
+
+
+@query(f"WITH {SIDES}, {STATUS} SELECT record_id, status FROM st")
 def sr_merge(spark, sf_dir):
     return sync.received(*sides(spark, sf_dir))[1]
 
 
-@query(f"WITH {SIDES} {MERGED}")
+@query(f"WITH {SIDES}, {STATUS}, cm AS (SELECT * FROM c WHERE type <> 4 AND record_id IN (SELECT record_id FROM st WHERE status = 'merged')), {merged_sql('cm')}")
 def sr_merged_log(spark, sf_dir):
     return sync.received(*sides(spark, sf_dir))[0].select("record_id", "entry_id", "type")
 
@@ -505,16 +752,30 @@ def sr_disparity(spark, sf_dir):
     return sync.disparities(server.select(key, F.when(F.col("c_nationkey") != 4, hashed(server)).alias("server_hash")), customers.select(key, hashed(customers).alias("client_hash")))
 
 
-@query(f"WITH {LOG} SELECT record_id, count(*) AS n_entries, max(entry_id) AS last_id FROM log WHERE type <> 4 GROUP BY record_id")
-def sr_request(spark, sf_dir):
-    return audit.grouped(log(spark, sf_dir).select("record_id", "entry_id", "type")).select("record_id", F.size("entries").cast("long").alias("n_entries"), F.expr("element_at(entries, -1).entry_id").alias("last_id"))
+@query(f"""WITH {ACTIVE}, {KNOWN}, cl AS (SELECT 'users' AS collection, id, CASE WHEN id NOT LIKE '%4' THEN hash END AS hash, last_entry_id FROM sq)
+    SELECT 'users' AS collection, coalesce(st.id, cl.id) AS id, CASE WHEN cl.hash IS NOT NULL THEN cl.hash ELSE known_hash END AS known_hash, CASE WHEN cl.hash IS NOT NULL THEN cl.last_entry_id ELSE known_last END AS known_last,
+        cl.hash IS NULL AND (cl.id IS NOT NULL OR confirmed_deleted) AS confirmed_deleted FROM st FULL JOIN cl ON st.id = cl.id""")
+def sd_update_filter(spark, sf_dir):
+    request = active_cursors(spark, sf_dir).select("collection", "id", F.when(~F.col("id").like("%4"), F.col("last_entry_id")).alias("hash"), "last_entry_id")
+    return sync.filter_updated(known_state(spark, sf_dir), sync.mirrored(request))
+
+
+@query(f"""WITH {CURSORS}, sent AS (SELECT * FROM cur WHERE seq % 3 = 0 AND id NOT LIKE '%1'), later AS (SELECT * FROM cur WHERE seq % 3 = 1), q AS (SELECT *, 0 AS turn FROM sent WHERE id LIKE '%2' OR id LIKE '%6' UNION ALL SELECT *, 1 FROM later), a AS (SELECT id, bool_or(authoritative) AS authoritative FROM q GROUP BY id)
+    SELECT q.collection, q.id, is_delete, last_entry_id, hash, a.authoritative FROM q JOIN a USING (id) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY is_delete DESC, CASE WHEN is_delete THEN '' ELSE last_entry_id END DESC, turn DESC, seq DESC) = 1""")
+def sd_requeue(spark, sf_dir):
+    """Cursors whose id ends in 2 or 6 fail."""
+    every = events_as_cursors(spark, sf_dir)
+    sent = every.where("seq % 3 = 0 and id not like '%1'")
+    acks = sent.select("collection", "id", ~(F.col("id").like("%2") | F.col("id").like("%6"))).distinct().toDF("collection", "id", "ok")
+    return sync.requeued(sent, acks, every.where("seq % 3 = 1")).drop("seq")
 
 
-@query(f"""WITH {LOG}, t AS ({state_sql('log')}) SELECT l.record_id, l.last_entry_id, CAST(t.k AS VARCHAR) AS hash, true AS authoritative FROM (SELECT record_id, max(entry_id) AS last_entry_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS d FROM log GROUP BY record_id) l JOIN t USING (record_id) WHERE NOT d AND t.live""")
+@query(f"""WITH {LOG}, t AS ({state_sql('log')}) SELECT l.record_id, l.last_entry_id, CAST(t.k AS VARCHAR) AS hash, true AS authoritative FROM (SELECT record_id, max(entry_id) AS last_entry_id, coalesce(max_by(type, entry_id) FILTER (type IN (2, 3)) = 2, false) AS d FROM log GROUP BY record_id) l JOIN t USING (record_id) WHERE NOT d AND t.live UNION ALL SELECT 'unaudited', '', 'h', true""")
 def cursors(spark, sf_dir):
     entries = log(spark, sf_dir)
-    live = state_of(entries).where("live").select("record_id", F.col("k").cast("string").alias("h"))
-    return sync.cursors(entries, live, "h", authoritative=True)
+    alive = state_of(entries).where("live").select("record_id", F.col("k").cast("string").alias("h"))
+    unaudited = spark.createDataFrame([("unaudited", "h")], "record_id string, h string")
+    return sync.cursors(entries, alive.unionByName(unaudited), "h", authoritative=True)
 
 
 @query(f"WITH {LOG}, t AS ({state_sql('log')}) SELECT record_id, max(entry_id) AS last_id, record_id IN (SELECT record_id FROM t WHERE live) AS active FROM log GROUP BY record_id")
@@ -523,6 +784,12 @@ def j_state(spark, sf_dir):
     return sync.states(entries, state_of(entries).where("live"))
 
 
+@query(f"WITH {SHORT}, {PENDING}, {LIVE} SELECT record_id, max(entry_id) AS last_id, record_id IN (SELECT record_id FROM lv) AS active FROM sh JOIN p USING (record_id) WHERE pending AND record_id LIKE '1%' GROUP BY record_id")
+def j_state_pending(spark, sf_dir):
+    entries = short_log(spark, sf_dir)
+    return sync.states(entries, short_live(entries), only_pending=True, ids=entries.where("record_id like '1%'"))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def j_reconcile(spark, sf_dir):
     return sync.reconciled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")).distinct())
@@ -531,7 +798,7 @@ def j_reconcile(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT (c_acctbal > 1000 AND c_nationkey < 15)")
 def sub_removed(spark, sf_dir):
     found = collection(spark, sf_dir, "customer")
-    return removed(found.matching({"c_acctbal": {"$gt": 0}}), found.matching({"c_acctbal": {"$gt": 1000}, "c_nationkey": {"$lt": 15}}), "c_custkey")
+    return live.removed(found.matching({"c_acctbal": {"$gt": 0}}), found.matching({"c_acctbal": {"$gt": 1000}, "c_nationkey": {"$lt": 15}}), "c_custkey")
 
 
 @query(f"WITH n AS ({CHANGED}), e AS (SELECT * FROM customer WHERE c_nationkey <> 9) SELECT coalesce(e.c_custkey, n.c_custkey) AS id, CASE WHEN n.c_custkey IS NULL THEN 'missing' WHEN e.c_custkey IS NULL THEN 'extra' ELSE 'mismatch' END AS issue FROM e FULL JOIN n ON e.c_custkey = n.c_custkey WHERE e.c_custkey IS NULL OR n.c_custkey IS NULL OR e.c_acctbal <> n.c_acctbal")
@@ -550,12 +817,26 @@ def lww_clients(spark, sf_dir):
 # Change batches and live queries
 
 
-@query("""WITH g AS (SELECT event_type, ts, event_id, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
-    n AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM g)
-    SELECT 'events' AS collection, event_type AS op, min(ts) AS begin, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n_changes, max(event_id) AS last_seq FROM n GROUP BY event_type, i""")
+@query("""WITH g AS (SELECT event_type, ts, event_id, user_id, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 60 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM g), sp AS (SELECT event_type, i, min(ts) AS begin, max(ts) + INTERVAL 60 MINUTE AS "end" FROM n GROUP BY ALL)
+    SELECT 'events' AS collection, event_type AS op, begin, "end", user_id AS id, count(*) AS n_changes, max(event_id) AS seq, max_by(value, event_id) AS value FROM n JOIN sp USING (event_type, i) GROUP BY event_type, i, user_id, begin, "end\"""")
 def debounce(spark, sf_dir):
-    changes = table(spark, sf_dir, "events").select(F.lit("events").alias("collection"), F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
-    return debounced(changes, "10 minutes").withColumn("begin", F.col("begin").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    changes = table(spark, sf_dir, "events").select(F.lit("events").alias("collection"), F.col("event_type").alias("op"), F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), "value")
+    return live.batches(changes, 3600).drop("ts")
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos, 'active' AS cursor FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, NULL, 'delete' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
+def sub_all(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    placed = lambda df: df.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("pos"))
+    return live.all_emission(placed(orders.where("o_orderstatus = 'O' or o_orderstatus = 'F' and o_totalprice > 200000")), placed(orders.where("o_orderstatus = 'O'")))
+
+
+@query("SELECT c_custkey AS id, n_name AS client FROM customer JOIN nation ON c_mktsegment = CASE n_regionkey WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END")
+def fan_out(spark, sf_dir):
+    changes = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("collection"), F.col("c_custkey").alias("id"))
+    watched = F.when(F.col("n_regionkey") == 0, "BUILDING").when(F.col("n_regionkey") == 1, "MACHINERY").otherwise("AUTOMOBILE")
+    return live.fanned_out(changes, table(spark, sf_dir, "nation").select(F.col("n_name").alias("client"), watched.alias("collection"))).select("id", "client")
 
 
 @query("SELECT * FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
@@ -563,7 +844,6 @@ def sub_query(spark, sf_dir):
     return collection(spark, sf_dir, "orders").query(Request({"o_orderpriority": {"$like": "1%"}, "o_totalprice": {"$gt": 100000}}, [("o_totalprice", "desc")], limit=30))[0]
 
 
-@query("SELECT sha256(string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey)) AS result_hash FROM (SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey)")
+@query("WITH d AS (SELECT c_custkey // 4096 AS run, sha256(string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey)) AS digest FROM customer GROUP BY run) SELECT sha256(string_agg(digest, '|' ORDER BY run)) AS result_hash FROM d")
 def result_hash(spark, sf_dir):
-    records = collection(spark, sf_dir, "customer").distinct_records("c_nationkey")
-    return hash_of(records.withColumn("pos", F.col("c_custkey")), "c_custkey")
+    return live.hash_of(table(spark, sf_dir, "customer").withColumn("pos", F.col("c_custkey")), "c_custkey")

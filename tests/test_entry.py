@@ -12,10 +12,10 @@ SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
 
 
-@pytest.mark.parametrize("name", ["query_page", "f_elem", "audit_replay_scalar", "audit_merge", "squash", "debounce"])
+@pytest.mark.parametrize("name", ["query_page", "f_elem", "audit_replay_scalar", "audit_merge", "squash", "debounce", "audit_server", "audit_update_with", "sd_requeue"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events"):
+    for t in ("customer", "orders", "lineitem", "events", "supplier", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.sql(catalogue.ORACLES[name])
     got = catalogue.QUERIES[name](spark, SF)
