@@ -166,6 +166,7 @@ def _segment_hits(block: Block, row: dict, slack: int) -> pa.RecordBatch:
 
 def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, runs, items) of every indexed document: its hit word runs, disjoint and in order, and the item ids.
+    Only documents with hits leave the search.
 
     The distinct windows go to the tasks in blocks of about ``block_windows``; each block is one pass over the index, and its
     hits are written before the next block is sent."""
@@ -185,21 +186,22 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: in
                     row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
                     yield _segment_hits(block.value, {n: v.as_py() if n == "segment" else v.values if n in ("doc_ids", "terms") else v.values.to_numpy() for n, v in row.items()}, slack)
 
-        part = cut(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS), "hits")
+        part = cut(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS).where("size(runs) > 0"), "hits")
         block.unpersist()
         every = part if every is None else every.unionByName(part)
     if blocks > 1:
-        merged = every.groupBy("segment", "at", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("all"), F.flatten(F.collect_list("windows")).alias("windows"))
+        merged = every.groupBy("segment", "at").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("all"), F.flatten(F.collect_list("windows")).alias("windows"))
         join = """aggregate(all, cast(array() as array<struct<begin: int, end: int>>), (done, r) -> CASE
             WHEN size(done) > 0 AND element_at(done, -1).end >= r.begin
             THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).begin AS begin, greatest(element_at(done, -1).end, r.end) AS end)))
             ELSE concat(done, array(r)) END)"""
-        every = merged.select("segment", "at", "doc_id", "n_words", F.expr(join).alias("runs"), "windows")
+        every = merged.select("segment", "at", F.expr(join).alias("runs"), "windows")
     hit = every.select("segment", "at", F.explode("windows").alias("name")).join(of_items, "name")
     items = hit.groupBy("segment", "at").agg(F.collect_set("item_id").alias("items"))
-    # documents without a hit don't take part in the join
-    some = every.where("size(runs) > 0").join(items, ["segment", "at"], "left").select("doc_id", "n_words", "runs", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
-    return every.where("size(runs) = 0").select("doc_id", "n_words", "runs", F.array().cast("array<long>").alias("items")).unionByName(some)
+    found = every.select("segment", "at", "runs").join(items, ["segment", "at"], "left")
+    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("at", "d")).select("segment", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_words"))
+    none = lambda column, kind: F.coalesce(column, F.array().cast(kind)).alias(column)
+    return docs.join(found, ["segment", "at"], "left").select("doc_id", "n_words", none("runs", "array<struct<begin: int, end: int>>"), none("items", "array<long>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
