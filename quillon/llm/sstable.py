@@ -141,7 +141,7 @@ def width_of(vocabulary: int) -> int:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, as little-endian integers as wide as the vocabulary needs."""
+    """(doc_id, ids, size): each whole text's ids and the end id, as little-endian integers as wide as the vocabulary needs, and their bytes."""
     width = width_of(vocabulary)
 
     def run(batches):
@@ -150,9 +150,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> Da
             ids, offsets = encoder.encode(replace_column(piece, "text"))
             ids = np.insert(ids, offsets[1:], end_id).astype(f"<u{width}")
             offsets = offsets + np.arange(len(offsets))
-            yield pa.record_batch([replace_column(piece, "doc_id"), pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * width), pa.py_buffer(ids)]).cast(pa.binary())], names=["doc_id", "ids"])
+            yield pa.record_batch([replace_column(piece, "doc_id"), pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * width), pa.py_buffer(ids)]).cast(pa.binary()), pa.array(np.diff(offsets) * width)], names=["doc_id", "ids", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, size long")
 
 
 def write_shards(rows: DataFrame, folder: str, shards: int, vocabulary: int, block_size: int = 64 << 10) -> DataFrame:
@@ -206,7 +206,7 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
 def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408) -> DataFrame:
     """Encode, write the shards into a new shared folder, and read them back."""
     ids = cut(encoded(docs, tokenizer, end_id, vocabulary), "ids")  # encoded once: the range sampling below reads files
-    size, rows = ids.agg(F.sum(F.length("ids")), F.count("*")).first()
+    size, rows = ids.agg(F.sum("size"), F.count("*")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_BYTES), -(-rows // SHARD_ROWS))
     manifest = cut(write_shards(ids, new_path(spark, "sst"), shards, vocabulary), "manifest")
     return read_shards(manifest, shards)
