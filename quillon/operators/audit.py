@@ -2,12 +2,15 @@
 
 Entries are (record_id, entry_id, type, record, ops, ...): type 0 created, 1 updated, 2 deleted, 3 restored, 4 branched.
 Identifiers sort by time. Everything that a fold isn't needed for is an aggregation over ``record_id``, summed in each task
-before before the shuffle; only structural edits need a fold, which starts from a record's last snapshot.
+before the shuffle; only edits within a field need a fold, which streams them in order and holds one field at a time.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -147,9 +150,13 @@ def as_of(entries: DataFrame, entry_id) -> DataFrame:
     return entries.where(F.col("entry_id") < entry_id)
 
 
+def _operation(op: dict) -> dict:
+    return op | {"value": None if op["value"] is None else json.loads(op["value"])}
+
+
 def _read(e: dict) -> dict:
-    ops = [o | {"value": None if o["value"] is None else json.loads(o["value"])} for o in e["ops"] or []]
-    return {"entry_id": e["entry_id"], "type": e["type"], "record": None if e["record"] is None else json.loads(e["record"]), "ops": ops}
+    record = None if e["record"] is None else json.loads(e["record"])
+    return {"entry_id": e["entry_id"], "type": e["type"], "record": record, "ops": [_operation(o) for o in e["ops"] or []]}
 
 
 def _text(record) -> str | None:
@@ -163,18 +170,87 @@ def from_last_snapshot(entries: DataFrame) -> DataFrame:
     return entries.join(last.where("_last is not null"), "record_id", "left").where("_last is null or entry_id >= _last").drop("_last")
 
 
-def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """(record_id, live, shadow) as JSON, for entries with record (JSON) and ops (array of op, path, value JSON, position, hash); a record
-    that ``base`` (record_id, base) has starts from there. Of each record, what follows its last snapshot is folded in one task."""
+def _ordered(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Rows with equal keys in one partition, one after the other and in order: tasks stream them, and Spark's sort spills."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    return (row for batch in batches for row in batch.to_pylist())
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    return (pa.RecordBatch.from_pylist(list(some), schema) for some in batched(rows, 256))
+
 
-    def fold(rows: pa.Table) -> pa.Table:
-        start = rows["base"][0].as_py()
-        live, shadow = structure.replay([_read(e) for e in rows.to_pylist()], None if start is None else json.loads(start))
-        return pa.table({"record_id": rows["record_id"][:1], "live": pa.array([_text(live)], pa.string()), "shadow": pa.array([_text(shadow)], pa.string())})
+def _strings(*names: str) -> list[tuple[str, pa.DataType]]:
+    return [(name, pa.string()) for name in names]
 
-    rest = from_last_snapshot(entries.select("record_id", "entry_id", "type", "record", "ops"))
-    rest = rest.join(base, "record_id", "left") if base is not None else rest.withColumn("base", F.lit(None).cast("string"))
-    return rest.groupBy("record_id").applyInArrow(fold, "record_id string, live string, shadow string")
+
+def _folded(firsts: DataFrame, edits: DataFrame) -> DataFrame:
+    """(record_id, field, value, there): ``edits`` (record_id, field, place, op) within a field of a record, from its last whole value
+    (``whole``, an operation) or else the record's (``start``) in ``firsts``."""
+
+    def fields(batches):
+        for (record_id, field), rows in groupby(_rows(batches), itemgetter("record_id", "field")):
+            holder = {}
+            for r in rows:
+                if r["op"] is not None:
+                    structure.apply(holder, _operation(r["op"]))
+                elif r["whole"] is None:
+                    holder = {k: v for k, v in json.loads(r["start"]).items() if k == field}
+                elif r["whole"]["op"] != "remove":
+                    holder = {field: _operation(r["whole"])["value"]}
+            yield {"record_id": record_id, "field": field, "value": _text(holder.get(field)), "there": field in holder}
+
+    rows = _ordered(firsts.unionByName(edits, allowMissingColumns=True), ["record_id", "field"], F.col("place").asc_nulls_first())
+    schema = pa.schema([*_strings("record_id", "field", "value"), ("there", pa.bool_())])
+    return rows.mapInArrow(lambda batches: _batches(fields(batches), schema), "record_id string, field string, value string, there boolean")
+
+
+def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(record_id, live, shadow) as JSON, for entries with record (a JSON object) and ops (array of op, path, value JSON, position, hash); a
+    record that ``base`` (record_id, base) has starts from there. Entries without a record_id belong to no record.
+
+    Aggregations, combined in each task, find each record's last snapshot, whether it is hidden, and the last operation that sets or removes
+    a field as a whole. Operations touch one field each, so only those within a field after that are folded, by record and field."""
+    mine = entries.where("record_id is not null")
+    snapshot = F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id"))
+    switch = F.when(when_type(DELETED, RESTORED) | snapshot.isNotNull(), F.col("entry_id"))
+    heads = mine.groupBy("record_id").agg(F.max(snapshot).alias("since"), F.max_by("record", snapshot).alias("start"), F.coalesce(F.max_by("type", switch) == DELETED, F.lit(False)).alias("hidden"))
+    if base is not None:
+        heads = heads.join(base.select("record_id", "base"), "record_id", "left").withColumn("start", F.coalesce("start", "base")).drop("base")
+
+    path = F.col("op.path")
+    field = F.regexp_replace(F.regexp_extract(path, structure.STEP, 0), "^0+(?=[0-9]+$)", "")
+    sets = (F.size(F.regexp_extract_all(path, F.lit(structure.STEP), F.lit(0))) == 1) & F.col("op.op").isin("remove", "replace", "add")
+    edits = mine.where(when_type(UPDATED) & F.col("entry_id").isNotNull()).select("record_id", "entry_id", F.posexplode("ops").alias("n", "op"))
+    edits = edits.select("record_id", field.alias("field"), F.struct("entry_id", "n").alias("place"), "op", sets.alias("sets")).where("field <> ''")
+    place = F.when(F.col("sets"), F.col("place"))
+    sums = edits.groupBy("record_id", "field").agg(F.max(place).alias("at"), F.max_by("op", place).alias("whole"), F.max(F.when(~F.col("sets"), F.col("place"))).alias("within"))
+
+    # what precedes the snapshot, or within a field its last whole value, has no effect
+    counts = lambda x: F.col("since").isNull() | (F.col(f"{x}.entry_id") >= F.col("since"))
+    sums = sums.join(heads.where("start is not null").select("record_id", "since", "start"), "record_id")
+    sums = sums.select("record_id", "field", "since", "start", *[F.when(counts("at"), F.col(c)).alias(c) for c in ("at", "whole")], F.when(counts("within"), F.col("within")).alias("within"))
+    left = F.col("within").isNotNull() & (F.col("at").isNull() | (F.col("within") > F.col("at")))
+    firsts = sums.where(left).select("record_id", "field", F.col("whole"), F.when(F.col("whole").isNull(), F.col("start")).alias("start"))
+    later = edits.where("not sets").join(sums.where(left).select("record_id", "field", "since", "at"), ["record_id", "field"])
+    later = later.where(counts("place") & (F.col("at").isNull() | (F.col("place") > F.col("at")))).select("record_id", "field", "place", "op")
+    plain = sums.where(~left & F.col("at").isNotNull()).select("record_id", "field", F.col("whole.value").alias("value"), (F.col("whole.op") != "remove").alias("there"))
+    changes = plain.unionByName(_folded(firsts, later)).groupBy("record_id").agg(F.collect_list(F.struct("field", "value", "there")).alias("changes"))
+
+    def assembled(batches):
+        for r in _rows(batches):
+            shadow = None if r["start"] is None else json.loads(r["start"])
+            for c in r["changes"] or []:
+                shadow.pop(c["field"], None)
+                if c["there"]:
+                    shadow[c["field"]] = None if c["value"] is None else json.loads(c["value"])
+            yield {"record_id": r["record_id"], "live": None if r["hidden"] else _text(shadow), "shadow": _text(shadow)}
+
+    schema = pa.schema(_strings("record_id", "live", "shadow"))
+    return heads.join(changes, "record_id", "left").drop("since").mapInArrow(lambda batches: _batches(assembled(batches), schema), "record_id string, live string, shadow string")
 
 
 OPS = "array<struct<op: string, path: string, value: string, position: string, hash: string>>"
@@ -227,17 +303,21 @@ def with_restores(state: DataFrame, wanted: DataFrame, entry_id: Column, columns
 def server_audit(entries: DataFrame, user_id: str, live: DataFrame | None = None) -> DataFrame:
     """Entries (record_id, entry_id, type, record, ops, user_id) as a server keeps them: each with a user (its own, else ``user_id``), each
     delete with a record: its own, else for the last delete the live one (record_id, live) that was read, else the replay of what
-    precedes it, else the id alone. Only audits with such a delete are folded."""
+    precedes it, else the id alone. Only audits with such a delete are folded, each streamed in order."""
     named = entries.withColumn("user_id", F.when(F.length("user_id") > 0, F.col("user_id")).otherwise(F.lit(user_id)))
     bare = named.where(when_type(DELETED) & F.col("record").isNull()).groupBy("record_id").agg(F.max("entry_id").alias("last_bare"))
     last = named.where(when_type(DELETED)).groupBy("record_id").agg(F.max("entry_id").alias("last"))
 
-    def fold(rows: pa.Table) -> pa.Table:
-        found = [(e["entry_id"], _text(before)) for e, before, _ in structure.histories([_read(e) for e in rows.to_pylist()]) if e is not None and e["type"] == DELETED]
-        return pa.table({"record_id": pa.array([rows["record_id"][0].as_py()] * len(found), pa.string()), "entry_id": pa.array([i for i, _ in found], pa.string()), "before": pa.array([t for _, t in found], pa.string())})
+    def snapshots(batches):
+        for record_id, rows in groupby(_rows(batches), itemgetter("record_id")):
+            for e, before, _ in structure.histories(map(_read, rows)):
+                if e is not None and e["type"] == DELETED:
+                    yield {"record_id": record_id, "entry_id": e["entry_id"], "before": _text(before)}
 
-    asked = named.join(bare, "record_id").where("entry_id <= last_bare").select("record_id", "entry_id", "type", "record", "ops")
-    before = asked.groupBy("record_id").applyInArrow(fold, "record_id string, entry_id string, before string").where("before is not null")
+    asked = named.join(bare, "record_id").where("entry_id <= last_bare and type is not null").select("record_id", "entry_id", "type", "record", "ops")
+    schema = pa.schema(_strings("record_id", "entry_id", "before"))
+    before = _ordered(asked, ["record_id"], F.col("entry_id")).mapInArrow(lambda batches: _batches(snapshots(batches), schema), "record_id string, entry_id string, before string")
+    before = before.where("before is not null")
     joined = named.join(last, "record_id", "left").join(before, ["record_id", "entry_id"], "left")
     joined = joined.join(live.select("record_id", "live"), "record_id", "left") if live is not None else joined.withColumn("live", F.lit(None).cast("string"))
     snapshot = F.coalesce("record", F.when(F.col("entry_id") == F.col("last"), F.col("live")), "before", F.to_json(F.struct(F.col("record_id").alias("id"))))

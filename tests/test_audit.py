@@ -80,3 +80,38 @@ def test_folded_hash_equals_the_plain_one(spark):
     texts = ['{"a":"x"}', "null", '"é"', "[1,2]"]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.folded_hash(F.col("t")).alias("h"), hashing.content_hashes("t").alias("p")).collect()
     assert all(r.h == r.p == hashing.content_hash(json.loads(r.t)) for r in found)
+
+
+def random_log(n: int, seed: int) -> list[tuple]:
+    """Audits of all kinds of entries, with edits of whole fields, within fields and of paths that lead nowhere."""
+    rng = random.Random(seed)
+    value = lambda: rng.choice(["1", "null", '"x"', "[1, 2]", '{"y": 1}', '[{"id": "1", "n": 1}, {"id": "2.5"}]'])
+    paths = ["a", "b", "7", "007", "a.0", "a.1", "a.y", "b.y.z", "b.[id:1]", "b.[id:1].n", "b.[id:2.5].m", "c.y", "a.", "", "b.0.n", "[id:1]", None]
+    rows = []
+    for record in range(n):
+        for i in range(rng.randrange(1, 14)):
+            kind = rng.choice([0, 1, 1, 1, 1, 1, 1, 2, 3, 3, 4, None])
+            held = json.dumps({k: json.loads(value()) for k in rng.sample(["a", "b", "7", "c"], rng.randrange(4))}) if kind == 0 and rng.random() < 0.9 or kind == 3 and rng.random() < 0.3 else None
+            anchor = lambda: rng.choice([None, None, hashing.content_hash(1), hashing.content_hash(2), hashing.content_hash({"id": "1", "n": 1})])
+            ops = [(rng.choice(["replace", "replace", "add", "add", "remove", "move"]), rng.choice(paths[:-1]), rng.choice([value(), None]), rng.choice([None, "FIRST"]), anchor()) for _ in range(rng.randrange(4))]
+            rows.append((f"r{record}", None if rng.random() < 0.03 else f"{i:03d}", kind, held, ops if kind == 1 and rng.random() < 0.95 else None))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_replay_equals_the_plain_fold(spark):
+    rows = random_log(600, 5)
+    log = spark.createDataFrame([*rows, (None, "1", 0, "{}", None)], f"record_id string, entry_id string, type int, record string, ops {audit.OPS}")
+    bases = {f"r{k}": {"a": [1, {"id": "1", "n": k}], "b": {"y": {}}} for k in range(0, 600, 3)}
+    base = spark.createDataFrame([(k, json.dumps(v)) for k, v in bases.items()], "record_id string, base string")
+    read = lambda text: None if text is None else json.loads(text)
+    names = ("op", "path", "value", "position", "hash")
+    entries: dict[str, list] = {}
+    for record_id, entry_id, kind, record, ops in rows:
+        ops = [dict(zip(names, o)) | {"value": read(o[2])} for o in ops or []]
+        entries.setdefault(record_id, []).append({"entry_id": entry_id, "type": kind, "record": read(record), "ops": ops})
+    for given_base, known in ((None, {}), (base, bases)):
+        found = {r.record_id: (read(r.live), read(r.shadow)) for r in audit.replay_full(log, given_base).collect()}
+        assert found == {k: structure.replay(es, known.get(k)) for k, es in entries.items()}
+    assert sum(live is not None for live, _ in found.values()) > 100
+    assert audit.replay_full(log.limit(0)).collect() == []
