@@ -187,23 +187,26 @@ def _strings(*names: str) -> list[tuple[str, pa.DataType]]:
     return [(name, pa.string()) for name in names]
 
 
-def _folded(firsts: DataFrame, edits: DataFrame) -> DataFrame:
-    """(record_id, field, value, there): ``edits`` (record_id, field, place, op) within a field of a record, from its last whole value
-    (``whole``, an operation) or else the record's (``start``) in ``firsts``."""
+def _folded(rows: DataFrame) -> DataFrame:
+    """(record_id, field, value, there) of ordered rows: for each field of a known record one without an operation, with the last snapshot's
+    entry (``since``) and text (``start``) and the last operation on the whole field (``at``, ``whole``), then all edits within the field."""
 
     def fields(batches):
-        for (record_id, field), rows in groupby(_rows(batches), itemgetter("record_id", "field")):
-            holder = {}
-            for r in rows:
-                if r["op"] is not None:
-                    structure.apply(holder, _operation(r["op"]))
-                elif r["whole"] is None:
-                    holder = {k: v for k, v in json.loads(r["start"]).items() if k == field}
-                elif r["whole"]["op"] != "remove":
-                    holder = {field: _operation(r["whole"])["value"]}
+        for (record_id, field), edits in groupby(_rows(batches), itemgetter("record_id", "field")):
+            first = next(edits)
+            if first["op"] is not None:
+                continue  # the record has no snapshot to edit
+            since, at, whole = first["since"], first["at"], first["whole"]
+            if whole is None:
+                holder = {k: v for k, v in json.loads(first["start"]).items() if k == field}
+            else:
+                holder = {} if whole["op"] == "remove" else {field: _operation(whole)["value"]}
+            for e in edits:
+                here = e["place"]["entry_id"], e["place"]["n"]
+                if (since is None or here[0] >= since) and (at is None or here > (at["entry_id"], at["n"])):
+                    structure.apply(holder, _operation(e["op"]))
             yield {"record_id": record_id, "field": field, "value": _text(holder.get(field)), "there": field in holder}
 
-    rows = _ordered(firsts.unionByName(edits, allowMissingColumns=True), ["record_id", "field"], F.col("place").asc_nulls_first())
     schema = pa.schema([*_strings("record_id", "field", "value"), ("there", pa.bool_())])
     return rows.mapInArrow(lambda batches: _batches(fields(batches), schema), "record_id string, field string, value string, there boolean")
 
@@ -213,7 +216,7 @@ def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
     record that ``base`` (record_id, base) has starts from there. Entries without a record_id belong to no record.
 
     Aggregations, combined in each task, find each record's last snapshot, whether it is hidden, and the last operation that sets or removes
-    a field as a whole. Operations touch one field each, so only those within a field after that are folded, by record and field."""
+    a field as a whole. Operations touch one field each, so what is folded is one row a field and the edits within it, by record and field."""
     mine = entries.where("record_id is not null")
     snapshot = F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id"))
     switch = F.when(when_type(DELETED, RESTORED) | snapshot.isNotNull(), F.col("entry_id"))
@@ -227,18 +230,14 @@ def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
     edits = mine.where(when_type(UPDATED) & F.col("entry_id").isNotNull()).select("record_id", "entry_id", F.posexplode("ops").alias("n", "op"))
     edits = edits.select("record_id", field.alias("field"), F.struct("entry_id", "n").alias("place"), "op", sets.alias("sets")).where("field <> ''")
     place = F.when(F.col("sets"), F.col("place"))
-    sums = edits.groupBy("record_id", "field").agg(F.max(place).alias("at"), F.max_by("op", place).alias("whole"), F.max(F.when(~F.col("sets"), F.col("place"))).alias("within"))
-
-    # what precedes the snapshot, or within a field its last whole value, has no effect
-    counts = lambda x: F.col("since").isNull() | (F.col(f"{x}.entry_id") >= F.col("since"))
-    sums = sums.join(heads.where("start is not null").select("record_id", "since", "start"), "record_id")
-    sums = sums.select("record_id", "field", "since", "start", *[F.when(counts("at"), F.col(c)).alias(c) for c in ("at", "whole")], F.when(counts("within"), F.col("within")).alias("within"))
-    left = F.col("within").isNotNull() & (F.col("at").isNull() | (F.col("within") > F.col("at")))
-    firsts = sums.where(left).select("record_id", "field", F.col("whole"), F.when(F.col("whole").isNull(), F.col("start")).alias("start"))
-    later = edits.where("not sets").join(sums.where(left).select("record_id", "field", "since", "at"), ["record_id", "field"])
-    later = later.where(counts("place") & (F.col("at").isNull() | (F.col("place") > F.col("at")))).select("record_id", "field", "place", "op")
-    plain = sums.where(~left & F.col("at").isNotNull()).select("record_id", "field", F.col("whole.value").alias("value"), (F.col("whole.op") != "remove").alias("there"))
-    changes = plain.unionByName(_folded(firsts, later)).groupBy("record_id").agg(F.collect_list(F.struct("field", "value", "there")).alias("changes"))
+    # a field's rows stay apart from its record's others, so a hot record is spread over its fields
+    sums = edits.groupBy("record_id", "field").agg(F.max(place).alias("at"), F.max_by("op", place).alias("whole"))
+    sums = sums.join(heads.where("start is not null"), "record_id")
+    counts = F.col("since").isNull() | (F.col("at.entry_id") >= F.col("since"))  # what precedes the snapshot doesn't
+    sums = sums.select("record_id", "field", "since", "hidden", *[F.when(counts, F.col(c)).alias(c) for c in ("at", "whole")], "start")
+    firsts = sums.withColumn("start", F.when(F.col("whole").isNull(), F.col("start")))
+    rows = firsts.unionByName(edits.where("not sets").drop("sets"), allowMissingColumns=True)
+    changes = _folded(_ordered(rows, ["record_id", "field"], F.col("place").asc_nulls_first())).groupBy("record_id").agg(F.collect_list(F.struct("field", "value", "there")).alias("changes"))
 
     def assembled(batches):
         for r in _rows(batches):
@@ -250,7 +249,7 @@ def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
             yield {"record_id": r["record_id"], "live": None if r["hidden"] else _text(shadow), "shadow": _text(shadow)}
 
     schema = pa.schema(_strings("record_id", "live", "shadow"))
-    return heads.join(changes, "record_id", "left").drop("since").mapInArrow(lambda batches: _batches(assembled(batches), schema), "record_id string, live string, shadow string")
+    return heads.join(changes, "record_id", "left").mapInArrow(lambda batches: _batches(assembled(batches), schema), "record_id string, live string, shadow string")
 
 
 OPS = "array<struct<op: string, path: string, value: string, position: string, hash: string>>"
