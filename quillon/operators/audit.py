@@ -84,20 +84,31 @@ def branches(anchors: DataFrame) -> DataFrame:
     return anchors.select("record_id", F.col("anchor").alias("entry_id"), F.lit(BRANCHED).alias("type"))
 
 
+def _ends(own: Column, side: str = "") -> list[Column]:
+    """What the validity of an audit depends on, from the entries that are ``own``: its first type, its last type and number of operations
+    (null: none given), and how many entries there are."""
+    place = F.when(own, F.col("entry_id"))
+    return [F.min_by("type", place).alias(f"{side}first"), F.max_by(F.struct("type", "n_ops"), place).alias(f"{side}last"), F.count_if(own).alias(f"{side}n")]
+
+
+def _reason(full: bool, side: str = "") -> Column:
+    first, last, n = (F.col(f"{side}{name}") for name in ("first", "last", "n"))
+    anchored, update = first.isin(CREATED, BRANCHED), last["type"] == UPDATED
+    if full:
+        return F.when(~anchored, "does not start with an anchor").when((n == 2) & update & (last["n_ops"] == 0), "anchor with an empty update")
+    return (
+        F.when(n > 2, "more than two entries").when(~anchored, "does not start with an anchor").when(n == 1, F.lit(None))
+        .when(update & last["n_ops"].isNull(), "update without operations").when(update & (last["n_ops"] > 0), "update with operations").when(~update & (last["type"] != DELETED), "second entry is no update or delete")
+    )
+
+
+def _outlined(entries: DataFrame) -> DataFrame:
+    return entries.select("record_id", "entry_id", "type", F.array_size("ops").alias("n_ops"))
+
+
 def validated(entries: DataFrame, full: bool = True) -> DataFrame:
     """(record_id, reason): why an audit isn't a full one, or a sync-only one; null if it is. Aggregations only."""
-    first, last = F.min_by("type", "entry_id"), F.max_by(F.struct("type", F.size("ops").alias("n"), F.col("ops").isNotNull().alias("ops")), "entry_id")
-    sums = entries.groupBy("record_id").agg(first.alias("first"), last.alias("last"), F.count("*").alias("n"))
-    anchored, update = F.col("first").isin(CREATED, BRANCHED), F.col("last.type") == UPDATED
-    if full:
-        empty = (F.col("n") == 2) & update & F.col("last.ops") & (F.col("last.n") == 0)
-        reason = F.when(~anchored, "does not start with an anchor").when(empty, "anchor with an empty update")
-    else:
-        reason = (
-            F.when(F.col("n") > 2, "more than two entries").when(~anchored, "does not start with an anchor").when(F.col("n") == 1, F.lit(None))
-            .when(update & ~F.col("last.ops"), "update without operations").when(update & (F.col("last.n") > 0), "update with operations").when(~update & (F.col("last.type") != DELETED), "second entry is no update or delete")
-        )
-    return sums.select("record_id", reason.alias("reason"))
+    return _outlined(entries).groupBy("record_id").agg(*_ends(F.lit(True))).select("record_id", _reason(full).alias("reason"))
 
 
 def collapsed(entries: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -114,12 +125,14 @@ def collapsed(entries: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def merge_decisions(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
     """(record_id, decision) of a client's audits: ``adopt`` where the server has none; ``merge`` where the client's is valid, or has changes
-    only (in full mode) and the server's is valid; else ``keep`` the server's."""
-    changes_only = client.groupBy("record_id").agg(F.bool_and(when_type(UPDATED, DELETED, RESTORED)).alias("changes_only"))
-    verdicts = changes_only.join(validated(client, full), "record_id").join(validated(server, full).select("record_id", F.lit(True).alias("known"), F.col("reason").alias("server_reason")), "record_id", "left")
-    changes = F.lit(full) & F.col("changes_only")
-    good = (~changes & F.col("reason").isNull()) | (changes & F.col("server_reason").isNull())
-    return verdicts.select("record_id", F.when(F.col("known").isNull(), "adopt").when(good, "merge").otherwise("keep").alias("decision"))
+    only (in full mode) and the server's is valid; else ``keep`` the server's. One aggregation over both sides."""
+    ours = F.col("ours")
+    both = _outlined(server).withColumn("ours", F.lit(True)).unionByName(_outlined(client).withColumn("ours", F.lit(False))).where("record_id is not null")
+    changes = F.bool_and(ours | when_type(UPDATED, DELETED, RESTORED)).alias("changes_only")
+    sums = both.groupBy("record_id").agg(*_ends(ours, "server_"), *_ends(~ours, "client_"), changes).where("client_n > 0")
+    by_server = F.lit(full) & F.col("changes_only")
+    good = (~by_server & _reason(full, "client_").isNull()) | (by_server & _reason(full, "server_").isNull())
+    return sums.select("record_id", F.when(F.col("server_n") == 0, "adopt").when(good, "merge").otherwise("keep").alias("decision"))
 
 
 def merged(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:

@@ -115,3 +115,15 @@ def test_replay_equals_the_plain_fold(spark):
         assert found == {k: structure.replay(es, known.get(k)) for k, es in entries.items()}
     assert sum(live is not None for live, _ in found.values()) > 100
     assert audit.replay_full(log.limit(0)).collect() == []
+
+
+def test_merge_decisions(spark):
+    schema = "record_id string, entry_id string, type int, ops array<int>"
+    server = [("a", "1", 0, None), ("b", "1", 1, [1]), ("c", "1", 0, None), ("c", "2", 1, [1]), ("s", "1", 0, None)]
+    client = [("a", "2", 1, [1]), ("b", "2", 2, None), ("c", "3", 1, [1]), ("c", "1", 0, None), ("c", "3", 1, [1]), ("n", "5", 1, []), ("n", "6", 3, None), (None, "7", 0, None)]
+    server, client = (spark.createDataFrame(rows, schema) for rows in (server, client))
+    # changes only: the server's audit has to be valid; a repeated entry counts once; records of the server alone have no decision
+    assert {tuple(r) for r in audit.merge_decisions(server, client).collect()} == {("a", "merge"), ("b", "keep"), ("c", "merge"), ("n", "adopt")}
+    news = audit.merged(server, client).select("record_id", "entry_id").exceptAll(server.select("record_id", "entry_id")).collect()
+    assert sorted(map(tuple, news)) == [("a", "2"), ("c", "3"), ("n", "5"), ("n", "6")]
+    assert audit.merged(server, client.limit(0)).count() == server.count() and audit.merge_decisions(server.limit(0), client).where("decision <> 'adopt'").isEmpty()
