@@ -34,10 +34,19 @@ def batches(changes: DataFrame, gap_seconds: int) -> DataFrame:
     before = F.lag("last").over(order)
     opens = (before.isNull() | (F.col("first").cast("timestamp").cast("double") - before.cast("timestamp").cast("double") >= gap_seconds)).cast("int")
     numbered = slices.withColumn("opens", opens).withColumn("_window", F.sum("opens").over(order))
-    spans = numbered.groupBy("collection", "op", "_window").agg(F.min("first").alias("begin"), (F.max("last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("end"))
-    keyed = sliced.join(numbered.select("collection", "op", "_slice", "_window"), ["collection", "op", "_slice"])
-    last = keyed.groupBy("collection", "op", "_window", "id").agg(F.count("*").alias("n_changes"), F.max_by(F.struct(*rest), "seq").alias("_last"))
-    return last.join(spans, ["collection", "op", "_window"]).select("collection", "op", "begin", "end", "id", "n_changes", "_last.*")
+    whole = Window.partitionBy("collection", "op", "_window")  # as the slices already lie
+    end = F.max("last").over(whole) + F.make_dt_interval(secs=F.lit(gap_seconds))
+    spans = numbered.select("collection", "op", "_slice", F.min("first").over(whole).alias("begin"), end.alias("end"))
+    keyed = sliced.join(spans, ["collection", "op", "_slice"])
+    last = keyed.groupBy("collection", "op", "begin", "end", "id").agg(F.count("*").alias("n_changes"), F.max_by(F.struct(*rest), "seq").alias("_last"))
+    return last.select("collection", "op", "begin", "end", "id", "n_changes", "_last.*")
+
+
+def notices(events: DataFrame) -> DataFrame:
+    """What subscribers to a collection's own changes (type, ids, ...) hear: upserts and removals; a clear is the removal of what it took.
+    Reloads, and clears of nothing, are silent."""
+    kind = F.when(F.col("type").isin("upsert", "remove"), F.col("type")).when((F.col("type") == "clear") & (F.array_size("ids") > 0), "remove")
+    return events.withColumn("type", kind).where("type is not null")
 
 
 def deliver(stream: DataFrame, gap_seconds: int, registry: Registry, subscribers: list[Callable[[str, DataFrame], None]], checkpoint: str) -> StreamingQuery:

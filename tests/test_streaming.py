@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.collection import Collection, Registry
 from quillon.sources.changes import Versions, change_stream, seed_hash
-from quillon.streaming.live import LiveQuery, Subscriptions, batches, debounced, deliver
+from quillon.streaming.live import LiveQuery, Subscriptions, batches, debounced, deliver, notices
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -67,3 +67,8 @@ def test_disabled_and_same_results(spark):
     live.disabled = True
     live.refresh()
     assert seen == [1, 0] and same == [1]
+
+
+def test_notices_of_own_changes(spark):
+    events = spark.createDataFrame([("upsert", [1]), ("upsert", []), ("remove", [2]), ("clear", [3, 4]), ("clear", []), ("clear", None), ("reload", [5]), (None, [6])], "type string, ids array<int>")
+    assert sorted((r.type, r.ids) for r in notices(events).collect()) == [("remove", [2]), ("remove", [3, 4]), ("upsert", []), ("upsert", [1])]
