@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,19 @@ def sort_columns(sorts: str | Iterable | None) -> list:
     return [F.col(quoted(p)).desc_nulls_last() if d == "desc" else F.col(quoted(p)).asc_nulls_first() for p, d in pairs]
 
 
+def numbered(df: DataFrame, order: str | Iterable, name: str) -> DataFrame:
+    """Rows with their place in the whole order (from 1) as column ``name``, without a window over all rows in one task: each range of the
+    sorted rows is numbered by itself and starts after the sizes of those before it. The order must be total. The sorted rows stay on the
+    executors' disks until the session drops its caches."""
+    # kept, so that sizes and rows come from one and the same sort
+    rows = df.orderBy(*sort_columns(order)).drop(name).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")).persist(StorageLevel.DISK_ONLY)
+    part, within = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # of a row for each task
+    starts = rows.groupBy(part).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    placed = rows.select("row", part, within.alias("within")).join(F.broadcast(starts), "part")
+    return placed.select("row.*", (F.col("start") + F.col("within") + 1).alias(name))
+
+
 @dataclass(frozen=True)
 class Collection:
     """``on_query`` may rewrite a request before it is compiled (row-level security)."""

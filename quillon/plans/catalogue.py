@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import hashing
 from quillon.operators import audit, sync
-from quillon.operators.collection import Collection, Request
+from quillon.operators.collection import Collection, Request, numbered
 from quillon.sources import changes as sources
 from quillon.streaming import live
 
@@ -828,10 +828,19 @@ def debounce(spark, sf_dir):
 @query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos, 'active' AS cursor FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, NULL, 'delete' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
 def sub_all(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    placed = lambda df: df.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("pos"))
+    placed = lambda df: numbered(df.select(F.col("o_orderkey").alias("id")), "id", "pos")
     return live.all_emission(placed(orders.where("o_orderstatus = 'O' or o_orderstatus = 'F' and o_totalprice > 200000")), placed(orders.where("o_orderstatus = 'O'")))
 
 
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'clear' WHEN 'error' THEN 'remove' ELSE 'reload' END AS type, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n_ids FROM events)
+    SELECT event_id, CASE type WHEN 'clear' THEN 'remove' ELSE type END AS type, n_ids FROM e WHERE type IN ('upsert', 'remove') OR type = 'clear' AND n_ids > 0""")
+def change_notices(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "upsert").when(F.col("event_type") == "click", "clear").when(F.col("event_type") == "error", "remove").otherwise("reload")
+    ids = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("user_id").cast("bigint")))
+    told = live.notices(table(spark, sf_dir, "events").select("event_id", kind.alias("type"), ids.alias("ids")))
+    return told.select("event_id", "type", F.array_size("ids").alias("n_ids"))
+
+
 @query("SELECT c_custkey AS id, n_name AS client FROM customer JOIN nation ON c_mktsegment = CASE n_regionkey WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END")
 def fan_out(spark, sf_dir):
     changes = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("collection"), F.col("c_custkey").alias("id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.collection import numbered
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     reader = spark.read.format(fmt)
@@ -56,9 +58,8 @@ def seeded(existing: DataFrame, fixed: DataFrame, create: DataFrame, count: int
         source = corrected if corrected is not None else spare.limit(0)
         given = source.join(bad.select(id_column), id_column, "left_semi")
         # who has no correction takes the values of the spare record of the same rank after the missing ones
-        rank = lambda df, name: df.select("*", F.row_number().over(Window.orderBy(id_column)).alias(name))
-        anew = rank(bad.join(source.select(id_column), id_column, "left_anti").select(id_column), "_n")
-        values = rank(spare, "_n").where(F.col("_n") > missing).withColumn("_n", F.col("_n") - missing).drop(id_column)
+        anew = numbered(bad.join(source.select(id_column), id_column, "left_anti").select(id_column), id_column, "_n")
+        values = numbered(spare, id_column, "_n").where(F.col("_n") > missing).withColumn("_n", F.col("_n") - missing).drop(id_column)
         made = anew.join(values, "_n").drop("_n").select(*existing.columns)
         kept = kept.join(bad.select(id_column), id_column, "left_anti").unionByName(given).unionByName(made)
     return fixed.unionByName(kept).unionByName(spare.orderBy(id_column).limit(missing))

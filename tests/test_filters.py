@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators.collection import Collection, Registry, Request
+from quillon.operators.collection import Collection, Registry, Request, numbered
 from quillon.operators.filters import MISSING, Compiler
 
 
@@ -70,3 +70,15 @@ def test_hooks_merge_and_run_in_order(people):
     assert sorted(r.id for r in registry["people"].matching({"x": 3.0}).collect()) == [4] and registry.seeded("people").count() == 5
     registry.after("people", people.sparkSession.createDataFrame([("insert", 1), ("update", 2), ("update", 3), ("delete", 4)], "op string, id int"))
     assert told == [("upsert", 1, 2), ("delete", [4])]
+
+
+def test_numbered_follows_the_whole_order(spark):
+    rows = [(i * 7919 % 1000, i % 3, "x", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, at int, row string, `part.a` int").repartition(7)
+    found = numbered(df, [("at", "desc"), "k"], "pos")
+    assert found.columns == [*df.columns, "pos"]
+    assert [r.k for r in sorted(found.collect(), key=lambda r: r.pos)] == [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert sorted(r.pos for r in found.collect()) == list(range(1, 1001))
+    again = numbered(found, [("pos", "desc")], "pos")
+    assert again.columns == found.columns and again.where("pos = 1").first().k == found.where("pos = 1000").first().k
+    assert numbered(df.limit(0), "k", "pos").collect() == []
