@@ -15,6 +15,7 @@ empty table gives none. Labels, language, source and id never enter a score. ``k
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import LOWER, crc_of, free_names, pieces, replace_column, take_words, text_bytes, word_spans
 
+#: Labelled documents under which a fit means little.
+FEW = 50
 #: Labelled documents that are fitted on, at most.
 SAMPLE = 20_000
 BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 32, 300, 100, 6, 0.08
@@ -179,8 +182,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = SAMPLE) -> AdditiveModel:
-    """Fit on at most ``sample`` labelled documents whose crc32 of the id's text mod ``fold`` isn't 0."""
+    """Fit on at most ``sample`` labelled documents of ``docs`` whose crc32 of the id's text mod ``fold`` isn't 0. Labels of other ids don't count;
+    with fewer than ``FEW`` labelled documents, or with one class of them only, a warning says that the scores mean little."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("quality is not null").where(crc_of("doc_id") % fold != 0)
+    usable = usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = usable.groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
@@ -193,6 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: int = SAMPL
     # a document that stands in several rows counts once
     rows = labelled.mapInArrow(run, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(rows.x.tolist(), float).reshape(len(rows), len(FEATURES))
+    if len(rows) < FEW or rows.quality.nunique() < 2:
+        warnings.warn(f"{len(rows)} labelled documents with {rows.quality.nunique()} distinct labels to learn quality from", stacklevel=2)
     return fit(x, rows.quality.to_numpy(float))
 
 
