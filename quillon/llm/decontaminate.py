@@ -1,11 +1,12 @@
 """Benchmark decontamination by a distributed positional inverted index (operator 5).
 
 ``build_index`` stores the postings of every word of the training texts: one row per segment (a run of documents of
-bounded size), holding its sorted terms and, per term, the ascending positions of its occurrences; documents stand one
-position apart, so that no phrase runs over a border. ``search`` takes benchmark windows (each run of ``window`` words of
+bounded size), holding its sorted terms and, per term, the ascending positions of its occurrences; documents stand so many
+positions apart that no match runs over a border: one for phrases, a window and twice the slack for proximity. ``search`` takes benchmark windows (each run of ``window`` words of
 an item, distinct ones once) in blocks of bounded size, and in each segment takes the positions of a window's rarest term, moves them by the
 term's offset, and keeps those that the lists of the other terms, rarest first, hold at their own offsets. With
-``slack`` over 0 a term may stand that many words off its place (proximity match). Segments are independent: nothing of
+``slack`` over 0 a place of the document matches if each term stands at most that many words off its own place from there
+(proximity match); hit are the document's words under the window as it lies at such places. Segments are independent: nothing of
 the corpus is shuffled, and a passage that many documents share is found in each by its own task. A hit names its windows;
 which items have them is a join of the hits alone, so neither the driver nor a task holds all items of a common window.
 
@@ -42,15 +43,20 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return take_words(data, begin, end), before
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Write the postings of all words of ``docs`` (doc_id, text) to the shared folder."""
+def gap_for(window: int, slack: int) -> int:
+    """How many positions documents must stand apart."""
+    return window + 2 * slack if slack else 1
+
+
+def build_index(docs: DataFrame, gap: int = 1) -> DataFrame:
+    """Write the postings of all words of ``docs`` (doc_id, text) to the shared folder; documents stand ``gap`` positions apart."""
 
     def run(batches):
         for piece in pieces(batches):
             words, before = _words(replace_column(piece, "text"))
             coded = words.dictionary_encode()
             codes, sizes = coded.indices.to_numpy(), np.diff(before)
-            positions = (np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)).astype(np.int32)
+            positions = (np.arange(len(codes)) + np.repeat(np.arange(len(sizes)) * gap, sizes)).astype(np.int32)
             order = np.argsort(codes, kind="stable")
             counts = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32)
 
@@ -96,9 +102,10 @@ class Block:
         self.vocabulary = pa.array(list(number), pa.binary())
 
 
-def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position) of every occurrence in one segment."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place, position of its rarest term there) of every occurrence in one segment. Which term is the rarest depends on the segment, so
+    it may itself stand off its place."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(block.vocabulary) or not len(postings):
         return none
     own = pc.fill_null(pc.index_in(block.vocabulary, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -118,9 +125,14 @@ def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.
         rows = np.arange(at, to)
         rarest = matrix[rows, order[rows, 0]]
         row = np.repeat(rows, counts[rarest])
-        place = postings[spread(starts[rarest], counts[rarest])].astype(np.int64) - order[row, 0]
-        keep = place >= 0
-        row, place = row[keep], place[keep]
+        seen = postings[spread(starts[rarest], counts[rarest])].astype(np.int64)
+        place = seen - order[row, 0]
+        if slack:
+            off = np.arange(-slack, slack + 1)
+            row, seen, place = np.repeat(row, len(off)), np.repeat(seen, len(off)), (place[:, None] + off).ravel()
+        else:
+            keep = place >= 0
+            row, seen, place = row[keep], seen[keep], place[keep]
         for k in range(1, matrix.shape[1]):
             offset = order[row, k]
             term = matrix[row, offset]
@@ -129,31 +141,31 @@ def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.
             near = np.searchsorted(keys, target - slack * live)
             hit = keys[np.minimum(near, len(keys) - 1)]
             good = ~live | (hit >= target - slack) & (hit <= target + slack) & (near < len(keys)) & (hit // span == term)
-            row, place = row[good], place[good]
+            row, seen, place = row[good], seen[good], place[good]
             if not len(row):
                 break
         if len(row):
-            found.append((there[row], place))
+            found.append((there[row], place, seen))
         at = to
     return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
 
-def _segment_hits(block: Block, row: dict, slack: int) -> pa.RecordBatch:
+def _segment_hits(block: Block, row: dict, slack: int, gap: int) -> pa.RecordBatch:
     sizes = np.asarray(row["sizes"], np.int64)
     counts, postings = np.asarray(row["counts"], np.int64), np.asarray(row["postings"], np.int64)
-    window, place = occurrences(block, row["terms"], counts, postings, slack)
-    base = np.cumsum(sizes + 1) - sizes - 1  # documents stand one position apart
-    mark = np.zeros(int((sizes + 1).sum()) + 2, np.int64)
-    end = np.minimum(place + block.sizes[window] + slack, len(mark) - 1) if slack else place + block.sizes[window]
-    np.add.at(mark, place, 1)
-    np.add.at(mark, end, -1)
+    window, place, seen = occurrences(block, row["terms"], counts, postings, slack)
+    base = np.cumsum(sizes + gap) - sizes - gap
+    doc = np.searchsorted(base, seen, side="right") - 1
+    mark = np.zeros(int((sizes + gap).sum()) + 2, np.int64)
+    begin, end = np.maximum(place, base[doc]), np.minimum(place + block.sizes[window], base[doc] + sizes[doc])
+    there = begin < end
+    np.add.at(mark, begin[there], 1)
+    np.add.at(mark, end[there], -1)
     on = np.cumsum(mark) > 0
     edge = np.diff(np.concatenate([[False], on, [False]]).astype(np.int8))
     begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc_of_run = np.searchsorted(base, begin, side="right") - 1
-    stop = np.minimum(stop, base[doc_of_run] + sizes[doc_of_run]) if len(begin) else stop
     n_runs = np.bincount(doc_of_run, minlength=len(sizes))
-    doc = np.searchsorted(base, place, side="right") - 1
     pairs = np.unique(np.stack([doc, block.names[window]], 1), axis=0) if len(window) else np.zeros((0, 2), np.int64)
     n_windows = np.bincount(pairs[:, 0], minlength=len(sizes))
     offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
@@ -165,12 +177,12 @@ def _segment_hits(block: Block, row: dict, slack: int) -> pa.RecordBatch:
 
 
 def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, runs, items) of every indexed document: its hit word runs, disjoint and in order, and the item ids.
+    """(doc_id, n_words, runs, items) of every document of an index whose gap is ``gap_for(window, slack)``: its hit word runs, disjoint and in order, and the item ids.
     Only documents with hits leave the search.
 
     The distinct windows go to the tasks in blocks of about ``block_windows``; each block is one pass over the index, and its
     hits are written before the next block is sent."""
-    spark = index.sparkSession
+    spark, gap = index.sparkSession, gap_for(window, slack)
     windows = cut(windows, "windows")
     distinct = cut(windows.select("words").distinct().withColumn("name", F.monotonically_increasing_id()), "distinct")
     of_items = cut(windows.where("item_id is not null").join(distinct, "words").select("name", "item_id"), "items")
@@ -184,7 +196,7 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: in
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
-                    yield _segment_hits(block.value, {n: v.as_py() if n == "segment" else v.values if n in ("doc_ids", "terms") else v.values.to_numpy() for n, v in row.items()}, slack)
+                    yield _segment_hits(block.value, {n: v.as_py() if n == "segment" else v.values if n in ("doc_ids", "terms") else v.values.to_numpy() for n, v in row.items()}, slack, gap)
 
         part = cut(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS).where("size(runs) > 0"), "hits")
         block.unpersist()
@@ -206,7 +218,7 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: in
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs, items) of every document."""
-    found = search(build_index(docs), windows_of(benchmark, window), window, slack, block_windows)
+    found = search(build_index(docs, gap_for(window, slack)), windows_of(benchmark, window), window, slack, block_windows)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     names = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), "runs", "items")
