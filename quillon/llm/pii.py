@@ -17,6 +17,9 @@ always enough; only numbers of fixed length don't, and from ``REAL_FROM`` attemp
 Texts are searched once, and only texts with entities are split and rewritten; only entities that needed another attempt
 are looked up then, all others are computed in place.
 
+Long texts: patterns take a text of any length, and what they repeat without bound they don't give back. A name that no title introduces, and
+that is a common word too (``COMMON``), is rewritten in its full name only.
+
 Nulls, ties: a null text stays null, without entities. Texts without entities come back unchanged. Repeated rows are
 rewritten alike; empty tables give no rows. All other columns are kept, whatever their names.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, free_names
 
 # What an entity looks like, in the order in which alternatives are tried.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}{2,}"  # a domain has 127 labels at most
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 GROUP = "[0-9A-Fa-f]{1,4}"
@@ -52,10 +55,15 @@ MALE, FEMALE = "Mr|Mister|Sir|Lord|Herrn?|Señor|Sr|Don|Monsieur|Господи
 TITLE = f"{MALE}|{FEMALE}|Mx|Dr|Doctor|Doktor|Dra|Docteur|Prof|Professor|Professeur|Rev|Reverend|Judge|Capt|Captain|Доктор|Профессор"
 #: Capitalised words that begin a sentence rather than go on with a name.
 NOT_PART = "The|He|She|It|They|We|This|That|And|But|In|On|At|Der|Die|Das|Er|Sie|Es|Und|Aber|Im|Am|El|Los|Las|Ella|Pero|En|Il|Elle|Les|Mais|Он|Она|Они|Это|Но|В|На"
-PART = rf"(?!(?:{NOT_PART}|{TITLE})(?![\p{{L}}'’-]))(?:\p{{Lu}}\.(?= ?\p{{Lu}})|\p{{Lu}}(?:['’]\p{{Lu}})?[\p{{L}}\p{{M}}]+(?:['’][\p{{L}}\p{{M}}]{{2,}}|-[\p{{L}}\p{{M}}]+)*+)"
+PART = rf"(?!(?:{NOT_PART}|{TITLE})(?![\p{{L}}'’-]))(?:\p{{Lu}}\.(?=(?: ?\p{{Lu}}\.){{0,8}}+ ?\p{{Lu}}(?:['’]\p{{Lu}})?[\p{{L}}\p{{M}}])|\p{{Lu}}(?:['’]\p{{Lu}})?[\p{{L}}\p{{M}}]+(?:['’][\p{{L}}\p{{M}}]{{2,}}|-[\p{{L}}\p{{M}}]+)*+)"
 LINK = "van|von|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|ten|ter|bin|ibn|al|af|av|y"
-TITLES = rf"(?:(?:{TITLE})\.? )+"
-NAME = rf"(?<!\p{{L}}){TITLES}(?:(?:{LINK}) ){{0,3}}{PART}(?: ?(?<=[. ])(?:(?:{LINK}) ){{0,3}}{PART})*(?!\p{{L}})"
+#: Groups that repeat without bound are possessive: Java's matcher recurses for each repetition of others, and long texts would end it.
+TITLES = rf"(?:(?:{TITLE})\.? )++"
+NAME = rf"(?<!\p{{L}}){TITLES}(?:(?:{LINK}) ){{0,3}}{PART}(?: ?(?<=[. ])(?:(?:{LINK}) ){{0,3}}{PART})*+"
+#: What may follow a name and is none of its parts.
+SUFFIX = "(?<=[^ ]) (?:Jr|Jnr|Junior|II|III|IV)$"
+#: Names that are common words too: alone and without a title they are left as they are.
+COMMON = "April|August|June|March|May|Will"
 #: A phone's country code: what stands apart, else by the numbering plan.
 CODE = r"^\+(?:\d{1,3}(?=[ .(/-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ENTITY = "|".join((EMAIL, IPV4, IPV6, PHONE, SSN, CARD, IBAN, LABELLED, CLOUD, SECRET, NAME))
@@ -105,7 +113,7 @@ def canonical(kind: str, e: str) -> str:
     """SQL for what all spellings of one entity share; of a name its gender and its words."""
     given = f"CASE WHEN {e} rlike {_q(f'^(?:{MALE})[. ]')} THEN 'm' WHEN {e} rlike {_q(f'^(?:{FEMALE})[. ]')} THEN 'f' ELSE 'n' END"
     return f"""CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN concat(regexp_extract({e}, {_q(CODE)}, 0), ' ', regexp_replace({e}, '[^0-9]', ''))
-        WHEN {kind} = 'name' THEN concat({given}, ' ', regexp_replace({e}, {_q('^' + TITLES)}, '')) WHEN {kind} = 'iban' THEN replace({e}, ' ')
+        WHEN {kind} = 'name' THEN concat({given}, ' ', regexp_replace(regexp_replace({e}, {_q('^' + TITLES)}, ''), {_q(SUFFIX)}, '')) WHEN {kind} = 'iban' THEN replace({e}, ' ')
         WHEN {kind} = 'key' THEN regexp_replace({e}, {_q('^' + LABEL)}, '') WHEN {kind} = 'secret' THEN lower(regexp_replace({e}, {_q('^' + LABEL)}, '')) ELSE lower({e}) END"""
 
 
@@ -178,12 +186,13 @@ def written(x: str, s: str, g: str) -> str:
     fill = lambda slot, source: f"""aggregate(split({e}, ''), named_struct('t', '', 'd', {source}), (a, c) -> CASE WHEN c rlike '{slot}'
         THEN named_struct('t', concat(a.t, substr(a.d, 1, 1)), 'd', substr(a.d, 2)) ELSE named_struct('t', concat(a.t, c), 'd', a.d) END, a -> concat(a.t, a.d))"""
     case = f"array_join(zip_with(split({e}, ''), split({s}, ''), (c, d) -> CASE WHEN c <> lower(c) THEN upper(d) ELSE coalesce(d, '') END), '')"
-    bare = f"regexp_replace({e}, {_q('^' + TITLES)}, '')"
+    bare = f"regexp_replace(regexp_replace({e}, {_q('^' + TITLES)}, ''), {_q(SUFFIX)}, '')"
+    suffix = f"regexp_extract(regexp_replace({e}, {_q('^' + TITLES)}, ''), {_q(SUFFIX)}, 0)"
     label = f"regexp_extract({e}, {_q('^' + LABEL)}, 0)"
     female = f"{cyrillic(canon)} AND ({canon} like 'f %' OR {canon} like 'n %' AND {canon} rlike {_q(FEMALE_END + '|' + FEMALE_ADJ)})"
     last = f"concat({s}, IF({female}, 'а', ''))"
     name = f"""concat(regexp_extract({e}, {_q('^' + TITLES)}, 0), CASE WHEN {bare} = substr({canon}, 3) THEN concat_ws(' ', {g}, {last})
-        WHEN {bare} = substring_index({canon}, ' ', -1) THEN {last} ELSE {g} END)"""
+        WHEN {bare} = substring_index({canon}, ' ', -1) THEN {last} ELSE {g} END, {suffix})"""
     return f"""CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {fill('[0-9]', f"regexp_extract({s}, '[0-9]+$', 0)")} WHEN {kind} = 'iban' THEN {fill('[0-9A-Z]', s)} WHEN {kind} = 'name' THEN {name} WHEN {kind} = 'ip' THEN {s}
         WHEN {kind} = 'key' THEN concat({label}, {s}) WHEN {kind} = 'secret' THEN concat({label}, IF({e} rlike '[0-9A-F]{{32}}' AND NOT {e} rlike '[0-9a-f]{{32}}', upper({s}), {s})) ELSE {case} END"""
 
@@ -196,18 +205,26 @@ def entities(docs: DataFrame) -> DataFrame:
     raw = F.when(likely, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     titled = f"""transform(array_distinct(filter(raw, e -> e rlike {_q('^' + TITLES)} AND NOT contains(e, '@'))), e -> {canonical("'name'", 'e')})"""
     part = f"""filter(split(substr(n, 3), ' '), (w, i) -> w rlike {_q(r'^\p{Lu}[^.]')})"""
-    words = f"array_distinct(flatten(transform(names, n -> concat(array(substr(n, 3)), {part}))))"
+    words = f"filter(array_distinct(flatten(transform(names, n -> concat(array(substr(n, 3)), {part})))), w -> NOT w rlike '^(?:{COMMON})$')"
     longest = f"array_sort({words}, (a, b) -> length(b) - length(a))"
-    bare = f"""concat({_q('(?<![' + chr(92) + 'p{L}' + chr(92) + 'p{M}])(?:')}, array_join(transform({longest}, w -> concat({_q(chr(92) + 'Q')}, w, {_q(chr(92) + 'E')})), '|'), {_q(')(?![' + chr(92) + 'p{L}' + chr(92) + 'p{M}])')})"""
+    quote = lambda w: rf"concat('\\Q', {w}, '\\E')"
+    # names that begin alike share a branch, so that a place of the text is not compared with all of them
+    branch = f"concat({quote('p')}, '(?:', array_join(transform(filter(spoken, w -> startswith(w, p)), w -> {quote('substr(w, 3)')}), '|'), ')')"
+    bare = rf"""concat({_q(r'(?<![\p{L}\p{M}])(?:')}, array_join(transform(array_distinct(transform(spoken, w -> substr(w, 1, 2))), p -> {branch}), '|'), {_q(r')(?![\p{L}\p{M}])')})"""
     found = docs.withColumn("raw", raw).withColumn("raw", F.when(F.size("raw") > 0, F.col("raw"))).withColumn("names", F.expr(titled))
-    found = found.withColumn("bare", F.when(F.size("names") > 0, F.expr(bare)))
+    found = found.withColumn("spoken", F.when(F.size("names") > 0, F.expr(longest)))
+    found = found.withColumn("bare", F.when(F.size("spoken") > 0, F.expr(bare)))
     found = found.withColumn("raw", F.when(F.col("bare").isNotNull(), F.regexp_extract_all("text", pattern(), F.lit(0))).otherwise(F.col("raw")))
     typed = F.expr(f"transform(raw, e -> named_struct('e', e, 'kind', {kind_of('e')}))")
     # an untitled mention is the first of the text's names that it is, else of which it is a part
-    own = "coalesce(get(filter(names, n -> substr(n, 3) = x.e), 0), get(filter(names, n -> array_contains(split(substr(n, 3), ' '), x.e)), 0))"
+    parts = "transform(names, n -> split(substr(n, 3), ' '))"
+    found = found.withColumn("said", F.expr(f"concat(transform(names, n -> substr(n, 3)), flatten({parts}))"))
+    found = found.withColumn("whose", F.expr(f"concat(transform(names, (n, i) -> i), flatten(transform({parts}, (w, i) -> array_repeat(i, size(w)))))"))
+    # both are named twice, so that they are computed once a text and not once a mention
+    own = "IF(size(said) + size(whose) > 0, get(names, get(whose, cast(array_position(said, x.e) as int) - 1)), NULL)"
     named = f"CASE WHEN x.kind = 'name' AND NOT x.e rlike {_q('^' + TITLES)} THEN {own} ELSE {canonical('x.kind', 'x.e')} END"
     full = F.expr(f"transform(typed, x -> named_struct('e', x.e, 'kind', x.kind, 'canon', {named}))")
-    return found.withColumn("typed", typed).withColumn("ents", full).drop("raw", "typed", "names")
+    return found.withColumn("typed", typed).withColumn("ents", full).drop("raw", "typed", "names", "spoken", "said", "whose")
 
 
 def pattern():
