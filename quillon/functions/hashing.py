@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the content hash: two 32-bit lanes over UTF-16 units, and their common prime.
 SEEDS, PRIME = (0x811C9DC5, 0xC4CCD795), 0x01000193
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
-def canonical(value) -> str:
-    """JSON with sorted keys and no spaces; whole numbers are written without a fraction."""
+def number_text(x: float) -> str:
+    """A finite double as JavaScript writes it: the shortest digits that read back, an exponent below 1e-6 and from 1e21 on."""
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits))
+    point = len(text) + exponent  # where the decimal point stands
+    text = text.rstrip("0")
+    if len(text) <= point <= 21:
+        out = text + "0" * (point - len(text))
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text[0] + ("." + text[1:] if len(text) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + out
 
-    def plain(v):
-        if isinstance(v, float):
-            return int(v) if math.isfinite(v) and v == int(v) and abs(v) < 1e21 else (v if math.isfinite(v) else None)
-        if isinstance(v, dict):
-            return {k: plain(v[k]) for k in sorted(v, key=lambda k: k.encode("utf-16-be"))}
-        return [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
 
-    return json.dumps(plain(value), separators=(",", ":"), ensure_ascii=False)
+def canonical(value) -> str:
+    """JSON with keys sorted by UTF-16 units and no spaces; doubles as ``number_text`` has them, those that aren't finite as null."""
+    if isinstance(value, float):
+        return number_text(value) if math.isfinite(value) else "null"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
 
 
 def content_hash(value) -> str:
@@ -37,23 +58,80 @@ def content_hash(value) -> str:
     return out
 
 
-def content_hashes(column: str) -> Column:
-    """The content hash of JSON strings."""
+def json_hashes(column: str) -> Column:
+    """The record hash of JSON strings, whatever their key order and spacing."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else content_hash(json.loads(v)))
+        return values.map(lambda v: None if v is None else hashlib.sha256(canonical(json.loads(v)).encode()).hexdigest()[:16])
 
     return run(column)
 
 
-def record_json(columns: list[str]) -> Column:
-    """Canonical JSON of flat columns, nulls kept."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+def _string_json(text: Column) -> Column:
+    """A string as JSON; control characters in small letters, as elsewhere."""
+    plain = F.to_json(F.struct(text.alias("s")))
+    plain = F.substring(plain, F.lit(6), F.length(plain) - 6)
+    fixed = plain
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(~text.rlike(r'["\x5C\x00-\x1F]'), quoted).when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), fixed).otherwise(plain)
+
+
+def _bound(values: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a one-element array stands in for a binding."""
+    return F.element_at(F.transform(F.array(values), use), 1)
+
+
+def _double_json(x: Column) -> Column:
+    """``number_text`` of a column of finite doubles, from the digits that Java gives (before version 19 they are rarely one too many)."""
+
+    def parts(text: Column) -> Column:
+        digits, power = F.regexp_replace(F.regexp_extract(text, "^([0-9.]+)", 1), "[.]", ""), F.coalesce(F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        return F.struct(F.trim(digits, F.lit("0")).alias("short"), (F.length(F.regexp_extract(text, "^([0-9]+)", 1)) + power - F.length(digits) + F.length(F.ltrim(digits, F.lit("0")))).alias("point"))
+
+    def written(p: Column) -> Column:
+        short, point, n = p["short"], p["point"], F.length(p["short"])
+        after = lambda start: F.substring(short, start, n)
+        out = F.when((n <= point) & (point <= 21), F.concat(short, F.repeat(F.lit("0"), point - n))).when((point > 0) & (point <= 21), F.concat(F.substring(short, F.lit(1), point), F.lit("."), after(point + 1)))
+        exponent = F.concat(F.substring(short, 1, 1), F.when(n > 1, F.concat(F.lit("."), after(F.lit(2)))).otherwise(""), F.when(point > 0, "e+").otherwise("e"), (point - 1).cast("string"))
+        return out.when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), short)).otherwise(exponent)
+
+    out = _bound(F.abs(x).cast("string"), lambda text: _bound(parts(text), written))
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), out))
+
+
+def value_json(x: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a column of this type, null included: what ``canonical`` gives for the same value."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
+        cells = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), value_json(x[f.name], f.dataType)) for f in fields]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: value_json(e, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        wide = x.cast("double")
+        out = F.when(~F.isnan(wide) & (F.abs(wide) < F.lit(float("inf"))), _double_json(wide))
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        out = x.cast("string")
+    elif isinstance(kind, T.StringType):
+        out = _string_json(x)
+    else:
+        plain = F.to_json(F.struct(x.alias("s")))
+        out = F.substring(plain, F.lit(6), F.length(plain) - 6)
+    return F.when(x.isNull(), "null").otherwise(F.coalesce(out, F.lit("null")))
+
+
+def record_json(df: DataFrame, columns: list[str]) -> Column:
+    """Canonical JSON of columns of ``df``, nulls kept."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = [F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), value_json(F.col(f"`{c}`"), kinds[c])) for c in sorted(columns, key=lambda c: c.encode("utf-16-be"))]
+    return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
 
 
-def record_hash(columns: list[str]) -> Column:
-    return F.substring(F.sha2(record_json(columns), 256), 1, 16)
+def record_hash(df: DataFrame, columns: list[str]) -> Column:
+    return F.substring(F.sha2(record_json(df, columns), 256), 1, 16)
 
 
 #: Positions whose ids are hashed together.
@@ -69,8 +147,8 @@ def result_hash(result, position: str, id_column: str):
 
 
 def folded_hash(text: Column) -> Column:
-    """The content hash of canonical JSON text, folded in the JVM (characters of one UTF-16 unit each)."""
-    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """The content hash of canonical JSON text, folded in the JVM over its UTF-16 units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
     lanes = [F.aggregate(units, F.lit(seed).cast("long"), lambda h, u: h.bitwiseXOR(u) * F.lit(PRIME) % F.lit(1 << 32)) for seed in SEEDS]
     return F.concat(*[F.lower(F.lpad(F.hex(lane), 8, "0")) for lane in lanes])
 

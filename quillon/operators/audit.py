@@ -7,6 +7,7 @@ before the shuffle; only edits within a field need a fold, which streams them in
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Iterator
 from itertools import batched, groupby
@@ -135,13 +136,17 @@ def merge_decisions(server: DataFrame, client: DataFrame, full: bool = True) ->
     return sums.select("record_id", F.when(F.col("server_n") == 0, "adopt").when(good, "merge").otherwise("keep").alias("decision"))
 
 
-def merged(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
-    """The server's log with a client's: of audits that merge, the changes (no created, no branched entries) that the server lacks; audits of
-    which the server has nothing whole; of others nothing. A repeated entry of the client counts once."""
+def merge_news(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
+    """What a server's log takes in of a client's: of audits that merge, the changes (no created, no branched entries) that the server lacks;
+    audits of which the server has nothing whole; of others nothing. A repeated entry of the client counts once."""
     decided = merge_decisions(server, client, full)
     offered = client.join(decided.where("decision <> 'keep'"), "record_id").where((F.col("decision") == "adopt") | ~when_type(CREATED, BRANCHED)).drop("decision")
-    news = offered.join(server.select("record_id", "entry_id"), ["record_id", "entry_id"], "left_anti").dropDuplicates(["record_id", "entry_id"])
-    return server.unionByName(news)
+    return offered.join(server.select("record_id", "entry_id"), ["record_id", "entry_id"], "left_anti").dropDuplicates(["record_id", "entry_id"])
+
+
+def merged(server: DataFrame, client: DataFrame, full: bool = True) -> DataFrame:
+    """The server's log with what it takes in of a client's."""
+    return server.unionByName(merge_news(server, client, full))
 
 
 def replay_scalar(entries: DataFrame, fields: dict[str, Column], payload: Column | None = None) -> DataFrame:
@@ -176,16 +181,10 @@ def _text(record) -> str | None:
     return None if record is None else json.dumps(record, sort_keys=True, ensure_ascii=False)
 
 
-def from_last_snapshot(entries: DataFrame) -> DataFrame:
-    """The entries from each record's last created or restored entry with a record on: what stands before it has no effect."""
-    snapshot = F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id"))
-    last = entries.groupBy("record_id").agg(F.max(snapshot).alias("_last"))
-    return entries.join(last.where("_last is not null"), "record_id", "left").where("_last is null or entry_id >= _last").drop("_last")
-
-
-def _ordered(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Rows with equal keys in one partition, one after the other and in order: tasks stream them, and Spark's sort spills."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+def _ordered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Rows with equal keys in one partition, one after the other and in order: tasks stream them, and Spark's sort spills. They are dealt by a
+    hash of the keys: by the keys themselves Spark leaves the step out above a union whose sides lie so, and adaptive joins then move the sides."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -349,15 +348,73 @@ def updated_with(entries: DataFrame, current: DataFrame, entry_id: Column, base:
     return compared.withColumn("type", kind).where("type is not null").select("record_id", entry_id.alias("entry_id"), "type", record.alias("record"), F.when(F.col("type") == UPDATED, F.col("ops")).alias("ops"))
 
 
-def reset_by_warnings(entries: DataFrame, current: DataFrame, entry_id: Column) -> DataFrame:
-    """The log where audits that don't replay cleanly (an update before any anchor, or a created entry without a record) of records that are
-    current (record_id, current) give way to one created entry."""
-    anchor = F.min(F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id")))
-    sums = entries.groupBy("record_id").agg(anchor.alias("a"), F.min(F.when(when_type(UPDATED), F.col("entry_id"))).alias("u"), F.bool_or(when_type(CREATED) & F.col("record").isNull()).alias("empty"))
-    bad = sums.where(F.col("empty") | F.col("u").isNotNull() & (F.col("a").isNull() | (F.col("u") < F.col("a")))).select("record_id").join(current, "record_id")
-    fields = {"record_id": F.col("record_id"), "entry_id": entry_id, "type": F.lit(CREATED), "record": F.col("current")}
-    fresh = bad.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema])
-    return without_trail(entries, bad).unionByName(fresh)
+NEWS = "record_id string, entry_id string, type int, record string, ops " + "array<struct<op: string, path: string, value: string, position: string, hash: string>>, reset boolean"
+
+
+def upsert_news(entries: DataFrame, live: DataFrame, records: DataFrame, entry_id: Column, correction_id: Column) -> DataFrame:
+    """What the audits of upserted records (record_id, current: JSON) take in, given the live rows that these replace (record_id, live: JSON):
+    (record_id, entry_id, type, record, ops, reset). A record without an audit gets a created entry. Where a live row and an audit are there, the audit is
+    replayed from the live row: if that warns (an entry without id or type, a created one without a record, an update of nothing, an operation
+    whose way leads nowhere), the audit gives way to one created entry of the live row (``reset``); if it gives another record, an update
+    corrects it. Then comes the entry that leads to the new record; nothing at all where the live row equals it. The entries of the records
+    are streamed in order, by record."""
+    heads = records.select("record_id", "current", entry_id.alias("new_id"), correction_id.alias("fix_id")).join(live.select("record_id", "live"), "record_id", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
+    own = entries.join(records.select("record_id"), "record_id", "left_semi").select("record_id", "entry_id", "type", "record", "ops")
+    blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ("entry_id", "type", "record", "ops")]
+    rows = heads.select("record_id", F.lit(0).alias("part"), *blank, "current", "live", "new_id", "fix_id").unionByName(own.withColumn("part", F.lit(1)), allowMissingColumns=True)
+
+    def news(batches):
+        for record_id, group in groupby(_rows(batches), itemgetter("record_id")):
+            head = next(group)
+            if head["part"]:
+                continue
+            current, before = json.loads(head["current"]), None if head["live"] is None else json.loads(head["live"])
+            made, warned, n = [], [], 0
+
+            def valid():
+                nonlocal n
+                for e in group:
+                    n += 1
+                    if e["entry_id"] is None or e["type"] is None:
+                        warned.append("an entry without id or type")
+                    else:
+                        yield _read(e)
+
+            now, shadow = None, None
+            for _, now, shadow in structure.histories(valid(), before, warned):  # noqa: B007
+                pass
+            now, shadow = copy.deepcopy(now), copy.deepcopy(shadow)
+            reset = before is not None and n > 0 and bool(warned)
+            if not n:
+                made.append((head["new_id"], {"type": CREATED, "record": current, "ops": None}))
+            elif before is not None and structure.same(before, current):
+                continue
+            else:
+                if reset:
+                    made.append((head["fix_id"], {"type": CREATED, "record": before, "ops": None}))
+                elif before is not None and not structure.same(now, before):
+                    made.append((head["fix_id"], structure.correction(now, shadow, before)))
+                if before is not None:
+                    now = shadow = before
+                made.append((head["new_id"], structure.correction(now, shadow, current)))
+            for name, e in made:
+                if e is not None:
+                    ops = None if e["ops"] is None else [o | {"value": json.dumps(o["value"], sort_keys=True, ensure_ascii=False) if o["op"] in ("add", "replace") else None} for o in e["ops"]]
+                    yield {"record_id": record_id, "entry_id": name, "type": e["type"], "record": _text(e["record"]), "ops": ops, "reset": reset and name == head["fix_id"]}
+
+    op = pa.struct(_strings("op", "path", "value", "position", "hash"))
+    schema = pa.schema([*_strings("record_id", "entry_id"), ("type", pa.int32()), ("record", pa.string()), ("ops", pa.list_(op)), ("reset", pa.bool_())])
+    return _ordered(rows, ["record_id"], F.col("part"), F.col("entry_id")).mapInArrow(lambda batches: _batches(news(batches), schema), NEWS)
+
+
+def upserted(entries: DataFrame, live: DataFrame, records: DataFrame, entry_id: Column, correction_id: Column) -> DataFrame:
+    """The log after an upsert of records, as ``upsert_news`` says; audits that are reset lose their other entries."""
+    news = upsert_news(entries, live, records, entry_id, correction_id)
+    kept = without_trail(entries, news.where("reset").select("record_id"))
+    fields = {c: F.col(c) for c in ("record_id", "entry_id", "type", "record", "ops")}
+    kinds = [(f.name, f.dataType.simpleString()) for f in entries.schema]  # everything may be null
+    return kept.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).unionByName(news.select(*[fields.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds]))
 
 
 def rebased_nested(versions: DataFrame, old: str, mine: str, theirs: str) -> DataFrame:

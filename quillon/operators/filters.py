@@ -1,7 +1,8 @@
 """The filter language: a nested mapping compiled to one Spark column.
 
 A key is a path, ``$and`` or ``$or``; a value is a scalar (equality), a list (``$in``), ``None`` (is null), a mapping of
-``$`` operators, or a mapping of deeper paths. ``MISSING`` values are skipped. Comparisons of unlike types don't match.
+``$`` operators, or a mapping of deeper paths. ``MISSING`` values are skipped. Comparisons of unlike types don't match, nor does a
+field that isn't there; with a variant column for undeclared fields, paths that the schema hasn't got are read from there.
 Unknown operators raise; ``compat=True`` reproduces the lenient reading, where they, ``$elemMatch`` and empty ``$or``
 branches match everything or vanish.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import datetime
 import re
 from collections.abc import Mapping
-from functools import reduce
+from functools import cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,45 @@ def _kind(schema: T.DataType, path: str) -> T.DataType | None:
     return schema
 
 
+class Undeclared(T.DataType):
+    """A path within a variant column, or one that leads nowhere."""
+
+    def __init__(self, column: str | None = None, path: str = ""):
+        self.column, self.path = column, path
+
+    def typed(self, value) -> Column:
+        """The field as the type of ``value``, null where it has another."""
+        if self.column is None:
+            return F.lit(None)
+        kind, names = next((k, n) for types, k, n in VARIANT_KINDS if isinstance(value, types))
+        here = F.variant_get(F.col(quoted(self.column)), self.path, "variant")
+        return F.when(F.schema_of_variant(here).rlike(f"^(?:{names})"), F.try_variant_get(F.col(quoted(self.column)), self.path, kind))
+
+
+#: Python values, the column type that they are compared as, and what a variant of their kind is called.
+VARIANT_KINDS = (
+    (bool, "boolean", "BOOLEAN"), ((int, float), "double", "BIGINT|DOUBLE|FLOAT|DECIMAL"), (str, "string", "STRING"),
+    ((datetime.date, list, tuple, Mapping), "timestamp_ntz", "DATE|TIMESTAMP"),
+)
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
+def comparable(kind: T.DataType | None, value) -> bool:
+    """Whether a column of this type may equal the value; an unknown type may."""
+    if isinstance(value, bool):
+        return kind is None or isinstance(kind, T.BooleanType)
+    if isinstance(value, (int, float)):
+        return kind is None or isinstance(kind, T.NumericType)
+    if isinstance(value, (datetime.datetime, datetime.date)):
+        return kind is None or isinstance(kind, (*TIMES, T.StringType))
+    if isinstance(value, str):
+        return kind is None or isinstance(kind, (T.StringType, *TIMES))
+    return kind is None
+
+
 class Compiler:
-    def __init__(self, schema: T.StructType, compat: bool = False):
-        self.schema, self.compat = schema, compat
+    def __init__(self, schema: T.StructType, compat: bool = False, undeclared: str | None = None):
+        self.schema, self.compat, self.undeclared = schema, compat, undeclared
 
     def compile(self, filters: Mapping | None) -> Column | None:
         """None if nothing is asked for."""
@@ -64,8 +101,17 @@ class Compiler:
         raise ValueError(f"unknown operator {name}")
 
     def _path(self, path: str, value, base: Column | None = None, kind: T.DataType | None = None) -> Column | None:
-        column = F.col(quoted(path)) if base is None else base
-        kind = _kind(self.schema, path) if base is None else kind
+        if base is None:
+            kind = _kind(self.schema, path)
+            column = F.col(quoted(path)) if kind is not None else F.lit(None)
+            if kind is None:
+                kind = Undeclared(self.undeclared, "$" + "".join(f"['{p}']" if "'" not in p else f'["{p}"]' for p in path.split(".")))
+                column = F.variant_get(F.col(quoted(self.undeclared)), kind.path, "variant") if self.undeclared else F.lit(None).cast("string")
+                if value is None:
+                    # a variant's null is none to SQL
+                    return column.isNull() if not self.undeclared else column.isNull() | F.is_variant_null(column)
+        else:
+            column = base
         if value is None:
             return column.isNull()
         if isinstance(value, (list, tuple)):
@@ -83,30 +129,38 @@ class Compiler:
             elif base is None:
                 part = self._path(f"{path}.{key}", inner)
             else:
-                part = self._path(key, inner, column[key], _kind(kind, key))
+                part = self._inner(column, kind, key, inner)
             parts += [] if part is None else [part]
         return self._all(parts)
 
-    def _same_kind(self, column: Column, kind: T.DataType | None, value) -> tuple[Column, Column]:
-        """Both sides of a comparison; a string never equals a number."""
+    def _inner(self, column: Column, kind: T.DataType | None, key: str, value) -> Column | None:
+        """A condition on a field of an array's element."""
+        own = _kind(kind, key)
+        return self._path(key, value, column[key], own) if own is not None else self._path(key, value, F.lit(None).cast("string"), Undeclared())
+
+    def _same_kind(self, column: Column, kind: T.DataType | None, value) -> tuple[Column, Column] | None:
+        """Both sides of a comparison; None where they are of unlike types."""
+        if isinstance(kind, Undeclared):
+            return (kind.typed(value), F.lit(value)) if kind.column and isinstance(value, (bool, int, float, str, datetime.date)) else None
+        if not comparable(kind, value):
+            return None
         if isinstance(value, (datetime.datetime, datetime.date)):
-            return (column if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else column.try_cast("timestamp_ntz")), F.lit(value).cast("timestamp_ntz")
-        text, number = isinstance(kind, T.StringType), isinstance(kind, T.NumericType)
-        if isinstance(value, bool):
-            return column, F.lit(value) if isinstance(kind, T.BooleanType) else F.lit(None).cast(kind or "boolean")
-        if isinstance(value, (int, float)) and text or isinstance(value, str) and number:
-            return column, F.lit(None).cast(kind)
+            return (column if isinstance(kind, TIMES) else column.try_cast("timestamp_ntz")), F.lit(value).cast("timestamp_ntz")
+        if isinstance(value, str) and isinstance(kind, TIMES):
+            return column, F.lit(value).try_cast(kind)
         return column, F.lit(value)
 
     def _operator(self, name: str, column: Column, kind: T.DataType | None, value) -> Column | None:
         if name == "$elemMatch":
             if self.compat:
                 return None
-            element = kind.elementType if isinstance(kind, T.ArrayType) else None
+            if not isinstance(kind, T.ArrayType) or not isinstance(value, Mapping):
+                return F.lit(False)
+            element = kind.elementType
 
             def matches(e: Column) -> Column:
                 if isinstance(element, T.StructType):
-                    parts = [p for k, v in value.items() for p in [self._path(k, v, e[k], _kind(element, k))] if p is not None]
+                    parts = [p for k, v in value.items() for p in [self._inner(e, element, k, v)] if p is not None]
                     return self._all(parts) if parts else F.lit(True)
                 found = self._path("", value, e, element)
                 return F.lit(True) if found is None else found
@@ -115,22 +169,40 @@ class Compiler:
         return OPERATORS[name](self, column, kind, value)
 
     def compare(self, column: Column, kind, value, how) -> Column:
-        left, right = self._same_kind(column, kind, value)
-        return how(left, right)
+        sides = self._same_kind(column, kind, value)
+        return F.lit(None).cast("boolean") if sides is None else how(*sides)
 
     def among(self, column: Column, kind, value) -> Column:
-        values = list(value) if isinstance(value, (list, tuple, set)) else [value]
-        fit = [v for v in values if v is not None and not (isinstance(v, str) and isinstance(kind, T.NumericType)) and not (isinstance(v, (int, float)) and isinstance(kind, T.StringType))]
+        values = [v for v in (value if isinstance(value, (list, tuple, set)) else [value]) if v is not None]
+        if isinstance(kind, Undeclared):
+            parts = [left == right for v in values for sides in [self._same_kind(column, kind, v)] if sides for left, right in [sides]]
+            return F.coalesce(reduce(or_, parts), F.lit(False)) if parts else F.lit(False)
+        fit = [v for v in values if comparable(kind, v)]
         return column.isin(fit) if fit else F.lit(False)
 
+    def text(self, column: Column, kind) -> Column:
+        return kind.typed("") if isinstance(kind, Undeclared) else column.cast("string") if isinstance(kind, T.AtomicType) or kind is None else F.lit(None).cast("string")
+
+    def all_of(self, column: Column, kind, value) -> Column:
+        if not isinstance(kind, T.ArrayType) or not isinstance(value, (list, tuple)) or not all(comparable(kind.elementType, v) for v in value):
+            return F.lit(False)
+        return F.size(F.array_except(F.array(*map(F.lit, value)), column)) == 0 if len(value) else F.lit(True)
+
+    def sized(self, column: Column, kind, value) -> Column:
+        whole = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return F.array_size(column) == F.lit(value) if isinstance(kind, T.ArrayType) and whole else F.lit(False)
+
 
 def _like(column: Column, pattern: str) -> Column:
     """Case-insensitive LIKE without an escape character."""
+    if not isinstance(pattern, str):
+        return F.lit(False)
     return column.cast("string").ilike(pattern.replace("\\", "\\\\"))
 
 
+@cache
 def valid_pattern(pattern: str) -> bool:
-    """Whether the engine that will run the pattern takes it: asked of Spark on one empty text."""
+    """Whether Spark takes the pattern: asked once, on one empty text."""
     spark = SparkSession.active()
     try:
         spark.range(1).select(F.lit("").rlike(pattern)).collect()
@@ -159,20 +231,21 @@ OPERATORS = {
     "$lt": lambda c, x, k, v: c.compare(x, k, v, lambda a, b: a < b),
     "$gte": lambda c, x, k, v: c.compare(x, k, v, lambda a, b: a >= b),
     "$lte": lambda c, x, k, v: c.compare(x, k, v, lambda a, b: a <= b),
-    "$like": lambda c, x, k, v: _like(x, v),
-    "$beginsWith": lambda c, x, k, v: _like(x, v + "%"),
-    "$endsWith": lambda c, x, k, v: _like(x, "%" + v),
+    "$like": lambda c, x, k, v: _like(c.text(x, k), v),
+    "$beginsWith": lambda c, x, k, v: _like(c.text(x, k), f"{v}%"),
+    "$endsWith": lambda c, x, k, v: _like(c.text(x, k), f"%{v}"),
     "$in": lambda c, x, k, v: c.among(x, k, v),
     "$ni": lambda c, x, k, v: ~c.among(x, k, v),
     "$nin": lambda c, x, k, v: ~c.among(x, k, v),
     "$exists": lambda c, x, k, v: x.isNotNull() if v else x.isNull(),
-    "$regex": lambda c, x, k, v: _regex(x, v),
-    "$all": lambda c, x, k, v: F.size(F.array_except(F.array(*map(F.lit, v)), x)) == 0 if len(v) else F.lit(True),
-    "$size": lambda c, x, k, v: F.array_size(x) == v,
+    "$regex": lambda c, x, k, v: _regex(c.text(x, k), v),
+    "$all": lambda c, x, k, v: c.all_of(x, k, v),
+    "$size": lambda c, x, k, v: c.sized(x, k, v),
     "$elemMatch": None,
 }
 
 
-def apply_filter(df: DataFrame, filters: Mapping | None, compat: bool = False) -> DataFrame:
-    condition = Compiler(df.schema, compat).compile(filters)
+def apply_filter(df: DataFrame, filters: Mapping | None, compat: bool = False, undeclared: str | None = None) -> DataFrame:
+    """``undeclared`` names a variant column with the fields that the schema hasn't got."""
+    condition = Compiler(df.schema, compat, undeclared).compile(filters)
     return df if condition is None else df.where(condition)

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing
-from quillon.operators import audit, sync
+from quillon.operators import audit, receiver, sync
 from quillon.operators.collection import Collection, Request, numbered
+from quillon.operators.filters import apply_filter
 from quillon.sources import changes as sources
+from quillon.sources.store import Store, new_folder
 from quillon.streaming import live
 
 QUERIES: dict = {}
@@ -95,6 +97,21 @@ def f_nested(spark, sf_dir):
     return Collection("events", events, "event_id").matching({"props": {"k": {"$gt": 3}}, "event_type": "click"}).select("event_id", F.col("props.k").alias("k"))
 
 
+MIXED = "CASE WHEN event_id % 5 = 0 THEN json_object('k', event_type) WHEN event_id % 7 = 0 THEN json_object('k', event_id % 2 = 0) WHEN event_id % 11 = 0 THEN json_object('in', json_object('k', value)) ELSE props::JSON END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {MIXED} AS x FROM events)
+    SELECT event_id, json_extract(x, '$.k')::VARCHAR AS k FROM e WHERE json_extract_string(x, '$.k') = 'click' AND json_type(x, '$.k') = 'VARCHAR' OR json_type(x, '$.k') IN ('UBIGINT', 'BIGINT') AND (json_extract(x, '$.k')::BIGINT > 60 OR json_extract(x, '$.k')::BIGINT IN (3, 5))
+        OR json_type(x, '$.k') = 'BOOLEAN' AND json_extract(x, '$.k')::BOOLEAN OR json_extract(x, '$.in.k')::DOUBLE > 50""")
+def f_variant(spark, sf_dir):
+    """Fields without a declared type, of mixed types; comparisons of unlike types and of missing fields match nothing."""
+    e = F.col("event_id")
+    mixed = F.when(e % 5 == 0, F.to_json(F.struct(F.col("event_type").alias("k")))).when(e % 7 == 0, F.to_json(F.struct((e % 2 == 0).alias("k")))).when(e % 11 == 0, F.to_json(F.struct(F.struct(F.col("value").alias("k")).alias("in")))).otherwise(F.col("props"))
+    events = table(spark, sf_dir, "events").select("event_id", F.parse_json(mixed).alias("rest"))
+    wanted = [{"k": "click"}, {"k": {"$gt": 60}}, {"k": [3, 5]}, {"k": True}, {"in.k": {"$gt": 50}}, {"in": {"k": "50"}}, {"other": {"$gte": 0}}, {"k": {"$size": 1}}, {"event_id": "1"}]
+    return apply_filter(events, {"$or": wanted}, undeclared="rest").select("event_id", F.to_json(F.variant_get("rest", "$.k", "variant")).alias("k"))
+
+
 def flagged(spark, sf_dir) -> Collection:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_returnflag")).alias("flags"), F.collect_list(F.struct("l_quantity", "l_linestatus")).alias("lines"))
     return Collection("flagged", lines, "l_orderkey")
@@ -573,12 +590,27 @@ def audit_update_with(spark, sf_dir):
     return found.select("record_id", "entry_id", "type", F.col("record").isNotNull().alias("has_record"), F.greatest(F.coalesce(F.size("ops"), F.lit(0)), F.lit(0)).alias("n_ops"))
 
 
-@query(f"""WITH {LOG}, f AS (SELECT record_id, min(entry_id) FILTER (type = 0) AS a, min(entry_id) FILTER (type = 1) AS u FROM log GROUP BY record_id), bad AS (SELECT record_id FROM f WHERE u IS NOT NULL AND (a IS NULL OR u < a) AND record_id NOT LIKE '%6')
-    SELECT record_id, entry_id, type FROM log WHERE record_id NOT IN (SELECT record_id FROM bad) UNION ALL SELECT record_id, 'reset', 0 FROM bad""")
+#: Audits in ten states by the customer's key: none; branched; branched and changed; an operation without a way, changed or not; an entry without id;
+#: another record; a created entry without a record; deleted; an index that isn't there.
+STATES = "c AS (SELECT CAST(c_custkey AS VARCHAR) AS record_id, c_custkey % 10 AS s FROM customer)"
+
+
+@query(f"""WITH {STATES}, l AS (SELECT record_id, s, '1' AS entry_id, CASE WHEN s IN (1, 2) THEN 4 ELSE 0 END AS type FROM c WHERE s NOT IN (0) UNION ALL SELECT record_id, s, '2', 1 FROM c WHERE s IN (1, 2, 3, 4, 9) UNION ALL SELECT record_id, s, NULL, 1 FROM c WHERE s = 5 UNION ALL SELECT record_id, s, '2', 2 FROM c WHERE s = 8)
+    SELECT record_id, entry_id, type FROM l WHERE s NOT IN (3, 5, 7, 9) UNION ALL SELECT record_id, '8', 0 FROM c WHERE s IN (3, 5, 7, 9) UNION ALL SELECT record_id, '8', 1 FROM c WHERE s = 6
+    UNION ALL SELECT record_id, '9', CASE s WHEN 0 THEN 0 WHEN 8 THEN 3 ELSE 1 END FROM c WHERE s NOT IN (1, 4)""")
 def audit_reset(spark, sf_dir):
-    entries = document_log(log(spark, sf_dir)).select("record_id", "entry_id", "type", "record")
-    current = entries.select("record_id").distinct().where("record_id not like '%6'").withColumn("current", F.lit("{}"))
-    return audit.reset_by_warnings(entries, current, F.lit("reset")).select("record_id", "entry_id", "type")
+    """The log after an upsert, with resets and corrections."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), (F.col("c_custkey") % 10).alias("s"), F.col("c_nationkey").alias("k"))
+    doc = lambda k: F.to_json(F.struct(F.col("record_id").alias("id"), F.array(F.lit(1)).alias("tags"), k.alias("k")))
+    null = F.lit(None).cast("string")
+    op = lambda path: F.array(F.struct(F.lit("replace").alias("op"), path.alias("path"), F.col("k").cast("string").alias("value"), null.alias("position"), null.alias("hash")))
+    none, s = op(F.lit("k")), F.col("s")
+    path = F.when(s.isin(3, 4), "in.deep.k").when(s == 9, "tags.5.k").otherwise("k")
+    first = c.where("s <> 0").select("record_id", F.lit("1").alias("entry_id"), F.when(s.isin(1, 2), 4).otherwise(0).alias("type"), F.when(~s.isin(1, 2, 7), doc(F.when(s == 6, -1).otherwise(F.col("k")))).alias("record"), F.when(F.lit(False), none).alias("ops"))
+    second = c.where("s in (1, 2, 3, 4, 5, 8, 9)").select("record_id", F.when(s != 5, "2").alias("entry_id"), F.when(s == 8, 2).otherwise(1).alias("type"), null.alias("record"), F.when(s != 8, op(path)).alias("ops"))
+    live = c.where("s <> 8").select("record_id", doc(F.col("k")).alias("live"))
+    records = c.select("record_id", doc(F.when(s.isin(1, 4, 8), F.col("k")).otherwise(F.col("k") + 1)).alias("current"))
+    return audit.upserted(first.unionByName(second), live, records, F.lit("9"), F.lit("8")).select("record_id", "entry_id", "type")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'mine' ELSE upper(c_name) END AS name, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 9 END AS a, 2 AS b, CASE WHEN c_custkey % 5 = 0 THEN 'restore?' ELSE 'rebased' END AS outcome FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, NULL, 'restore?' FROM customer WHERE c_custkey % 5 = 0")
@@ -653,17 +685,24 @@ def rebase(spark, sf_dir):
     return audit.rebased(versions, ["c_name", "c_acctbal"])
 
 
-LANE = """printf('%08x', list_reduce([{seed}::BIGINT] || list_transform(string_split(j, ''), c -> unicode(c)::BIGINT), lambda h, u: xor(h, u) * 16777619 % 4294967296))"""
+#: The UTF-16 units of j, folded.
+UNITS = "flatten(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END))"
+LANE = f"""printf('%08x', list_reduce([{{seed}}::BIGINT] || list_transform({UNITS}, lambda u: u::BIGINT), lambda h, u: xor(h, u) * 16777619 % 4294967296))"""
 
 
-@query(f"""SELECT c_custkey, {LANE.format(seed=0x811C9DC5)} || {LANE.format(seed=0xC4CCD795)} AS content_hash FROM (SELECT c_custkey, '{{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}}' AS j FROM customer)""".replace("c -> unicode(c)", "lambda c: unicode(c)"))
+@query(f"""SELECT c_custkey, {LANE.format(seed=0x811C9DC5)} || {LANE.format(seed=0xC4CCD795)} AS content_hash FROM (SELECT c_custkey, '{{"c_name":"' || c_name || '\U0001F642\u00e9","c_nationkey":' || c_nationkey || '}}' AS j FROM customer)""")
 def hash_content(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", hashing.folded_hash(hashing.record_json(["c_name", "c_nationkey"])).alias("content_hash"))
+    """Names end in a character beyond the basic plane."""
+    named = table(spark, sf_dir, "customer").withColumn("c_name", F.concat("c_name", F.lit("\U0001F642\u00e9")))
+    return named.select("c_custkey", hashing.folded_hash(hashing.record_json(named, ["c_name", "c_nationkey"])).alias("content_hash"))
 
 
-@query("""SELECT c_custkey, substr(sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}'), 1, 16) AS record_hash FROM customer""")
+@query(r"""SELECT c_custkey, substr(sha256('{"c_acctbal":' || regexp_replace(c_acctbal::VARCHAR, '\.0$', '') || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","in":{"tiny":' || CASE WHEN c_custkey % 9 = 0 THEN 'null' ELSE c_custkey % 9 || 'e-9' END || ',"whole":' || c_custkey || '}}'), 1, 16) AS record_hash FROM customer""")
 def hash_record(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", hashing.record_hash(["c_name", "c_custkey"]).alias("record_hash"))
+    """Whole, fractional and tiny doubles, within a nested record too."""
+    tiny = F.when(F.col("c_custkey") % 9 > 0, F.concat((F.col("c_custkey") % 9).cast("string"), F.lit("e-9")).cast("double"))
+    customers = table(spark, sf_dir, "customer").withColumn("in", F.struct(F.col("c_custkey").cast("double").alias("whole"), tiny.alias("tiny")))
+    return customers.select("c_custkey", hashing.record_hash(customers, ["c_name", "c_custkey", "c_acctbal", "in"]).alias("record_hash"))
 
 
 @query("SELECT c_custkey, 1469922850259 + c_custkey * 86400001 AS millis, 26 AS length FROM customer")
@@ -743,11 +782,61 @@ def sr_merged_log(spark, sf_dir):
     return sync.received(*sides(spark, sf_dir))[0].select("record_id", "entry_id", "type")
 
 
+RECEIVED = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS record_id, c_custkey % 8 AS s, c_nationkey AS k FROM customer),
+    lg AS (SELECT record_id, '1' AS entry_id, 0 AS type FROM c WHERE s BETWEEN 1 AND 5 UNION ALL SELECT record_id, '5', 1 FROM c WHERE s = 4 UNION ALL SELECT record_id, '3', 2 FROM c WHERE s = 5 UNION ALL SELECT record_id, '2', 0 FROM c WHERE s = 0 UNION ALL SELECT record_id, '4', 1 FROM c WHERE s IN (0, 1, 4, 5) UNION ALL SELECT record_id, '6', 2 FROM c WHERE s = 1),
+    st AS (SELECT record_id, s, k + CASE s WHEN 0 THEN 1 WHEN 4 THEN 9 ELSE 0 END AS k FROM c WHERE s IN (0, 2, 3, 4)), lv AS (SELECT record_id, s, k, substr(sha256('{"id":"' || record_id || '","k":' || k || '}'), 1, 16) AS hash FROM st)"""
+
+
+def received_store(spark, sf_dir) -> Store:
+    """A server's log and live rows of customers, a client's request about all of them (adopted, merged, branched only with the same and with another
+    hash, overtaken by the server, deleted there, and unknown ones changed or deleted), then another client's deletes; both batches come twice."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), (F.col("c_custkey") % 8).alias("s"), F.col("c_nationkey").alias("k"))
+    null = F.lit(None).cast("string")
+    doc = lambda k: F.to_json(F.struct(F.col("record_id").alias("id"), k.alias("k")))
+    op = lambda k: F.array(F.struct(F.lit("replace").alias("op"), F.lit("k").alias("path"), k.cast("string").alias("value"), null.alias("position"), null.alias("hash")))
+    no_ops = F.when(F.lit(False), op(F.col("k")))
+
+    def entry(where: str, name: str, kind: int, record=null, ops=no_ops) -> DataFrame:
+        return c.where(where).select("record_id", F.lit(name).alias("entry_id"), F.lit(kind).alias("type"), record.alias("record"), ops.alias("ops"))
+
+    log = entry("s between 1 and 5", "1", 0, doc(F.col("k"))).unionByName(entry("s = 4", "5", 1, ops=op(F.col("k") + 9))).unionByName(entry("s = 5", "3", 2))
+    sent = entry("s = 0", "2", 0, doc(F.col("k"))).unionByName(entry("s in (1, 2, 3, 4, 5, 7)", "1", 4)).unionByName(entry("s in (0, 1, 4, 5, 6, 7)", "4", 1, ops=op(F.col("k") + 1))).unionByName(entry("s = 7", "6", 2))
+    claimed = F.when(F.col("s") == 3, "old").when(F.col("s") == 2, hashing.json_hashes(doc(F.col("k")))).when(F.col("s") != 7, hashing.json_hashes(doc(F.col("k") + 1)))
+    store = Store(spark, new_folder(spark, "receiver"), 8)
+    rows = c.where("s between 1 and 4").select("record_id", doc(F.col("k") + F.when(F.col("s") == 4, 9).otherwise(0)).alias("live")).withColumn("hash", hashing.json_hashes("live"))
+    every = list(range(8))
+    store.commit(lambda now: {"log": ("append", "record_id", log, []), "live": ("replace", "record_id", rows, every)})
+    for _ in range(2):
+        receiver.receive(store, c.select("record_id", claimed.alias("client_hash")), sent, "a", 0)
+        receiver.receive(store, c.where("s = 1").select("record_id", null.alias("client_hash")), entry("s = 1", "6", 2), "b", 0)
+    return store
+
+
+@query(f"WITH {RECEIVED} SELECT record_id, entry_id, type FROM lg")
+def rc_log(spark, sf_dir):
+    return received_store(spark, sf_dir).read("log").select("record_id", "entry_id", "type")
+
+
+@query(f"WITH {RECEIVED} SELECT record_id, k, hash FROM lv")
+def rc_live(spark, sf_dir):
+    return received_store(spark, sf_dir).read("live").select("record_id", F.get_json_object("live", "$.k").cast("int").alias("k"), "hash")
+
+
+@query(f"WITH {RECEIVED} SELECT record_id, CASE s WHEN 2 THEN 'branched' WHEN 3 THEN 'branched' WHEN 6 THEN 'orphan' WHEN 7 THEN 'deleted' ELSE 'merged' END AS status FROM c")
+def rc_answers(spark, sf_dir):
+    return received_store(spark, sf_dir).read("answers:a").select("record_id", "status")
+
+
+@query(f"WITH {RECEIVED} SELECT record_id, 'active' AS cursor, CASE s WHEN 3 THEN '1' ELSE '5' END AS last_id, hash FROM lv WHERE s IN (3, 4) UNION ALL SELECT record_id, 'delete', '4', NULL FROM c WHERE s = 5")
+def rc_cursors(spark, sf_dir):
+    return received_store(spark, sf_dir).read("answers:a").where("cursor is not null").select("record_id", "cursor", "last_id", "hash")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey = 4 THEN 'delete' ELSE 'active' END AS cursor FROM customer WHERE c_nationkey IN (2, 4)")
 def sr_disparity(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     server = customers.withColumn("c_acctbal", F.when(F.col("c_nationkey") == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
-    hashed = lambda df: hashing.record_hash(["c_custkey", "c_name", "c_acctbal"])
+    hashed = lambda df: hashing.record_hash(df, ["c_custkey", "c_name", "c_acctbal"])
     key = F.col("c_custkey").cast("string").alias("id")
     return sync.disparities(server.select(key, F.when(F.col("c_nationkey") != 4, hashed(server)).alias("server_hash")), customers.select(key, hashed(customers).alias("client_hash")))
 
@@ -804,7 +893,7 @@ def sub_removed(spark, sf_dir):
 @query(f"WITH n AS ({CHANGED}), e AS (SELECT * FROM customer WHERE c_nationkey <> 9) SELECT coalesce(e.c_custkey, n.c_custkey) AS id, CASE WHEN n.c_custkey IS NULL THEN 'missing' WHEN e.c_custkey IS NULL THEN 'extra' ELSE 'mismatch' END AS issue FROM e FULL JOIN n ON e.c_custkey = n.c_custkey WHERE e.c_custkey IS NULL OR n.c_custkey IS NULL OR e.c_acctbal <> n.c_acctbal")
 def integrity(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    hashed = lambda df: df.select(F.col("c_custkey").alias("id"), hashing.record_hash(["c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment"]).alias("hash"))
+    hashed = lambda df: df.select(F.col("c_custkey").alias("id"), hashing.record_hash(df, ["c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment"]).alias("hash"))
     return sync.integrity(hashed(customers.where("c_nationkey <> 9")), hashed(changed_customers(customers)))
 
 

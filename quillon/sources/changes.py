@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.collection import numbered
+from quillon.sources.store import Manifests
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
@@ -83,38 +84,32 @@ def replaced(log: DataFrame, audits: DataFrame) -> DataFrame:
     return log.join(audits.select("record_id").distinct(), "record_id", "left_anti").unionByName(audits.select(*log.columns))
 
 
-class Versions:
-    """A table as numbered folders, of which the greatest that is whole counts: Spark writes ``_SUCCESS`` last, so a reader sees a version
-    at once or not at all. A stream's batch is written under its own number, so a repeated batch changes nothing."""
+class Versions(Manifests):
+    """A table as numbered versions, each a manifest that names its folder: a reader sees a version whole or not at all, and of writers
+    that race each gets a version of its own. A stream's batch is written under its own number, so a repeated batch changes nothing."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.store = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def numbers(self) -> list[int]:
-        if not self.store.exists(self.path(self.folder)):
-            return []
-        names = [str(x.getPath().getName()) for x in self.store.listStatus(self.path(self.folder))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.store.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame | None:
+    def read(self, number: int | None = None) -> DataFrame | None:
+        """The newest version, or this one."""
         numbers = self.numbers()
-        return self.spark.read.parquet(f"{self.folder}/v{numbers[-1]}") if numbers else None
+        number = number if number is not None else numbers[-1] if numbers else None
+        return None if number not in numbers else self.spark.read.parquet(f"{self.folder}/{self._content(number)['folder']}")
 
     def write(self, df: DataFrame, number: int | None = None) -> bool:
         """Write the next version, or this one; False if it or a later one is there."""
-        numbers = self.numbers()
-        number = number if number is not None else (numbers[-1] + 1 if numbers else 0)
-        if numbers and number <= numbers[-1]:
+        if number is not None and number <= max(self.numbers(), default=-1):
             return False
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        return True
+        folder = self._stage(df)
+        while True:
+            last = max(self.numbers(), default=-1)
+            if number is not None and number <= last:
+                self._delete(folder)
+                return False
+            if self._publish(last + 1 if number is None else number, {"folder": folder}):
+                return True
 
     def keep(self, most: int = 2) -> None:
         """Delete all versions but the last ``most``."""
         for n in self.numbers()[:-most]:
-            self.store.delete(self.path(f"{self.folder}/v{n}"), True)
-
-    def drop(self) -> None:
-        self.store.delete(self.path(self.folder), True)
+            folder = self._content(n)["folder"]
+            self._delete(f"manifests/v{n}")
+            self._delete(folder)

@@ -42,7 +42,7 @@ def test_windows_keep_the_last_record_of_each_id(spark, tmp_path):
 def test_versions_replace_a_table_at_once(spark, tmp_path):
     table = Versions(spark, str(tmp_path / "t"))
     assert table.read() is None and table.write(spark.range(3)) and table.write(spark.range(5))
-    (tmp_path / "t/v2").mkdir()  # a writer that stopped half-way
+    (tmp_path / "t/data/half").mkdir()  # a writer that stopped half-way
     assert table.read().count() == 5 and not table.write(spark.range(9), number=1) and table.write(spark.range(7), number=2) and table.read().count() == 7
     table.keep(1)
     assert table.numbers() == [2]
