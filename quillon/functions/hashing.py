@@ -69,14 +69,13 @@ def json_hashes(column: str) -> Column:
 
 
 def _string_json(text: Column) -> Column:
-    """A string as JSON; control characters in small letters, as elsewhere."""
-    plain = F.to_json(F.struct(text.alias("s")))
-    plain = F.substring(plain, F.lit(6), F.length(plain) - 6)
-    fixed = plain
-    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    return F.when(~text.rlike(r'["\x5C\x00-\x1F]'), quoted).when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), fixed).otherwise(plain)
+    """A string as JSON: quotes, backslashes and control characters escaped, all others as they are."""
+
+    def escaped(c: Column) -> Column:
+        return F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).when(c.isin(*"\b\f\n\r\t"), F.concat(F.lit("\\"), F.translate(c, "\b\f\n\r\t", "bfnrt"))).when(F.ascii(c) < 32, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), 4, "0")))).otherwise(c)
+
+    inner = F.when(text.rlike(r'["\x5C\x00-\x1F]'), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")).otherwise(text)
+    return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
 def _bound(values: Column, use: Callable[[Column], Column]) -> Column:
@@ -99,7 +98,10 @@ def _double_json(x: Column) -> Column:
         return out.when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), short)).otherwise(exponent)
 
     out = _bound(F.abs(x).cast("string"), lambda text: _bound(parts(text), written))
-    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), out))
+    size = F.abs(x)
+    # most numbers are whole, or of a size that Java writes without an exponent too
+    whole, plain = (x == F.floor(x)) & (size < 1e15), (size >= 1e-3) & (size < 1e7)
+    return F.when(whole, x.cast("long").cast("string")).when(plain, x.cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), out))
 
 
 def value_json(x: Column, kind: T.DataType) -> Column:
