@@ -914,6 +914,17 @@ def debounce(spark, sf_dir):
     return live.batches(changes, 3600).drop("ts")
 
 
+@query(ORACLES["debounce"])
+def debounce_cut(spark, sf_dir):
+    """The same windows from three parts of the changes, whatever stays open between them."""
+    changes = table(spark, sf_dir, "events").select(F.lit("events").alias("collection"), F.col("event_type").alias("op"), F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), "value")
+    at = live.micros(F.col("ts"))
+    first, second = changes.agg(F.percentile_approx(at, [0.3, 0.6])).first()[0]
+    windows = live.Debouncer(Store(spark, new_folder(spark, "windows"), 8), 3600)
+    told = [windows.take(changes.where(part), n) for n, part in enumerate([at <= first, (at > first) & (at <= second), at > second])]
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(windows.flush(3)).drop("ts")
+
+
 @query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos, 'active' AS cursor FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, NULL, 'delete' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
 def sub_all(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

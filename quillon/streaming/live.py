@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quillon.functions import hashing
 from quillon.operators.collection import Registry
+from quillon.sources.store import Store
 
 
 def debounced(changes: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
@@ -20,26 +21,86 @@ def debounced(changes: DataFrame, gap: str, watermark: str | None = None) -> Dat
     return source.groupBy("collection", "op", window.alias("w")).agg(F.count("*").alias("n_changes"), F.max("seq").alias("last_seq")).select("collection", "op", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n_changes", "last_seq")
 
 
-def batches(changes: DataFrame, gap_seconds: int) -> DataFrame:
+def micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def _pieces(changes: DataFrame, gap: int) -> DataFrame:
+    """Changes as pieces of windows (collection, op, id, _piece, _first, _to, _n, _row): pieces of one number are surely of one window, since a
+    slice of time is as long as the gap (in microseconds)."""
+    rest = [c for c in changes.columns if c not in ("collection", "op", "id")]
+    at = micros(F.col("ts"))
+    return changes.select("collection", "op", "id", (at - F.pmod(at, F.lit(gap))).alias("_piece"), F.col("ts").alias("_first"), F.col("ts").alias("_to"), F.lit(1).cast("long").alias("_n"), F.struct(*rest).alias("_row"))
+
+
+def _windows(pieces: DataFrame, gap: int) -> DataFrame:
+    """Pieces joined to windows (collection, op, _first, _to, id, _n, _row): a piece that begins a gap or more after all before it opens one."""
+    spans = pieces.groupBy("collection", "op", "_piece").agg(F.min("_first").alias("_first"), F.max("_to").alias("_to"))
+    order = Window.partitionBy("collection", "op").orderBy("_first", "_piece")
+    before = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (before.isNull() | (micros(F.col("_first")) - micros(before) >= gap)).cast("int")
+    counted = spans.withColumn("_opens", opens).withColumn("_window", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("collection", "op", "_window")  # as the spans already lie
+    ends = counted.select("collection", "op", "_piece", F.min("_first").over(whole).alias("_begin"), F.max("_to").over(whole).alias("_end"))
+    keyed = pieces.join(ends, ["collection", "op", "_piece"])
+    last = keyed.groupBy("collection", "op", "_begin", "_end", "id").agg(F.sum("_n").alias("_n"), F.max_by("_row", "_row.seq").alias("_row"))
+    return last.select("collection", "op", F.col("_begin").alias("_first"), F.col("_end").alias("_to"), "id", "_n", "_row")
+
+
+def _told(windows: DataFrame, gap: int) -> DataFrame:
+    end = F.col("_to") + F.make_dt_interval(secs=F.lit(gap) / F.lit(1_000_000))
+    return windows.select("collection", "op", F.col("_first").alias("begin"), end.alias("end"), "id", F.col("_n").alias("n_changes"), "_row.*")
+
+
+def batches(changes: DataFrame, gap_seconds: float) -> DataFrame:
     """Changes (collection, op, id, ts, seq, ...) gathered until a (collection, op) is idle for the gap: for each window and id the last change
     (collection, op, begin, end, id, n_changes, and the other columns).
 
     Changes are first counted by slices of time as long as the gap, whose changes are always of one window; only slices are put in order, so
     neither a busy collection nor a long window is gathered in a task."""
-    rest = [c for c in changes.columns if c not in ("collection", "op", "id")]
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    sliced = changes.withColumn("_slice", F.floor(seconds / gap_seconds))
-    slices = sliced.groupBy("collection", "op", "_slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    order = Window.partitionBy("collection", "op").orderBy("_slice")
-    before = F.lag("last").over(order)
-    opens = (before.isNull() | (F.col("first").cast("timestamp").cast("double") - before.cast("timestamp").cast("double") >= gap_seconds)).cast("int")
-    numbered = slices.withColumn("opens", opens).withColumn("_window", F.sum("opens").over(order))
-    whole = Window.partitionBy("collection", "op", "_window")  # as the slices already lie
-    end = F.max("last").over(whole) + F.make_dt_interval(secs=F.lit(gap_seconds))
-    spans = numbered.select("collection", "op", "_slice", F.min("first").over(whole).alias("begin"), end.alias("end"))
-    keyed = sliced.join(spans, ["collection", "op", "_slice"])
-    last = keyed.groupBy("collection", "op", "begin", "end", "id").agg(F.count("*").alias("n_changes"), F.max_by(F.struct(*rest), "seq").alias("_last"))
-    return last.select("collection", "op", "begin", "end", "id", "n_changes", "_last.*")
+    gap = round(gap_seconds * 1_000_000)
+    return _told(_windows(_pieces(changes, gap), gap), gap)
+
+
+class Debouncer:
+    """Windows that stay open across micro-batches: the same as ``batches`` over all changes, however they are cut, if a change comes ``delay``
+    seconds after later ones at most. A change that comes later still is never lost: it joins an open window or makes one of its own.
+
+    A window ends when a change of any collection is a gap and the delay later than its last one, or by ``flush``. Open windows are rows of a
+    store (one for each window and id, whatever the number of changes), cut into buckets by id, so a busy collection isn't one task's state; they, the
+    ended windows and the clock change in one commit, numbered by the micro-batch. A repeated micro-batch finds its windows as they were told."""
+
+    def __init__(self, store: Store, gap_seconds: float, delay: float = 0):
+        self.store, self.gap, self.delay = store, round(gap_seconds * 1_000_000), round(delay * 1_000_000)
+
+    def take(self, changes: DataFrame, batch: int) -> DataFrame:
+        """The windows that end with this micro-batch."""
+        return self._step(changes, batch, changes.agg(F.max(micros(F.col("ts")))).first()[0])
+
+    def flush(self, batch: int) -> DataFrame | None:
+        """End all windows, as a clock does when no more changes come; None if no change ever came."""
+        return self._step(None, batch, None, every=True) if self.store.read("open") is not None else None
+
+    def _step(self, changes: DataFrame | None, batch: int, newest: int | None, every: bool = False) -> DataFrame:
+        store, buckets = self.store, list(range(self.store.buckets))
+
+        def build(now: dict):
+            held, clock = store.read("open", manifest=now), store.read("clock", manifest=now)
+            seen = [r.at for r in clock.collect()] if clock is not None else []
+            at = max([x for x in [*seen, newest] if x is not None], default=None)
+            pieces = [] if changes is None else [_pieces(changes, self.gap)]
+            if held is not None:
+                pieces.append(held.withColumn("_piece", micros(F.col("_first"))).select("collection", "op", "id", "_piece", "_first", "_to", "_n", "_row"))
+            found = store.scratch(_windows(pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1]), self.gap))
+            ended = F.lit(True) if every else F.lit(False) if at is None else micros(F.col("_to")) + self.gap + self.delay <= at
+            clock_row = store.spark.createDataFrame([("clock", at)], "name string, at long")
+            return {"open": ("replace", "id", found.where(~ended), buckets), "ended": ("replace", "id", found.where(ended), buckets), "clock": ("replace", "name", clock_row, buckets)}
+
+        try:
+            store.commit(build, "changes", batch)
+        finally:
+            store.clear_scratch()
+        return _told(store.read("ended"), self.gap)
 
 
 def notices(events: DataFrame) -> DataFrame:
@@ -49,21 +110,26 @@ def notices(events: DataFrame) -> DataFrame:
     return events.withColumn("type", kind).where("type is not null")
 
 
-def deliver(stream: DataFrame, gap_seconds: int, registry: Registry, subscribers: list[Callable[[str, DataFrame], None]], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's changes as windows: a collection's hooks run first, then its subscribers. The end of a micro-batch ends its windows."""
+def deliver(stream: DataFrame, gap_seconds: float, registry: Registry, subscribers: list[Callable[[str, DataFrame], None]], checkpoint: str, windows: Debouncer | None = None) -> StreamingQuery:
+    """Each micro-batch's ended windows: a collection's hooks run first, then its subscribers. Without ``windows``, which keeps them open from one
+    micro-batch to the next, the end of a micro-batch ends its windows. A micro-batch that is repeated after a failure is told again, the same."""
 
     def run(rows: DataFrame, epoch: int) -> None:
-        found = batches(rows, gap_seconds).persist()
-        for row in found.select("collection").distinct().collect():
-            own = found.where(F.col("collection") == row.collection)
-            registry.after(row.collection, own)
-            for tell in subscribers:
-                tell(row.collection, own)
-        found.unpersist()
+        tell_windows(windows.take(rows, epoch) if windows else batches(rows, gap_seconds), registry, subscribers)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def tell_windows(ended: DataFrame, registry: Registry, subscribers: list[Callable[[str, DataFrame], None]]) -> None:
+    found = ended.persist()
+    for row in found.select("collection").distinct().collect():
+        own = found.where(F.col("collection") == row.collection)
+        registry.after(row.collection, own)
+        for tell in subscribers:
+            tell(row.collection, own)
+    found.unpersist()
+
+
 def removed(before: DataFrame, now: DataFrame, id_column: str) -> DataFrame:
     """Ids that left a subscription's result."""
     return before.select(id_column).join(now.select(id_column), id_column, "left_anti")

@@ -1,8 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillon.operators.collection import Collection, Registry
 from quillon.sources.changes import Versions, change_stream, seed_hash
-from quillon.streaming.live import LiveQuery, Subscriptions, batches, debounced, deliver, notices
+from quillon.sources.store import Store
+from quillon.streaming.live import Debouncer, LiveQuery, Subscriptions, batches, debounced, deliver, notices
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -72,3 +75,44 @@ def test_disabled_and_same_results(spark):
 def test_notices_of_own_changes(spark):
     events = spark.createDataFrame([("upsert", [1]), ("upsert", []), ("remove", [2]), ("clear", [3, 4]), ("clear", []), ("clear", None), ("reload", [5]), (None, [6])], "type string, ids array<int>")
     assert sorted((r.type, r.ids) for r in notices(events).collect()) == [("remove", [2]), ("remove", [3, 4]), ("upsert", []), ("upsert", [1])]
+
+
+def test_windows_stay_open_across_micro_batches(spark, tmp_path):
+    rng = random.Random(5)
+    steps = [0.0001, 0.2, 0.2499, 0.25, 0.2501, 0.6]
+    at, rows = 1_700_000_000.0, []
+    for i in range(160):
+        at += rng.choice(steps)
+        rows.append((rng.choice("ab"), rng.choice(["insert", "update"]), rng.randrange(5), round(at * 1e6), i, f"v{i}"))
+    df = spark.createDataFrame(rows, "collection string, op string, id int, us long, seq long, name string").withColumn("ts", F.timestamp_micros("us")).drop("us").cache()
+    want = sorted(map(tuple, batches(df, 0.25).collect()), key=str)
+    for case, cuts in enumerate([[160], [1, 2, 3, 90, 160], [40, 80, 120, 160]]):
+        table, found, start = Debouncer(Store(spark, str(tmp_path / f"s{case}"), 3), 0.25), [], 0
+        for n, end in enumerate(cuts):
+            part = df.where(f"seq >= {start} and seq < {end}")
+            told = [tuple(r) for r in table.take(part, n).collect()]
+            if n == 1:  # a repeated micro-batch tells the same and changes nothing
+                assert sorted(told, key=str) == sorted((tuple(r) for r in table.take(part, n).collect()), key=str)
+            found, start = found + told, end
+        found += [tuple(r) for r in table.flush(len(cuts)).collect()]
+        assert sorted(found, key=str) == want
+    # out of order within the delay: odd changes come a micro-batch of 20 later
+    table, found = Debouncer(Store(spark, str(tmp_path / "late"), 3), 0.25, delay=60), []
+    for n in range(5):
+        part = df.where(f"seq % 2 = 0 and seq div 40 = {n} or seq % 2 = 1 and seq div 40 = {n - 1}")
+        found += [tuple(r) for r in table.take(part, n).collect()]
+    assert sorted(found + [tuple(r) for r in table.flush(5).collect()], key=str) == want
+
+
+def test_a_delivered_stream_keeps_windows_open(spark, tmp_path):
+    rows = [("c", "update", i % 3, i * 5, i) for i in range(12)]
+    df = spark.createDataFrame(rows, "collection string, op string, id int, s long, seq long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for k in range(4):
+        df.where(f"seq div 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    registry, told = Registry(), []
+    registry.define(Collection("c", df))
+    windows = Debouncer(Store(spark, str(tmp_path / "s"), 3), 20)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    deliver(stream, 20, registry, [lambda name, b: told.append(b.count())], str(tmp_path / "cp"), windows).awaitTermination()
+    assert told == []
+    assert {(r.id, r.n_changes, r.seq) for r in windows.flush(99).collect()} == {(0, 4, 9), (1, 4, 10), (2, 4, 11)}
