@@ -35,15 +35,16 @@ def dispatched(cursors: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def acknowledged(state: DataFrame, acks: DataFrame) -> DataFrame:
-    """The filter state after acknowledgements (collection, id, ok, is_delete, hash, last_entry_id, authoritative)."""
+    """The filter state after acknowledgements (collection, id, ok, is_delete, hash, last_entry_id, authoritative). A delete that failed is
+    pending, known by its last id."""
     joined = state.withColumn("known", F.lit(True)).join(acks, ["collection", "id"], "full_outer")
     known, acked = F.coalesce("known", F.lit(False)), F.col("ok").isNotNull()
     gone, failed = acked & F.col("is_delete") & F.col("ok"), acked & F.col("is_delete") & ~F.col("ok")
     written = acked & ~F.col("is_delete") & F.col("ok")
-    keep = known | (written & F.col("authoritative")) | gone
+    keep = known | (written & F.col("authoritative")) | gone | failed
     return joined.where(keep).select(
         "collection", "id", F.when(gone | failed, None).when(written, F.col("hash")).otherwise(F.col("known_hash")).alias("known_hash"),
-        F.when(written, F.col("last_entry_id")).otherwise(F.col("known_last")).alias("known_last"), (gone | F.coalesce("confirmed_deleted", F.lit(False))).alias("confirmed_deleted"),
+        F.when(written | failed, F.col("last_entry_id")).otherwise(F.col("known_last")).alias("known_last"), (gone | F.coalesce("confirmed_deleted", F.lit(False))).alias("confirmed_deleted"),
     )
 
 

@@ -18,7 +18,7 @@ from quillon.operators.collection import Collection, Request, numbered
 from quillon.operators.filters import apply_filter
 from quillon.sources import changes as sources
 from quillon.sources.store import Store, new_folder
-from quillon.streaming import live
+from quillon.streaming import dispatcher, live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -755,12 +755,49 @@ def sd_filter(spark, sf_dir):
 
 @query(f"""WITH {ACTIVE}, {KNOWN}, k AS (SELECT *, seq % 4 <> 0 AS ok FROM sq), j AS (SELECT coalesce(st.id, k.id) AS id, st.id IS NOT NULL AS known, st.known_hash, st.known_last, coalesce(st.confirmed_deleted, false) AS cd, k.ok, k.is_delete, k.hash, k.last_entry_id, k.authoritative,
     coalesce(k.ok AND k.is_delete, false) AS gone, coalesce(NOT k.ok AND k.is_delete, false) AS failed, coalesce(k.ok AND NOT k.is_delete, false) AS written FROM st FULL JOIN k ON st.id = k.id)
-    SELECT 'users' AS collection, id, CASE WHEN gone OR failed THEN NULL WHEN written THEN hash ELSE known_hash END AS known_hash, CASE WHEN written THEN last_entry_id ELSE known_last END AS known_last, gone OR cd AS confirmed_deleted FROM j WHERE known OR (written AND authoritative) OR gone""")
+    SELECT 'users' AS collection, id, CASE WHEN gone OR failed THEN NULL WHEN written THEN hash ELSE known_hash END AS known_hash, CASE WHEN written OR failed THEN last_entry_id ELSE known_last END AS known_last, gone OR cd AS confirmed_deleted FROM j WHERE known OR (written AND authoritative) OR gone OR failed""")
 def sd_ack(spark, sf_dir):
     acks = active_cursors(spark, sf_dir).select("collection", "id", (F.col("seq") % 4 != 0).alias("ok"), "is_delete", F.col("last_entry_id").alias("hash"), "last_entry_id", "authoritative")
     return sync.acknowledged(known_state(spark, sf_dir), acks)
 
 
+TURNS = f"""{ACTIVE}, {KNOWN}, j AS (SELECT sq.*, st.id IS NOT NULL AS known, known_hash, known_last, coalesce(confirmed_deleted, false) AS cd FROM sq LEFT JOIN st ON sq.id = st.id),
+    out AS (SELECT id, known, known AND known_hash IS NULL OR is_delete AS is_delete, CASE WHEN known AND known_hash IS NULL THEN CASE WHEN is_delete THEN greatest(last_entry_id, known_last) ELSE known_last END ELSE last_entry_id END AS last_entry_id,
+        CASE WHEN NOT (known AND known_hash IS NULL) THEN hash END AS hash, authoritative, seq, seq % 4 <> 0 AS ok FROM j
+        WHERE NOT cd AND CASE WHEN NOT known THEN authoritative ELSE known_hash IS NULL OR is_delete OR NOT (known_hash = hash AND known_last = last_entry_id) AND last_entry_id >= known_last END)"""
+
+
+def dispatch_turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(what is sent, the filter at the end): all cursors, then answers to what was sent, of which a quarter fails and is sent again. Each turn
+    is a run of the stream from the checkpoint of the one before."""
+    own, folder = spark.newSession(), new_folder(spark, "dispatch")
+    dispatcher.keyed_state(own)
+    known_state(spark, sf_dir).select(F.lit("a").alias("client"), "*").write.parquet(f"{folder}/known")
+    known = own.read.schema(dispatcher.FILTER).parquet(f"{folder}/known")
+    cursors = active_cursors(spark, sf_dir).withColumn("hash", F.col("last_entry_id")).withColumns({"kind": F.lit("cursor"), "ok": F.lit(None).cast("boolean"), "client": F.lit("a")})
+    sent = lambda: spark.read.schema(dispatcher.SENT).parquet(f"{folder}/sent")
+    answers = lambda: sent().withColumns({"kind": F.lit("ack"), "ok": F.col("seq") % 4 != 0})
+    for rows in (lambda: cursors, answers):
+        rows().select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in dispatcher.EVENTS.split(", ")]).write.mode("append").parquet(f"{folder}/events")
+        stream = dispatcher.dispatching(own.readStream.schema(dispatcher.EVENTS).parquet(f"{folder}/events"), known)
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/sent").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return sent().drop("client"), dispatcher.filter_state(own, f"{folder}/checkpoint").drop("client")
+
+
+@query(f"WITH {TURNS} SELECT 'users' AS collection, id, is_delete, last_entry_id, hash, authoritative, seq FROM out UNION ALL SELECT 'users', id, is_delete, last_entry_id, CASE WHEN NOT is_delete THEN hash END, authoritative, seq FROM out WHERE NOT ok")
+def sd_stream_sends(spark, sf_dir):
+    return dispatch_turns(spark, sf_dir)[0]
+
+
+@query(f"""WITH {TURNS}, every AS (SELECT coalesce(st.id, j.id) AS id, st.id IS NOT NULL AS known, st.known_hash, st.known_last, coalesce(st.confirmed_deleted, false) OR st.id IS NULL AND j.is_delete AND NOT j.authoritative AS cd FROM st FULL JOIN j ON st.id = j.id)
+    SELECT 'users' AS collection, e.id, CASE WHEN o.id IS NULL OR NOT o.is_delete AND NOT ok THEN known_hash WHEN NOT o.is_delete THEN o.hash END AS known_hash,
+        CASE WHEN o.id IS NULL OR NOT o.is_delete AND NOT ok THEN known_last WHEN NOT o.is_delete OR NOT ok THEN o.last_entry_id END AS known_last, cd OR coalesce(o.is_delete AND ok, false) AS confirmed_deleted
+    FROM every e LEFT JOIN out o ON e.id = o.id WHERE e.known OR cd OR o.id IS NOT NULL AND (ok OR o.is_delete)""")
+def sd_stream_state(spark, sf_dir):
+    return dispatch_turns(spark, sf_dir)[1]
+
+
 @query(f"""WITH {ACTIVE}, l AS (SELECT record_id AS id, record_id NOT LIKE '%8' AS has_record, record_id NOT LIKE '%6' AS branch_only, max(entry_id) AS branch_id FROM log WHERE event_id % 4 = 0 AND record_id NOT LIKE '%2' GROUP BY record_id)
     SELECT sq.id, CASE WHEN l.id IS NULL AND NOT is_delete THEN 'apply' WHEN l.id IS NULL THEN 'done' WHEN NOT has_record AND NOT is_delete THEN 'refuse' WHEN NOT has_record THEN 'done' WHEN is_delete THEN 'apply delete' WHEN NOT branch_only THEN 'skip pending' WHEN last_entry_id < branch_id THEN 'skip stale' ELSE 'apply' END AS outcome FROM sq LEFT JOIN l USING (id)""")
 def cr_apply(spark, sf_dir):
