@@ -18,7 +18,7 @@ from quillon.operators.collection import Collection, Request, numbered
 from quillon.operators.filters import apply_filter
 from quillon.sources import changes as sources
 from quillon.sources.store import Store, new_folder
-from quillon.streaming import dispatcher, live
+from quillon.streaming import dispatcher, live, subscriptions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -990,6 +990,34 @@ def sub_query(spark, sf_dir):
     return collection(spark, sf_dir, "orders").query(Request({"o_orderpriority": {"$like": "1%"}, "o_totalprice": {"$gt": 100000}}, [("o_totalprice", "desc")], limit=30))[0]
 
 
+@query("""WITH subs AS (SELECT c_custkey AS sub_id, c_custkey % 3 AS m FROM customer), o AS (SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice AS p, o_orderdate AS d FROM orders),
+    st AS (SELECT 'b' AS st, * FROM o WHERE id % 10 <> 1 UNION ALL SELECT 'a', id, o_custkey, o_orderstatus, CASE WHEN id % 10 = 3 THEN p + 1000 ELSE p END, d FROM o WHERE id % 10 <> 2),
+    mem AS (SELECT st, sub_id, m, id, CASE m WHEN 0 THEN -p ELSE epoch(d) END AS rank FROM subs JOIN st ON o_custkey = sub_id WHERE m = 0 OR m = 1 AND o_orderstatus = 'O' AND p >= 50000
+        UNION ALL SELECT st, sub_id, m, id, p FROM subs JOIN st ON id BETWEEN 10 * sub_id AND 10 * sub_id + 25 WHERE m = 2),
+    pg AS (SELECT st, sub_id, m, id, row_number() OVER (PARTITION BY st, sub_id ORDER BY rank, id) AS n FROM mem),
+    cut AS (SELECT st, sub_id, id, CASE m WHEN 2 THEN n - 2 ELSE n END AS pos FROM pg WHERE CASE m WHEN 0 THEN n <= 5 WHEN 1 THEN n <= 3 ELSE n > 2 AND n <= 12 END),
+    t AS (SELECT st, sub_id, count(*) AS total FROM mem GROUP BY ALL), c AS (SELECT st, sub_id, count(*) AS n, CAST(sum(pos * id) AS BIGINT) AS order_sum, list(id ORDER BY pos) AS ids FROM cut GROUP BY ALL),
+    ans AS (SELECT k.st, sub_id, coalesce(total, 0) AS total, coalesce(n, 0) AS n, coalesce(order_sum, 0) AS order_sum, ids FROM (SELECT DISTINCT st, sub_id FROM subs CROSS JOIN (VALUES ('a'), ('b')) v(st)) k LEFT JOIN t USING (st, sub_id) LEFT JOIN c USING (st, sub_id))
+    SELECT x.sub_id, x.total, x.n, x.order_sum FROM ans x JOIN ans y ON x.sub_id = y.sub_id AND x.st = 'a' AND y.st = 'b' WHERE x.total <> y.total OR x.ids IS DISTINCT FROM y.ids""")
+def sub_many(spark, sf_dir):
+    """A subscription for each customer, and what is told after a tenth of the orders came, a tenth went and a tenth changed its price."""
+    key, kind = F.col("c_custkey").cast("long"), F.col("c_custkey") % 3
+    own, low = F.col("c_custkey").cast("string"), key.cast("double") * 10
+    equal = F.when(kind == 0, F.create_map(F.lit("o_custkey"), own)).when(kind == 1, F.create_map(F.lit("o_custkey"), own, F.lit("o_orderstatus"), F.lit("O")))
+    between = lambda field, low, high: F.array(F.struct(F.lit(field).alias("field"), low.alias("low"), high.alias("high")))
+    ranges = F.when(kind == 1, between("o_totalprice", F.lit(50000.0), F.lit(None).cast("double"))).when(kind == 2, between("o_orderkey", low, low + 25))
+    sort = F.when(kind == 1, "placed").otherwise("o_totalprice")
+    subs = table(spark, sf_dir, "customer").select(key.alias("sub_id"), equal.alias("equal"), ranges.alias("ranges"), sort.alias("sort"), (kind == 0).alias("descending"), F.when(kind == 2, 2).otherwise(0).alias("skip"), F.when(kind == 0, 5).when(kind == 1, 3).otherwise(10).alias("most"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.unix_timestamp("o_orderdate").alias("placed"))
+    digit = F.col("o_orderkey") % 10
+    dearer = F.when(digit == 3, F.col("o_totalprice") + 1000).otherwise(F.col("o_totalprice"))
+    found = subscriptions.QuerySubscriptions(Store(spark, new_folder(spark, "subscriptions"), 16), "o_orderkey", ["o_custkey", "o_orderstatus"], ["o_orderkey", "o_totalprice", "placed"])
+    found.subscribe(subs, orders.where(digit != 1), 0)
+    told = found.take(orders.where(digit.isin(2, 3)), orders.where(digit.isin(1, 3)).withColumn("o_totalprice", dearer), 1)
+    sums = found.page().groupBy("sub_id").agg(F.sum(F.col("pos") * F.col("id")).alias("order_sum"))
+    return told.join(sums, "sub_id", "left").select("sub_id", "total", "n", F.coalesce("order_sum", F.lit(0)).alias("order_sum"))
+
+
 @query("WITH d AS (SELECT c_custkey // 4096 AS run, sha256(string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey)) AS digest FROM customer GROUP BY run) SELECT sha256(string_agg(digest, '|' ORDER BY run)) AS result_hash FROM d")
 def result_hash(spark, sf_dir):
     return live.hash_of(table(spark, sf_dir, "customer").withColumn("pos", F.col("c_custkey")), "c_custkey")

@@ -129,7 +129,7 @@ class Store(Manifests):
                 return False
             tables, staged = {**now["tables"]}, []
             for name, (mode, key, rows, buckets) in build(now).items():
-                folder = self._stage(rows.withColumn(BUCKET, self.bucket(key)).repartition(BUCKET), BUCKET)
+                folder = self._stage(rows.withColumn(BUCKET, self.bucket(key)).hint("rebalance", BUCKET), BUCKET)  # a hot bucket is several files
                 staged.append(folder)
                 found = {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.folder}/{folder}") if n.startswith(BUCKET)}
                 old = tables.get(name, {"folders": {}})["folders"]

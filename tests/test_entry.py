@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
 
 
-@pytest.mark.parametrize("name", ["query_page", "f_elem", "audit_replay_scalar", "audit_merge", "squash", "debounce", "debounce_cut", "audit_server", "audit_replay_full", "audit_replay_arrays", "audit_replay_base", "audit_update_with", "sd_requeue", "sd_ack", "sd_stream_sends", "sd_stream_state"])
+@pytest.mark.parametrize("name", ["query_page", "f_elem", "audit_replay_scalar", "audit_merge", "squash", "debounce", "debounce_cut", "audit_server", "audit_replay_full", "audit_replay_arrays", "audit_replay_base", "audit_update_with", "sd_requeue", "sd_ack", "sd_stream_sends", "sd_stream_state", "sub_many"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders", "lineitem", "events", "supplier", "nation"):
