@@ -225,16 +225,19 @@ def _folded(rows: DataFrame) -> DataFrame:
 
 def replay_full(entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(record_id, live, shadow) as JSON, for entries with record (a JSON object) and ops (array of op, path, value JSON, position, hash); a
-    record that ``base`` (record_id, base) has starts from there. Entries without a record_id belong to no record.
+    record that ``base`` (record_id, base, and base_hidden if there is such a column) has starts from there. Entries without a record_id belong to
+    no record.
 
     Aggregations, combined in each task, find each record's last snapshot, whether it is hidden, and the last operation that sets or removes
     a field as a whole. Operations touch one field each, so what is folded is one row a field and the edits within it, by record and field."""
     mine = entries.where("record_id is not null")
     snapshot = F.when(when_type(CREATED, RESTORED) & F.col("record").isNotNull(), F.col("entry_id"))
     switch = F.when(when_type(DELETED, RESTORED) | snapshot.isNotNull(), F.col("entry_id"))
-    heads = mine.groupBy("record_id").agg(F.max(snapshot).alias("since"), F.max_by("record", snapshot).alias("start"), F.coalesce(F.max_by("type", switch) == DELETED, F.lit(False)).alias("hidden"))
+    heads = mine.groupBy("record_id").agg(F.max(snapshot).alias("since"), F.max_by("record", snapshot).alias("start"), (F.max_by("type", switch) == DELETED).alias("hidden"))
     if base is not None:
-        heads = heads.join(base.select("record_id", "base"), "record_id", "left").withColumn("start", F.coalesce("start", "base")).drop("base")
+        before = base.select("record_id", "base", (F.col("base_hidden") if "base_hidden" in base.columns else F.lit(False)).alias("was_hidden"))
+        heads = heads.join(before, "record_id", "left").withColumns({"start": F.coalesce("start", "base"), "hidden": F.coalesce("hidden", "was_hidden")}).drop("base", "was_hidden")
+    heads = heads.withColumn("hidden", F.coalesce("hidden", F.lit(False)))
 
     path = F.col("op.path")
     field = F.regexp_replace(F.regexp_extract(path, structure.STEP, 0), "^0+(?=[0-9]+$)", "")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing
-from quillon.operators import audit, receiver, sync
+from quillon.operators import audit, live_view, receiver, sync
 from quillon.operators.collection import Collection, Request, numbered
 from quillon.operators.filters import apply_filter
 from quillon.sources import changes as sources
@@ -557,6 +557,42 @@ def audit_replay_full(spark, sf_dir):
     return folded.select("record_id", F.col("live").isNotNull().alias("live"), shadow["value"].alias("value"), shadow["k"].alias("k"))
 
 
+def arrivals(spark, sf_dir) -> DataFrame:
+    """The log in the order in which it comes: two thirds of the events, then the rest, and last the newest ones of some users and views that others
+    sent late."""
+    entries = log(spark, sf_dir)
+    tile = F.ntile(30).over(Window.partitionBy("record_id").orderBy("event_id"))
+    last = F.col("record_id").like("%7") & (F.col("event_type") == "view") | F.col("record_id").like("%3") & (F.col("tile") >= 29)
+    part = F.when(last, 2).when(F.col("tile") <= 20, 0).otherwise(1)
+    return document_log(entries.withColumn("tile", tile)).select("record_id", "entry_id", "type", "record", "ops", part.alias("part"))
+
+
+ARRIVALS = "tiled AS (SELECT *, ntile(30) OVER (PARTITION BY record_id ORDER BY event_id) AS tile FROM log), part AS (SELECT *, CASE WHEN record_id LIKE '%7' AND event_type = 'view' OR record_id LIKE '%3' AND tile >= 29 THEN 2 WHEN tile <= 20 THEN 0 ELSE 1 END AS part FROM tiled)"
+
+
+def kept_view(spark, sf_dir) -> Store:
+    store, parts = Store(spark, new_folder(spark, "view"), 16), arrivals(spark, sf_dir)
+    for part in (0, 1, 2):
+        live_view.applied(store, parts.where(F.col("part") == part).drop("part"), "events", part)
+    return store
+
+
+@query(f"WITH {LOG}, t AS ({state_sql('log')}) SELECT record_id, value, k FROM t WHERE live")
+def lv_live(spark, sf_dir):
+    """Live records kept up over three batches, of which the last one is late: as if the whole log were replayed."""
+    return live_view.view(kept_view(spark, sf_dir), "value double, k long")
+
+
+@query(f"""WITH {LOG}, {ARRIVALS}, past AS (SELECT * FROM part WHERE part < 2), b AS (SELECT * FROM ({state_sql('past')}) WHERE live), a AS (SELECT * FROM ({state_sql('log')}) WHERE live)
+    SELECT coalesce(a.record_id, b.record_id) AS record_id, CASE WHEN b.record_id IS NULL THEN 'insert' WHEN a.record_id IS NULL THEN 'delete' ELSE 'update' END AS op, b.value AS value_before, b.k AS k_before, a.value, a.k
+    FROM a FULL JOIN b ON a.record_id = b.record_id WHERE a.record_id IS NULL OR b.record_id IS NULL OR a.value IS DISTINCT FROM b.value OR a.k IS DISTINCT FROM b.k""")
+def lv_changes(spark, sf_dir):
+    """What the late batch changed of the live records."""
+    before, after = (F.from_json(c, "value double, k long") for c in ("before", "after"))
+    told = kept_view(spark, sf_dir).read("changes")
+    return told.select("record_id", "op", before["value"].alias("value_before"), before["k"].alias("k_before"), after["value"].alias("value"), after["k"].alias("k"))
+
+
 @query(f"""WITH {LOG}, r AS (SELECT record_id, max(entry_id) AS l FROM log WHERE type = 0 GROUP BY record_id), o AS (SELECT log.*, l FROM log JOIN r ON log.record_id = r.record_id AND entry_id >= l)
     SELECT record_id, array_to_string(coalesce(list(k ORDER BY entry_id DESC) FILTER (event_type = 'click' AND k % 2 = 1), []) || [0, 0] || coalesce(list(k ORDER BY entry_id) FILTER (event_type = 'click' AND k % 2 = 0), []), ',') AS tags FROM o GROUP BY record_id""")
 def audit_replay_arrays(spark, sf_dir):
