@@ -807,10 +807,10 @@ def dispatch_turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(what is sent, the filter at the end): all cursors, then answers to what was sent, of which a quarter fails and is sent again. Each turn
     is a run of the stream from the checkpoint of the one before."""
     own, folder = spark.newSession(), new_folder(spark, "dispatch")
-    dispatcher.keyed_state(own)
     known_state(spark, sf_dir).select(F.lit("a").alias("client"), "*").write.parquet(f"{folder}/known")
-    known = own.read.schema(dispatcher.FILTER).parquet(f"{folder}/known")
-    cursors = active_cursors(spark, sf_dir).withColumn("hash", F.col("last_entry_id")).withColumns({"kind": F.lit("cursor"), "ok": F.lit(None).cast("boolean"), "client": F.lit("a")})
+    known, active = own.read.schema(dispatcher.FILTER).parquet(f"{folder}/known"), active_cursors(spark, sf_dir)
+    dispatcher.keyed_state(own, known.count() + active.select("collection", "id").distinct().count())
+    cursors = active.withColumn("hash", F.col("last_entry_id")).withColumns({"kind": F.lit("cursor"), "ok": F.lit(None).cast("boolean"), "client": F.lit("a")})
     sent = lambda: spark.read.schema(dispatcher.SENT).parquet(f"{folder}/sent")
     answers = lambda: sent().withColumns({"kind": F.lit("ack"), "ok": F.col("seq") % 4 != 0})
     for rows in (lambda: cursors, answers):

@@ -118,8 +118,16 @@ def dispatching(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return events.groupBy(*KEY).transformWithState(_Record(), SENT, "append", "None", start)
 
 
-def keyed_state(spark: SparkSession) -> None:
-    """State in RocksDB, with changes since the last snapshot as checkpoint, so that a turn costs what it touches."""
+#: Records whose state one partition keeps; each partition is a RocksDB of its own, whose files take some megabytes even when it is empty.
+PARTITION = 200_000
+
+
+def keyed_state(spark: SparkSession, records: int | None = None) -> None:
+    """State in RocksDB, with changes since the last snapshot as checkpoint, so that a turn costs what it touches. A stream keeps the number of
+    partitions that it began with: with ``records``, the number of (client, collection, id) to expect, it follows them, else the session's
+    setting stays. Since the setting is the session's own, give a stream a session (``newSession``)."""
+    if records is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(1, -(-records // PARTITION))))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
