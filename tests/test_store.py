@@ -1,6 +1,9 @@
 """Tables that change together: races, writers that stop, receivers; and upserts that reset audits."""
 
 import json
+import math
+import random
+import struct
 import threading
 
 import pytest
@@ -133,3 +136,12 @@ def test_canonical_json_is_one_and_the_same(spark, rows):
     for r in df.select("*", text.alias("j"), hashing.folded_hash(text).alias("h")).collect():
         value = {"n": r.n, "t": r.t, "f": r.f, "s": {"z": r.s.z, "a": r.s.a}}
         assert r.j == hashing.canonical(value) and r.h == hashing.content_hash(value)
+
+
+def test_numbers_of_many_digits_have_their_shortest_ones(spark):
+    draw = random.Random(5)
+    some = [struct.unpack("<d", struct.pack("<Q", draw.getrandbits(64)))[0] for _ in range(20_000)] + [draw.uniform(0, 1e4) for _ in range(20_000)]
+    numbers = [x for x in some if math.isfinite(x)] + [2.0**-44, 2e23, 8.41e21, 5e-324, 1e-323, -1.6130484589462314e17, -0.0]
+    df = spark.createDataFrame([(x, [x]) for x in numbers], "x double, a array<double>")
+    for r in df.select("x", hashing.record_json(df, ["x", "a"]).alias("j")).collect():
+        assert r.j == hashing.canonical({"x": r.x, "a": [r.x]})
