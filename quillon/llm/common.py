@@ -37,10 +37,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files: lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index (operator 5).
 
 ``build_index`` stores the postings of every word of the training texts: one row per segment (a run of documents of
-bounded size), holding its sorted terms and, per term, the ascending positions of its occurrences; documents stand so many
+bounded size), holding its terms and, per term, the ascending positions of its occurrences, as bytes (a row of numbers costs the JVM several times
+as much); documents stand so many
 positions apart that no match runs over a border: one for phrases, a window and twice the slack for proximity. ``search`` takes benchmark windows (each run of ``window`` words of
 an item, distinct ones once) in blocks of bounded size, and in each segment takes the positions of a window's rarest term, moves them by the
 term's offset, and keeps those that the lists of the other terms, rarest first, hold at their own offsets. With
@@ -32,7 +33,10 @@ CANDIDATES = 1 << 20
 INSIDE = np.zeros(256, bool)
 INSIDE[48:58] = INSIDE[97:123] = INSIDE[128:] = True
 
-INDEX = "doc_ids array<long>, sizes array<int>, terms array<binary>, counts array<int>, postings array<int>"
+#: ``words`` are the terms' bytes end to end; ``ends``, ``counts`` and ``postings`` are 32-bit integers.
+INDEX = "doc_ids array<long>, sizes array<int>, words binary, ends binary, counts binary, postings binary"
+#: A segment is a row of megabytes. Unasked, a writer counts its memory only every 100 rows, and a reader takes a whole row group at once.
+ROW_GROUPS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 HITS = "segment long, at int, doc_id long, n_words long, runs array<struct<begin: int, end: int>>, windows array<long>"
 
 
@@ -63,13 +67,14 @@ def build_index(docs: DataFrame, gap: int = 1) -> DataFrame:
             def one(values: pa.Array, kind: pa.DataType) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
-            yield pa.record_batch(
-                [one(replace_column(piece, "doc_id"), pa.int64()), one(pa.array(sizes), pa.int32()), one(coded.dictionary, pa.binary()), one(pa.array(counts), pa.int32()), one(pa.array(positions[order]), pa.int32())],
-                names=["doc_ids", "sizes", "terms", "counts", "postings"],
-            )
+            terms = coded.dictionary
+            ends = np.cumsum(pc.binary_length(terms).to_numpy()).astype(np.int32)
+            text = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[: ends[-1] if len(ends) else 0]
+            raw = [pa.array([x.tobytes()], pa.binary()) for x in (text, ends, counts, positions[order])]
+            yield pa.record_batch([one(replace_column(piece, "doc_id"), pa.int64()), one(pa.array(sizes), pa.int32()), *raw], names=["doc_ids", "sizes", "words", "ends", "counts", "postings"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
-    return cut(rows.withColumn("segment", F.monotonically_increasing_id()), "index")
+    return cut(rows.withColumn("segment", F.monotonically_increasing_id()), "index", ROW_GROUPS)
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -152,8 +157,9 @@ def occurrences(block: Block, terms: pa.Array, counts: np.ndarray, postings: np.
 
 def _segment_hits(block: Block, row: dict, slack: int, gap: int) -> pa.RecordBatch:
     sizes = np.asarray(row["sizes"], np.int64)
-    counts, postings = np.asarray(row["counts"], np.int64), np.asarray(row["postings"], np.int64)
-    window, place, seen = occurrences(block, row["terms"], counts, postings, slack)
+    ends, counts, postings = (np.frombuffer(row[n], np.int32) for n in ("ends", "counts", "postings"))
+    terms = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), row["words"]])
+    window, place, seen = occurrences(block, terms, counts.astype(np.int64), postings.astype(np.int64), slack)
     base = np.cumsum(sizes + gap) - sizes - gap
     doc = np.searchsorted(base, seen, side="right") - 1
     mark = np.zeros(int((sizes + gap).sum()) + 2, np.int64)
@@ -196,9 +202,10 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, slack: in
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
-                    yield _segment_hits(block.value, {n: v.as_py() if n == "segment" else v.values if n in ("doc_ids", "terms") else v.values.to_numpy() for n, v in row.items()}, slack, gap)
+                    kinds = {"segment": lambda v: v.as_py(), "doc_ids": lambda v: v.values, "sizes": lambda v: v.values.to_numpy()}
+                    yield _segment_hits(block.value, {n: kinds.get(n, lambda v: v.as_buffer())(v) for n, v in row.items()}, slack, gap)
 
-        part = cut(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, HITS).where("size(runs) > 0"), "hits")
+        part = cut(index.select("segment", "doc_ids", "sizes", "words", "ends", "counts", "postings").mapInArrow(run, HITS).where("size(runs) > 0"), "hits")
         block.unpersist()
         every = part if every is None else every.unionByName(part)
     if blocks > 1:

@@ -4,6 +4,7 @@ import random
 import time
 import warnings
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,15 @@ def test_labels_of_other_documents_change_no_score(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         quality_gam.train(docs, labels)
+
+
+def test_index_of_one_task_is_many_row_groups(spark):
+    """A reader takes a row group at once, so one task's segments must not be a single one."""
+    docs = spark.range(12, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("rare word "), F.repeat(F.lit("abcd efgh "), 840_000)).alias("text"))
+    index = decontaminate.build_index(docs)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert index.count() == 12 and len(sizes) > 1 and max(sizes) < 64 << 20
+    bench = spark.createDataFrame([(1, "rare word"), (2, "word rare")], "item_id long, text string")
+    found = decontaminate.search(index, decontaminate.windows_of(bench, 2), 2)
+    assert {(r.n_words, r.runs[0].end, tuple(r["items"])) for r in found.collect()} == {(1_680_002, 2, (1,))}
