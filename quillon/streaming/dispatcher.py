@@ -118,8 +118,9 @@ def dispatching(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return events.groupBy(*KEY).transformWithState(_Record(), SENT, "append", "None", start)
 
 
-#: Records whose state one partition keeps; each partition is a RocksDB of its own, whose files take some megabytes even when it is empty.
-PARTITION = 200_000
+#: Records whose state one partition keeps. A partition is one task, and a record's turn takes milliseconds there; it is also a RocksDB of its own,
+#: whose files take some megabytes even when it is empty.
+PARTITION = 5_000
 
 
 def keyed_state(spark: SparkSession, records: int | None = None) -> None:

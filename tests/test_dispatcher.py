@@ -89,3 +89,11 @@ def test_equals_a_plain_dispatcher_in_ten_files_and_after_a_restart(spark, tmp_p
     assert [tuple(map(str, r)) for r in got] == sorted(tuple(map(str, (c, *s))) for c in "ab" for s in plain[c].sent) and len(got) > 80
     want = {(c, i, *plain[c].filter.get(i, (None, None)), i in plain[c].dead) for c in "ab" for i in {*plain[c].filter, *plain[c].dead}}
     assert {(r.client, r.id, r.known_hash, r.known_last, r.confirmed_deleted) for r in dispatcher.filter_state(own, str(tmp_path / "cp")).collect()} == want
+
+
+def test_state_partitions_follow_the_records(spark):
+    """The 90,000 users of events at 60 times sf0.1 keep a dozen tasks busy; a few records are one partition."""
+    own = spark.newSession()
+    for records, least, most in ((0, 1, 1), (3_000, 1, 1), (90_000, 12, 24), (540_000, 72, 144)):
+        dispatcher.keyed_state(own, records)
+        assert least <= int(own.conf.get("spark.sql.shuffle.partitions")) <= most
