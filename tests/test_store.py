@@ -145,3 +145,11 @@ def test_numbers_of_many_digits_have_their_shortest_ones(spark):
     df = spark.createDataFrame([(x, [x]) for x in numbers], "x double, a array<double>")
     for r in df.select("x", hashing.record_json(df, ["x", "a"]).alias("j")).collect():
         assert r.j == hashing.canonical({"x": r.x, "a": [r.x]})
+
+
+def test_claims_of_a_request_are_hashed_without_python(spark, monkeypatch):
+    """Only the receiver, which hashes any record, has a Python task for it: once a batch."""
+    calls, own = [], hashing.json_hashes
+    monkeypatch.setattr(hashing, "json_hashes", lambda column: calls.append(column) or own(column))
+    assert entry.queries()["rc_live"](spark, "/root/testdata/sf0.001").count() > 0
+    assert calls == ["live", "live"]
