@@ -571,7 +571,9 @@ ARRIVALS = "tiled AS (SELECT *, ntile(30) OVER (PARTITION BY record_id ORDER BY
 
 
 def kept_view(spark, sf_dir) -> Store:
-    store, parts = Store(spark, new_folder(spark, "view"), 16), arrivals(spark, sf_dir)
+    store, folder, came = Store(spark, new_folder(spark, "view"), 16), new_folder(spark, "arrivals"), arrivals(spark, sf_dir)
+    came.write.partitionBy("part").parquet(folder)  # once: each batch would order the whole log again
+    parts = spark.read.schema(came.schema).parquet(folder)
     for part in (0, 1, 2):
         live_view.applied(store, parts.where(F.col("part") == part).drop("part"), "events", part)
     return store

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillon.functions import structure
 from quillon.operators import live_view
 from quillon.operators.receiver import LOG
@@ -129,3 +130,11 @@ def test_a_stream_starts_again_after_a_stop(spark, tmp_path, monkeypatch):
     run()
     store = Store(spark, folder, 4)
     assert kept(store) == expected(rows) and store.read("log").count() == 60 and store.numbers() == [0, 1, 2]
+
+
+def test_arrivals_are_ordered_once(spark, monkeypatch):
+    """The batches are read from what was written once, not made of the whole log each."""
+    read, own = [], live_view.applied
+    monkeypatch.setattr(live_view, "applied", lambda store, entries, *rest: read.extend(entries.inputFiles()) or own(store, entries, *rest))
+    assert entry.queries()["lv_live"](spark, "/root/testdata/sf0.001").count() > 0
+    assert read and not [f for f in read if f.endswith("events.parquet")]
