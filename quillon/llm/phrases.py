@@ -39,6 +39,8 @@ INNER = np.ones(256, bool)
 INNER[[10, 32]] = False
 #: Bytes of text whose fragments a reducer's group holds on average, at most; occurrences of a pivot from which it is split.
 GROUP_BYTES, HOT = 8 << 20, 1 << 18
+#: Fragments that a task spells out at a time, about: it keeps numbers of the others.
+SPELLED = 1 << 17
 ROWS = "lang string, phrase string, whole boolean, a long"
 
 
@@ -53,14 +55,15 @@ class Words:
         self.languages = replace_column(piece, "lang").dictionary_encode()
         lang = np.repeat(self.languages.indices.to_numpy().astype(np.int64), np.diff(before))
         n = max(len(self.languages.dictionary), 1)
-        pair, self.tokens = np.unique(coded.indices.to_numpy().astype(np.int64) * n + lang, return_inverse=True)
+        pairs = pa.array(coded.indices.to_numpy().astype(np.int64) * n + lang).dictionary_encode()
+        pair, self.tokens = pairs.dictionary.to_numpy(), pairs.indices.to_numpy()
         self.lang, self.text = pair % n, coded.dictionary.take(pa.array(pair // n))
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         seeds = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.languages.dictionary.to_pylist()), np.uint64, len(self.languages.dictionary))
         self.keys = mix(hashes[pair // n] + mix(seeds[pair % n])) if len(pair) else np.zeros(0, np.uint64)
-        stops = np.concatenate([[0], np.cumsum(STOP[data])])
+        stops = np.searchsorted(np.flatnonzero(STOP[data]), begin)
         self.follows = np.zeros(len(begin) + 1, bool)  # one more, so that no word follows the last
-        self.follows[1 : len(begin)] = stops[begin[1:]] == stops[begin[:-1]]
+        self.follows[1 : len(begin)] = stops[1:] == stops[:-1]
         self.follows[before[:-1][before[:-1] < len(begin)]] = False
 
 
@@ -71,16 +74,19 @@ def _strings(values: pa.Array) -> pa.Array:
 def word_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, word, key, n) of the words with ``least`` occurrences or more, and of each language's occurrences of all words, with a null word."""
 
+    def counted(piece):
+        w = Words(piece)
+        times = np.bincount(w.tokens, minlength=len(w.text)).astype(np.int64)
+        names = w.languages.dictionary
+        every = np.bincount(w.lang, times, len(names)).astype(np.int64)
+        return pa.record_batch(
+            [pa.concat_arrays([names.take(pa.array(w.lang)), names]).cast(pa.string()), pa.concat_arrays([_strings(w.text), pa.nulls(len(names), pa.large_string())]), pa.array(np.concatenate([w.keys.view(np.int64), np.zeros(len(names), np.int64)])), pa.array(np.concatenate([times, every]))],
+            names=["lang", "word", "key", "n"],
+        )
+
     def run(batches):
         for piece in pieces(batches):
-            w = Words(piece)
-            times = np.bincount(w.tokens, minlength=len(w.text)).astype(np.int64)
-            names = w.languages.dictionary
-            every = np.bincount(w.lang, times, len(names)).astype(np.int64)
-            yield pa.record_batch(
-                [pa.concat_arrays([names.take(pa.array(w.lang)), names]).cast(pa.string()), pa.concat_arrays([_strings(w.text), pa.nulls(len(names), pa.large_string())]), pa.array(np.concatenate([w.keys.view(np.int64), np.zeros(len(names), np.int64)])), pa.array(np.concatenate([times, every]))],
-                names=["lang", "word", "key", "n"],
-            )
+            yield counted(piece)
 
     rows = docs.mapInArrow(run, "lang string, word string, key long, n long")
     return cut(rows.groupBy("lang", "word").agg(F.min("key").alias("key"), F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()), "word-counts")
@@ -132,22 +138,23 @@ def fragments(w: Words, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     the words' counts."""
     by = np.lexsort((w.keys, n))
     steps = np.concatenate([[0], np.cumsum((n[by][1:] != n[by][:-1]) | (w.keys[by][1:] != w.keys[by][:-1]))]) if len(by) else np.zeros(0, np.int64)
-    place = np.empty(len(by), np.int64)
+    place = np.empty(len(by), np.int32)
     place[by] = steps
     size = len(w.tokens)
-    rank = np.full(size + 4, -1, np.int64)  # two places before and after, for the neighbours of the ends
-    rank[2:-2] = np.where(n[w.tokens] >= least, place[w.tokens], -1)
+    rank = np.full(size + 4, -1, np.int32)  # two places before and after, for the neighbours of the ends
+    rank[2:-2] = np.where(n >= least, place, -1)[w.tokens]
     follows = np.zeros(size + 4, bool)
     follows[2 : size + 3] = w.follows
-    at = np.arange(2, size + 2)
-    own = rank[at]
-    left = follows[at] & (rank[at - 1] > own)
-    left2 = left & follows[at - 1] & (rank[at - 2] > own)
-    right = follows[at + 1] & (rank[at + 1] >= own)
-    right2 = right & follows[np.minimum(at + 2, size + 3)] & (rank[np.minimum(at + 2, size + 3)] >= own)
+    own = rank[2:-2]
+    left = follows[2:-2] & (rank[1:-3] > own)
+    left2 = left & follows[1:-3] & (rank[:-4] > own)
+    right = follows[3:-1] & (rank[3:-1] >= own)
+    right2 = right & follows[4:] & (rank[4:] >= own)
     keep = np.flatnonzero((own >= 0) & (left | right))
-    word = np.concatenate([[-1, -1], w.tokens, [-1, -1]])
-    rows = np.stack([np.where(left2[keep], word[keep], -1), np.where(left[keep], word[keep + 1], -1), word[keep + 2], np.where(right[keep], word[keep + 3], -1), np.where(right2[keep], word[np.minimum(keep + 4, size + 3)], -1)], 1)
+    word = np.concatenate([[-1, -1], w.tokens, [-1, -1]]).astype(np.int32)
+    rows = np.empty((len(keep), 5), np.int32)
+    for c, there in enumerate((left2, left, None, right, right2)):
+        rows[:, c] = word[keep + c] if there is None else np.where(there[keep], word[keep + c], -1)
     h = np.zeros(len(rows), np.uint64)
     for c in (2, 1, 3, 0, 4):
         h = mix(h + (rows[:, c] + 2).astype(np.uint64))
@@ -163,14 +170,13 @@ def _mined(rows: pa.Table, least: int) -> pa.Table:
     data, offsets = text_bytes(texts)
     begin, end, before = word_spans(data, offsets, INNER)
     coded = take_words(data, begin, end).dictionary_encode()
-    words = coded.indices.to_numpy().astype(np.int64)
-    counts, lefts = (np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()]).astype(np.int64) for c, kind in (("counts", np.uint32), ("lefts", np.uint8)))
+    words = coded.indices.to_numpy()
+    counts, lefts = (np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()]) for c, kind in (("counts", np.uint32), ("lefts", np.uint8)))
     per_row = np.array([len(x) for x in rows["lefts"].to_pylist()], np.int64)
     names = rows["lang"].combine_chunks().dictionary_encode()
     # the language, and whether the pivot lies here as a whole, as one number
-    kind = np.repeat(names.indices.to_numpy().astype(np.int64) * 2 + rows["whole"].to_numpy(), per_row)
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    first = np.flatnonzero(np.diff(lines[begin], prepend=-1)) if len(begin) else np.zeros(0, np.int64)
+    kind = np.repeat(names.indices.to_numpy() * 2 + rows["whole"].to_numpy().astype(np.int32), per_row)
+    first = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(data == 10), begin), prepend=-1)) if len(begin) else np.zeros(0, np.int64)
     # every row ends with a line feed, so a fragment is a line
     sizes, pivot = np.diff(np.append(first, len(begin))), first + lefts
     rights = sizes - 1 - lefts
@@ -178,14 +184,15 @@ def _mined(rows: pa.Table, least: int) -> pa.Table:
     for back, length in ((1, 2), (0, 2), (2, 3), (1, 3), (0, 3)):
         own = np.flatnonzero((lefts >= back) & (rights >= length - 1 - back))
         at = pivot[own] - back
-        third = words[at + 2] + 1 if length == 3 else np.zeros(len(own), np.int64)
+        third = words[at + 2] + 1 if length == 3 else np.zeros(len(own), np.int32)
         found.append((kind[own], words[at], words[at + 1], third, counts[own]))
     kind, one, two, three, times = (np.concatenate(x) for x in zip(*found))
+    del found
     order = np.lexsort((three, two, one, kind))
     kind, one, two, three, times = (x[order] for x in (kind, one, two, three, times))
     new = (kind[1:] != kind[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (three[1:] != three[:-1])
     head = np.flatnonzero(np.concatenate([[True], new])) if len(kind) else np.zeros(0, np.int64)
-    times = np.add.reduceat(times, head) if len(head) else times
+    times = np.add.reduceat(times, head, dtype=np.int64) if len(head) else times.astype(np.int64)
     keep = (times >= least) | (kind[head] % 2 == 0)
     head, times = head[keep], times[keep]
     spelled = coded.dictionary
@@ -201,32 +208,41 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, group_bytes:
     groups = max(2, -(-size // group_bytes))
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches):
-        for piece in pieces(batches):
-            w = Words(piece)
-            n = sent.value.get(w.keys)
-            rows, times = fragments(w, n, least)
-            pivot = rows[:, 2]
-            salts = -(-n // hot)  # over how many groups a pivot's fragments go
-            h = np.zeros(len(rows), np.uint64)
-            for c in (0, 1, 3, 4):
-                h = mix(h + np.where(rows[:, c] >= 0, w.keys[rows[:, c]], np.uint64(1)))
-            salt = (h % np.maximum(salts[pivot], 1).astype(np.uint64)).astype(np.int64)
-            order = np.lexsort((salt, pivot))
-            rows, times, pivot, salt = rows[order], times[order], pivot[order], salt[order]
-            heads = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1])])) if len(rows) else np.zeros(0, np.int64)
-            edges = np.append(heads, len(rows))
-            spelled = [w.text.take(pa.array(rows[:, c], mask=rows[:, c] < 0)) for c in range(5)]
+    def packed(piece):
+        w = Words(piece)
+        n = sent.value.get(w.keys)
+        rows, times = fragments(w, n, least)
+        salts = -(-n // hot)  # over how many groups a pivot's fragments go
+        h = np.zeros(len(rows), np.uint64)
+        for c in (0, 1, 3, 4):
+            h = mix(h + np.where(rows[:, c] >= 0, w.keys[rows[:, c]], np.uint64(1)))
+        salt = (h % np.maximum(salts[rows[:, 2]], 1).astype(np.uint64)).astype(np.int32)
+        order = np.lexsort((salt, rows[:, 2]))
+        rows, times, salt = rows[order], times[order], salt[order]
+        pivot = rows[:, 2]
+        heads = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1])])) if len(rows) else np.zeros(0, np.int64)
+        every = np.append(heads, len(rows))
+        # spelled out some pivots at a time
+        parts = np.unique(np.append(np.searchsorted(every, np.arange(0, len(rows), SPELLED)), len(heads)))
+        for a, b in zip(parts[:-1].tolist(), parts[1:].tolist()):
+            edges = every[a : b + 1]
+            own, head = rows[edges[0] : edges[-1]], edges[:-1]
+            edges = edges - edges[0]
+            spelled = [w.text.take(pa.array(own[:, c], mask=own[:, c] < 0)) for c in range(5)]
             texts = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
             texts = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
             # whole lines end to end: a row's fragments are one run of bytes
-            ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)[edges] if len(texts) else np.zeros(1, np.int64)
-            blobs = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends.astype(np.int64)), texts.buffers()[2]])
-            lefts, sizes = (rows[:, :2] >= 0).sum(1).astype(np.uint8), times.astype(np.uint32)
-            group = (mix(w.keys[pivot[heads]] + salt[heads].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(groups)).astype(np.int32)
-            columns = [pa.array(group), w.languages.dictionary.take(pa.array(w.lang[pivot[heads]])).cast(pa.string()), pa.array(salts[pivot[heads]] <= 1), blobs.cast(pa.binary()), *(pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for x in (lefts, sizes))]
+            ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)[edges]
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(ends.astype(np.int64)), texts.buffers()[2]])
+            lefts, sizes = (own[:, :2] >= 0).sum(1).astype(np.uint8), times[head[0] : head[0] + len(own)].astype(np.uint32)
+            group = (mix(w.keys[pivot[head]] + salt[head].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(groups)).astype(np.int32)
+            columns = [pa.array(group), w.languages.dictionary.take(pa.array(w.lang[pivot[head]])).cast(pa.string()), pa.array(salts[pivot[head]] <= 1), blobs.cast(pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary()) for x in (lefts, sizes))]
             yield pa.record_batch(columns, names=["group", "lang", "whole", "fragments", "lefts", "counts"])
 
+    def run(batches):
+        for piece in pieces(batches):
+            yield from packed(piece)
+
     sent_out = docs.mapInArrow(run, "group int, lang string, whole boolean, fragments binary, lefts binary, counts binary")
     # as many tasks as groups, so that a task's input stays near a group's
     mined = sent_out.repartition(groups, "group").groupBy("group").applyInArrow(lambda rows: _mined(rows, least), ROWS)

@@ -4,8 +4,10 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,25 @@ def test_split_pivots_and_small_groups_change_nothing(spark):
     assert plain == split and len(plain) > 50
 
 
+def test_fragments_take_little_memory_and_may_be_spelled_in_parts(spark, monkeypatch):
+    r = random.Random(1)
+    text = " ".join(f"w{int(1.002 ** r.randint(0, 4000))}" for _ in range(200_000))
+    tracemalloc.start()
+    try:
+        w = phrases.Words(pa.record_batch([pa.array(["en"]), pa.array([text])], names=["lang", "text"]))
+        rows, _ = phrases.fragments(w, np.bincount(w.tokens), 10)
+        assert len(rows) > 100_000 and tracemalloc.get_traced_memory()[1] < 20 * len(text)
+    finally:
+        tracemalloc.stop()
+    df = spark.createDataFrame([d[:2] for d in odd_texts(6)], "lang string, text string").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition(2)
+    words = phrases.word_counts(df, 5)
+    found = []
+    for size in (1 << 17, 3):
+        monkeypatch.setattr(phrases, "SPELLED", size)
+        found.append(sorted(map(tuple, phrases.frequent_phrases(df, words, 5).collect())))
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
 def test_counts_in_several_files(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FILE_WORDS", 100)
     keys = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 1000)
