@@ -35,7 +35,7 @@ class QuerySubscriptions:
         self.store, self.id, self.equal, self.numbers = store, id_column, equal, numbers
 
     def indexed(self, subs: DataFrame) -> DataFrame:
-        """Subscriptions with the kind of term under which they stand, and its values (kind, cell), a row each."""
+        """Subscriptions with what they ask of each field (``asks``), the kind of term under which they stand, and its values (kind, cell), a row each."""
         closed = F.filter("ranges", lambda r: r.low.isNotNull() & r.high.isNotNull() & (r.low <= r.high) & (F.abs(r.low) < 1e18) & (F.abs(r.high) < 1e18))
         sized = F.transform(closed, lambda r: F.struct(F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.ceil(F.log2(F.greatest(r.high - r.low, F.lit(1e-6)))).cast("int"))).alias("level"), r.field.alias("field"), r.low.alias("low"), r.high.alias("high")))
         subs = subs.withColumn("_range", F.array_min(sized))
@@ -44,7 +44,20 @@ class QuerySubscriptions:
         where = F.when(F.col("_range").isNotNull(), grid).otherwise(F.struct(F.lit("").alias("kind"), F.array(F.lit("")).alias("cells")))
         for field in reversed(self.equal):
             where = F.when(F.col("equal")[field].isNotNull(), F.struct(F.lit(f"={field}").alias("kind"), F.array(F.col("equal")[field]).alias("cells"))).otherwise(where)
-        return subs.withColumn("_where", where).select("*", F.col("_where.kind").alias("kind"), F.explode("_where.cells").alias("cell")).drop("_where", "_range")
+        return self._asking(subs).withColumn("_where", where).select("*", F.col("_where.kind").alias("kind"), F.explode("_where.cells").alias("cell")).drop("_where", "_range")
+
+    def _asking(self, subs: DataFrame) -> DataFrame:
+        """Subscriptions with their equalities and ranges by the place of their field (``asks``), so that a record is compared with columns; ``never`` if no
+        record can fit."""
+        of = lambda field: lambda r: r.field == field
+        own = {f"_own{i}": F.filter("ranges", of(f)) for i, f in enumerate(self.numbers)}
+        names = lambda fields: F.array(*map(F.lit, fields)).cast("array<string>")
+        unknown = [F.size(F.array_except(F.map_keys("equal"), names(self.equal))) > 0, F.exists(F.map_values("equal"), F.isnull), F.size(F.array_except(F.col("ranges.field"), names(self.numbers))) > 0]
+        asks = [reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in unknown]).alias("never")]
+        asks += [F.col("equal")[f].alias(f"equal{i}") for i, f in enumerate(self.equal)]
+        for i in range(len(self.numbers)):
+            asks += [F.coalesce(F.size(f"_own{i}") > 0, F.lit(False)).alias(f"ranged{i}"), F.array_max(f"_own{i}.low").alias(f"low{i}"), F.array_min(f"_own{i}.high").alias(f"high{i}")]
+        return subs.withColumns(own).withColumn("asks", F.struct(*asks)).drop(*own)
 
     def matches(self, index: DataFrame, records: DataFrame) -> DataFrame:
         """(sub_id, id, rank) of the records that subscriptions (as ``indexed``) ask for."""
@@ -59,16 +72,19 @@ class QuerySubscriptions:
             terms.append(F.struct(F.lit(kind).alias("kind"), value.alias("cell")))
         if not terms:
             terms = [F.struct(F.lit("").alias("kind"), F.lit("").alias("cell"))]
-        strings = F.create_map(*[x for f in self.equal for x in (F.lit(f), F.col(f).cast("string"))]) if self.equal else F.create_map().cast("map<string,string>")
-        numbers = F.create_map(*[x for f in self.numbers for x in (F.lit(f), F.col(f).cast("double"))])
-        asked = records.select(F.col(self.id).alias("id"), strings.alias("_strings"), numbers.alias("_numbers"), F.explode(F.array(*terms)).alias("_t")).select("id", "_strings", "_numbers", "_t.*").where("cell is not null")
-        found = asked.join(index, ["kind", "cell"])
-        same = F.forall(F.map_entries("equal"), lambda e: F.coalesce(F.col("_strings")[e.key] == e.value, F.lit(False)))
-        x = lambda r: F.col("_numbers")[r.field]
-        inside = F.forall("ranges", lambda r: F.coalesce(x(r).isNotNull() & (r.low.isNull() | (x(r) >= r.low)) & (r.high.isNull() | (x(r) <= r.high)), F.lit(False)))
-        key = F.col("_numbers")[F.col("sort")]
-        rank = F.struct(key.isNull().alias("none"), F.when(F.col("descending"), -key).otherwise(key).alias("key"))
-        return found.where(F.coalesce(same, F.lit(True)) & F.coalesce(inside, F.lit(True))).select("sub_id", "id", rank.alias("rank"))
+        values = [F.col(f).cast("string").alias(f"_equal{i}") for i, f in enumerate(self.equal)] + [F.col(f).cast("double").alias(f"_number{i}") for i, f in enumerate(self.numbers)]
+        asked = records.select(F.col(self.id).alias("id"), *values, F.explode(F.array(*terms)).alias("_t")).select("*", "_t.*").drop("_t").where("cell is not null")
+        fits = F.lit(True)
+        for i in range(len(self.equal)):
+            fits &= F.col(f"asks.equal{i}").isNull() | F.coalesce(F.col(f"_equal{i}") == F.col(f"asks.equal{i}"), F.lit(False))
+        key = F.lit(None).cast("double")
+        for i, f in enumerate(self.numbers):
+            x, low, high = F.col(f"_number{i}"), F.col(f"asks.low{i}"), F.col(f"asks.high{i}")
+            fits &= ~F.col(f"asks.ranged{i}") | (x.isNotNull() & (low.isNull() | (x >= low)) & (high.isNull() | (x <= high)))
+            key = F.when(F.col("sort") == f, x).otherwise(key)
+        # the cell first: it parts the sorted rows, kinds are few
+        found = asked.join(index.where("not asks.never").select("sub_id", "asks", "sort", "descending", "kind", "cell"), ["cell", "kind"]).where(fits)
+        return found.select("sub_id", "id", F.struct(key.isNull().alias("none"), F.when(F.col("descending"), -key).otherwise(key).alias("key")).alias("rank"))
 
     @staticmethod
     def pages(members: DataFrame, subs: DataFrame) -> DataFrame:
@@ -103,7 +119,7 @@ class QuerySubscriptions:
         """New subscriptions (of ids that aren't there) over the records as they are; (sub_id, total, n) of each."""
 
         def build(now: dict):
-            index = self.store.scratch(self.indexed(subs))
+            index = self.store.scratch(self.indexed(subs.repartition("sub_id")))
             members = self.store.scratch(self.matches(index, records))
             totals, pages = self._answers(members, subs)
             added = {"subs": index, "members": members, "totals": totals, "pages": pages}

@@ -55,3 +55,25 @@ def test_emissions_equal_running_each_query_again(spark, tmp_path, open_ended):
         records, last = now, fresh
     table.end(spark.createDataFrame([(s[0],) for s in subs[:25]], "sub_id long"), 4)
     assert {r.sub_id for r in table.store.read("subs").collect()} == {s[0] for s in subs[25:]} and table.page().where("sub_id < 25").isEmpty()
+
+
+def test_records_are_compared_with_columns(spark, tmp_path):
+    """What a record or a subscription asks is no map or array in the join; fields that aren't there, null values and null ends as before."""
+    table = QuerySubscriptions(Store(spark, str(tmp_path / "s"), 2), "id", ["city", "kind"], ["x", "y"])
+    nan = float("nan")
+    records = spark.createDataFrame([(1, "a", "u", 1.0, 1.0), (2, "a", None, None, 2.0), (3, None, "v", nan, None), (4, "b", "v", -0.0, 4.0)], RECORD)
+    asked = [
+        ({"city": "a"}, None), ({"city": None}, None), ({"town": "a"}, None), ({"city": "a", "town": "a"}, None), (None, [("z", None, None)]), (None, [("x", None, None)]), (None, [(None, None, None)]),
+        (None, [("x", 0.0, None)]), (None, [("x", None, nan)]), (None, [("x", -1.0, 5.0), ("x", None, 0.5), ("y", 3.0, None)]), ({"kind": "u", "city": "a"}, [("x", 1.0, 1.0)]), ({}, []), (None, [None]),
+    ]
+    found = [{1, 2}, set(), set(), set(), set(), {1, 3, 4}, set(), {1, 3, 4}, {1, 3, 4}, {4}, {1}, {1, 2, 3, 4}, set()]
+    subs = spark.createDataFrame([(i, equal, ranges, sort, False, 0, 5) for i, (equal, ranges) in enumerate(asked) for sort in ["x"]], SUBSCRIPTION)
+    matched = table.matches(table.indexed(subs), records)
+    got = [set() for _ in asked]
+    for r in matched.collect():
+        assert r.id not in got[r.sub_id]
+        got[r.sub_id].add(r.id)
+    assert got == found
+    plan = matched._jdf.queryExecution().optimizedPlan()
+    joins = [x for x in str(plan).split("\n") if "Join" in x]
+    assert joins and not any(word in x for x in joins for word in ("map(", "forall", "lambda"))
